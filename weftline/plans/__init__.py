@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries() and oracle_sql().
-MODULES = ("hierarchies",)
+MODULES = ("hierarchies", "tables", "graphs", "search", "texts", "work")
 
 
 def _collect(what: str) -> dict:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.hashing import fingerprint_text
 from weftline.functions.text import EXTENSIONS
+from weftline.session import frame
 
 SPAN = "struct<index:int,start:int,end:int,line_start:int,line_end:int,text:string,fingerprint:string>"
 
@@ -249,7 +250,7 @@ def _explode_spans(rows: DataFrame, key: str, text: str, make, extra: str = "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "spans": [make(t, *others) for t, *others in batch[[text, *columns]].itertuples(index=False)]})
+            yield frame(**{key: batch[key]}, spans=[make(t, *others) for t, *others in batch[[text, *columns]].itertuples(index=False)])
 
     found = rows.select(key, text, *columns).mapInPandas(run, f"`{key}` {kind}, spans array<{SPAN}>")
     return found.select(key, F.explode("spans").alias("s")).select(key, "s.*")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import stage
+from weftline.session import frame, stage
 
 
 #: Graphs of up to this many edges are solved by one task.
@@ -33,7 +33,7 @@ def _solve_small(pairs: DataFrame) -> DataFrame:
                 x, y = top(a), top(b)
                 if x != y:
                     least[max(x, y)] = min(x, y)
-        yield pd.DataFrame({"node": list(least), "component": [top(x) for x in least]})
+        yield frame(node=list(least), component=[top(x) for x in list(least)])
 
     return pairs.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import stage
+from weftline.session import stage, unchunked
 
 #: Pivots, and vectors of one task's block.
 PIVOTS, BLOCK = 64, 2048
@@ -63,7 +63,7 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
                 near[np.arange(len(x)), home] = True
                 out.append(rows.assign(home=home.astype("int32"), visits=[np.flatnonzero(r).astype("int32").tolist() for r in near]))
             if out:
-                yield pd.concat(out)[["store", "id", "embedding", "home", "visits"]]
+                yield unchunked(pd.concat(out)[["store", "id", "embedding", "home", "visits"]])
 
     placed = stage(base.mapInPandas(place, "store string, id bigint, embedding array<float>, home int, visits array<int>"))
     counts = placed.groupBy("store", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,6 +59,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def unchunked(rows: pd.DataFrame) -> pd.DataFrame:
+    """rows with text columns as Python objects.
+
+    Text columns backed by Arrow may come in several chunks once they are
+    filtered or joined, which Spark does not take back.
+    """
+    return rows.astype({c: object for c, kind in rows.dtypes.items() if pd.api.types.is_string_dtype(kind) and kind != object})
+
+
+def frame(**columns) -> pd.DataFrame:
+    """A table of columns; lists become columns of Python objects, also when they are empty."""
+    return pd.DataFrame({name: values if isinstance(values, pd.Series) else pd.Series(values, dtype=object) for name, values in columns.items()})
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions to use for a shuffle that AQE must not coalesce."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

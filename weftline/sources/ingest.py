@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.spans import chunk_documents, split_with_overlap
 from weftline.functions.text import source_label
+from weftline.session import frame
 
 
 class Embedder(Protocol):
@@ -75,7 +76,7 @@ def embed_column(rows: DataFrame, key: str, text: str, embedder: Embedder) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "embedding": [embed_long(embedder, t) for t in batch[text]]})
+            yield frame(**{key: batch[key]}, embedding=[embed_long(embedder, t) for t in batch[text]])
 
     return rows.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
 
@@ -114,7 +115,7 @@ def ask_models(units: DataFrame, client: ChatClient, now: Callable[[], str] | No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["unit_id", "kind", "chunk_id", "community_id", "model"]].copy()
-            out["response"] = [client.chat(s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])]
+            out["response"] = pd.Series([client.chat(s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])], dtype=object)
             yield out
 
     return units.mapInPandas(run, "unit_id string, kind string, chunk_id bigint, community_id bigint, model string, response string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.session import stage
+from weftline.session import stage, unchunked
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def neighbours(vectors: DataFrame, config: IvfPqConfig = IvfPqConfig()) -> DataF
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
                 lists = quantisers.value[dim].nearest(_unit(_matrix(rows["vector"])).astype(np.float32), config.probes)
-                yield rows.drop(columns="dim").assign(lists=list(lists))
+                yield unchunked(rows.drop(columns="dim").assign(lists=list(lists)))
 
     placed = stage(distinct.mapInPandas(place, "store string, rep bigint, vector array<float>, lists array<int>"))
     filed = placed.select("store", "rep", "vector", F.element_at("lists", 1).alias("list"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.session import stage
+from weftline.session import frame, stage
 
 #: Shortest suffix of a stem that is filed, longer ones that are filed too, and letters of a stem that refine a common part.
 LEAST_SUFFIX, LONGER_SUFFIX, STEM_HEAD = 5, 8, 3
@@ -234,7 +234,7 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = [class_key(parse(n)) for n in batch["name"]]
-            yield pd.DataFrame({"name": batch["name"], "key": [n if k == "X||" else k for n, k in zip(batch["name"], keys)]})
+            yield frame(name=batch["name"], key=[n if k == "X||" else k for n, k in zip(batch["name"], keys)])
 
     classed = stage(names.mapInPandas(parsed, "name string, key string"))
 

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import stage
+from weftline.session import frame, stage, unchunked
 
 #: Abbreviations that are known without any evidence, without their last period.
 KNOWN = frozenset(
@@ -412,8 +412,8 @@ def corpus_evidence(docs: DataFrame, text: str = "text") -> DataFrame:
                     kinds.append("noun" if counts[1] >= 3 and counts[2] <= 0.02 * counts[1] else "start")
                 else:
                     kinds.append(verdict([int(c) for c in counts], word))
-            out = pd.DataFrame({"word": batch["word"], "kind": kinds})
-            yield out[(out["kind"] != "word") & (out["kind"] != "start")]
+            out = frame(word=batch["word"], kind=kinds)
+            yield unchunked(out[(out["kind"] != "word") & (out["kind"] != "start")])
 
     slots = docs.select(F.col(text).alias("text"), "shape").where("text is not null").mapInPandas(run, "word string, slot int, n bigint")
     sums = slots.groupBy("word").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
@@ -448,13 +448,11 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", sen
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, starts, ends = [], [], []
+            found = []
             for i, value, shape, words in zip(batch["id"], batch["text"], batch["shape"], batch["words"]):
                 corpus = sent.value if words is None else dict(words)
                 for a, b in sentences(value, corpus, shape != "prose"):
-                    ids.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            yield pd.DataFrame({key: pd.Series(ids, dtype=batch["id"].dtype), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
+                    found.append((i, a, b))
+            yield pd.DataFrame(found, columns=[key, "start_char", "end_char"])
 
     return rows.mapInPandas(run, f"`{key}` {rows.schema['id'].dataType.simpleString()}, start_char int, end_char int").distinct()

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import frame
+
 #: Kinds of boundary from the strongest to the weakest. A cut lies at the end of a match.
 BOUNDARIES = (
     ("paragraph", regex.compile(r"\n[^\S\n]*\n\s*")),
@@ -113,7 +115,7 @@ def split_spans(spans: DataFrame, configs: DataFrame, key: str = "span_id", text
                     {"piece": i, "start": a, "core_start": c, "end": b, "cut": kind, "text": value[a:b] if with_text else None}
                     for i, (a, c, b, kind) in enumerate(split_text(value, int(size), int(overlap)))
                 ])
-            yield pd.DataFrame({key: batch[key], "chunk_size": batch["chunk_size"], "n_chars": batch[text].str.len().astype("int32"), "longest_run": pd.Series(runs, dtype="int32", index=batch.index), "pieces": pieces})
+            yield frame(**{key: batch[key]}, chunk_size=batch["chunk_size"], n_chars=[len(t) for t in batch[text]], longest_run=runs, pieces=pieces)
 
     return rows.mapInPandas(run, f"`{key}` {key_type}, chunk_size int, n_chars int, longest_run int, pieces {PIECE}")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import trim_unicode
+
 #: A reply in JSON.
 REPLY = "struct<entities:array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string,properties:string>>>"
 TRIPLE = "struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>"
@@ -23,7 +25,7 @@ def _before(text: Column, mark: str) -> Column:
 
 def split_node(text: Column) -> tuple[Column, Column]:
     """(name, type) of `name (type)`; the type is what the last bracket holds, or null."""
-    text = F.trim(text)
+    text = trim_unicode(text)
     typed = text.endswith(")") & text.contains("(")
     name = F.when(typed, F.trim(F.regexp_extract(text, r"(?s)^(.*)\(", 1))).otherwise(text)
     kind = F.when(typed, F.trim(F.regexp_extract(text, r"(?s)^.*\((.*)\)$", 1)))
@@ -42,7 +44,7 @@ def parse_triple_line(line: Column) -> Column:
 
 def triple_lines(response: Column) -> Column:
     """The lines of a reply that should be triples: not blank, no remark, no example."""
-    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
+    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: trim_unicode(x))
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//") & ~x.startswith("Example"))
 
 

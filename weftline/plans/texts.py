@@ -96,7 +96,7 @@ def queries():
 
 
 _LINES = r"""
-    l AS (SELECT seq, row_number() OVER () AS pos, trim(replace(line, chr(13), '')) AS line FROM (SELECT seq, unnest(string_split(coalesce(response, ''), chr(10))) AS line FROM v_replies WHERE kind = 'extract')),
+    l AS (SELECT seq, row_number() OVER () AS pos, regexp_replace(line, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS line FROM (SELECT seq, unnest(string_split(coalesce(response, ''), chr(10))) AS line FROM v_replies WHERE kind = 'extract')),
     k AS (SELECT * FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '//') AND NOT starts_with(line, 'Example')),
     c AS (SELECT seq, pos, line, CASE WHEN instr(line, ']->') > 0 THEN substr(line, 1, instr(line, ']->') - 1) END AS a,
                  CASE WHEN instr(line, ']->') > 0 THEN trim(substr(line, instr(line, ']->') + 3)) END AS b FROM k),
@@ -112,6 +112,16 @@ def oracle_sql() -> dict[str, str]:
         "parse_json_reply": r"""
             WITH b AS (SELECT seq, trim(regexp_replace(regexp_replace(trim(response), '^```(?:json)?\s*', ''), '\s*```$', '')) AS j FROM v_replies WHERE kind = 'extract')
             SELECT seq, CASE WHEN j IS NOT NULL AND starts_with(j, '{') AND json_valid(j) THEN coalesce(json_array_length(j, '$.entities'), 0) ELSE -1 END::BIGINT AS n FROM b""",
+        "parse_malformed_counts": f"""
+            WITH {_LINES}, g AS (SELECT seq, count(*) FILTER (WHERE head <> '' AND relation <> '' AND tail <> '') AS n, count(*) AS total FROM e GROUP BY 1),
+            r AS (SELECT seq, regexp_matches(trim(coalesce(response, '')), '^(```|\\{{)') AS isj,
+                trim(regexp_replace(regexp_replace(trim(response), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS j FROM v_replies WHERE kind = 'extract'),
+            o AS (SELECT seq, isj, coalesce(json_valid(j) AND starts_with(j, '{{'), false) AS valid, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM r),
+            m AS (SELECT seq, isj, coalesce(json_array_length(j, '$.entities'), 0) AS n_items, valid AND len(json_extract(j, '$.entities[*].head')) = coalesce(json_array_length(j, '$.entities'), 0)
+                AND len(json_extract(j, '$.entities[*].relation')) = coalesce(json_array_length(j, '$.entities'), 0) AND len(json_extract(j, '$.entities[*].tail')) = coalesce(json_array_length(j, '$.entities'), 0) AS ok FROM o)
+            SELECT m.seq, (CASE WHEN isj THEN CASE WHEN ok THEN n_items ELSE 0 END ELSE coalesce(n, 0) END)::BIGINT AS n_triples,
+                (CASE WHEN isj THEN CASE WHEN ok THEN 0 ELSE 1 END ELSE coalesce(total - n, 0) END)::BIGINT AS malformed FROM m LEFT JOIN g ON g.seq = m.seq""",
+        "json_values": "SELECT id, coalesce(json_valid(properties), false) AS is_json FROM v_entities",
         "strategy_route": "SELECT seq, CASE WHEN lower(coalesce(model, '')) LIKE '%nemotron%' THEN 'json' ELSE 'lines' END AS strategy FROM v_replies",
         "lang_detect": """
             SELECT doc_id, CASE lower(list_last(string_split(origin_path, '.'))) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript'

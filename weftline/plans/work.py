@@ -117,6 +117,17 @@ _BODY = "('{\"id\":' || doc_id || ',\"shape\":\"' || shape || '\"}')"
 _SHAPE = "('{\"shape\":\"' || shape || '\"}')"
 
 
+_STATUS = """
+            WITH s AS (SELECT name AS store,
+                (SELECT count(*) FROM v_chunks WHERE store = st.name) AS c, (SELECT count(*) FROM v_chunks WHERE store = st.name AND id NOT IN (SELECT chunk_id FROM v_extractions)) AS todo,
+                (SELECT count(*) FROM v_entities WHERE store = st.name) AS e, (SELECT count(*) FROM v_entities WHERE store = st.name AND id NOT IN (SELECT entity_id FROM v_entity_embeddings)) AS bare,
+                (SELECT count(*) FROM v_entities WHERE store = st.name AND id NOT IN (SELECT entity_id FROM v_entity_communities)) AS loose,
+                (SELECT count(*) FROM v_communities WHERE store = st.name) AS g, (SELECT count(*) FROM v_communities WHERE store = st.name AND summary IS NOT NULL) AS w,
+                (SELECT count(*) FROM v_communities c WHERE store = st.name AND summary IS NULL AND id NOT IN (SELECT parent_id FROM v_communities WHERE summary IS NULL AND parent_id IS NOT NULL)) AS nx
+                FROM stores st)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     raw = {
         "plan_extract_units": """
@@ -136,17 +147,13 @@ def oracle_sql() -> dict[str, str]:
             WITH r AS (SELECT community_id, arg_max(regexp_replace(response, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), seq) AS s FROM v_replies WHERE kind = 'summarize' AND community_id IS NOT NULL AND response IS NOT NULL GROUP BY 1)
             SELECT id, coalesce(s, summary) AS summary FROM v_communities LEFT JOIN r ON community_id = id""",
         "plan_embed": "SELECT id AS entity_id, CASE WHEN coalesce(entity_type, '') = '' THEN name ELSE name || ' (' || entity_type || ')' END AS text FROM v_entities WHERE id NOT IN (SELECT entity_id FROM v_entity_embeddings)",
-        "pipeline_status": """
-            WITH s AS (SELECT name AS store,
-                (SELECT count(*) FROM v_chunks WHERE store = st.name) AS c, (SELECT count(*) FROM v_chunks WHERE store = st.name AND id NOT IN (SELECT chunk_id FROM v_extractions)) AS todo,
-                (SELECT count(*) FROM v_entities WHERE store = st.name) AS e, (SELECT count(*) FROM v_entities WHERE store = st.name AND id NOT IN (SELECT entity_id FROM v_entity_embeddings)) AS bare,
-                (SELECT count(*) FROM v_entities WHERE store = st.name AND id NOT IN (SELECT entity_id FROM v_entity_communities)) AS loose,
-                (SELECT count(*) FROM v_communities WHERE store = st.name) AS g, (SELECT count(*) FROM v_communities WHERE store = st.name AND summary IS NOT NULL) AS w,
-                (SELECT count(*) FROM v_communities c WHERE store = st.name AND summary IS NULL AND id NOT IN (SELECT parent_id FROM v_communities WHERE summary IS NULL AND parent_id IS NOT NULL)) AS nx
-                FROM stores st)
+        "pipeline_status": _STATUS + """
             SELECT store, 'extract' AS phase, c AS total, c - todo AS done, todo AS pending, 0::BIGINT AS blocked, todo > 0 AS ready FROM s UNION ALL
             SELECT store, 'embed', e, e - bare, bare, 0, bare > 0 FROM s UNION ALL SELECT store, 'communities', e, e - loose, loose, 0, loose > 0 FROM s UNION ALL
             SELECT store, 'summarize', g, w, nx, g - w - nx, nx > 0 FROM s""",
+        "next_step": _STATUS + """
+            SELECT store, CASE WHEN todo > 0 THEN todo || ' chunks to extract' WHEN bare > 0 THEN bare || ' entities to embed' WHEN loose > 0 THEN loose || ' entities in no community'
+                WHEN nx > 0 THEN nx || ' communities to summarise' ELSE 'nothing is pending' END AS next FROM s""",
         "capsule_latest": f"SELECT source AS capsule_id, max(doc_id) AS id, arg_max('sha256:' || sha256({_BODY}), doc_id) AS content_fingerprint FROM documents WHERE source IS NOT NULL GROUP BY 1",
         "capsule_history": f"SELECT doc_id AS id, 'sha256:' || sha256({_BODY}) AS content_fingerprint FROM documents WHERE source = 'wiki_pages'",
         "capsule_dedupe_put": f"SELECT min(doc_id) AS id, source AS capsule_id, 'sha256:' || sha256({_SHAPE}) AS content_fingerprint FROM documents WHERE source IS NOT NULL GROUP BY 2, 3",

@@ -41,6 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import frame, unchunked
+
 #: Stopwords kept of each language, at most.
 STOPWORDS = 2_000
 
@@ -89,6 +91,7 @@ _SCRIPTS = (
     ("el", regex.compile(r"\p{Greek}")),
     ("he", regex.compile(r"\p{Hebrew}")),
 )
+_ACCENTS = re.compile("[\u0300-\u036f]")
 _LATIN = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*")
 _FENCE = re.compile(r"^\s*```\w*\s*$", re.M)
 _NOTHING = regex.compile(r"[\s\p{Z}\p{C}\"'`“”„«»]+")
@@ -103,8 +106,10 @@ _OPEN, _CLOSE = "([{（【「『“«„", ")]}）】」』”»“"
 
 def plain(text: str) -> str:
     """Lower case, without accents, one kind of apostrophe, single blanks."""
-    text = unicodedata.normalize("NFKD", text.replace("’", "'").casefold())
-    return re.sub(r"\s+", " ", "".join(c for c in text if not (unicodedata.combining(c) and c < "ऀ")))
+    text = text.replace("’", "'").casefold()
+    if not text.isascii():
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    return " ".join(text.split())
 
 
 def is_empty(response: str | None) -> bool:
@@ -198,6 +203,9 @@ def _letters(text: str) -> str:
 
 
 def is_copy(prompt: str, response: str) -> bool:
+    if ("]->" in response and "]->" not in prompt) or ('"head"' in response and '"head"' not in prompt):
+        # an answer in the form that was asked for gives back no passage
+        return False
     text, passage = _letters(response), _letters(passage_of(prompt))
     if not text or not passage:
         return False
@@ -206,7 +214,13 @@ def is_copy(prompt: str, response: str) -> bool:
     least = min(LEAST_STRETCH, max(4, len(passage) // 3))
     if len(text) < COPIED_OF_PASSAGE * len(passage):
         return False
-    if covered(text, _letters(prompt), least) < COPIED_OF_RESPONSE * len(text):
+    source = _letters(prompt)
+    # every covered stretch holds a piece of `least` characters of the prompt: too few of these, and no automaton is needed
+    parts = {source[i : i + least] for i in range(len(source) - least + 1)}
+    hits = sum(text[i : i + least] in parts for i in range(len(text) - least + 1))
+    if hits * least < COPIED_OF_RESPONSE * len(text):
+        return False
+    if covered(text, source, least) < COPIED_OF_RESPONSE * len(text):
         return False
     return covered(passage, text, least) >= COPIED_OF_PASSAGE * len(passage)
 
@@ -363,7 +377,7 @@ def thai_sentence_ends(prompts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = {e for p in batch["user_prompt"] for x in re.split(r"\s+", p) if (e := thai_ending(x))}
-            yield pd.DataFrame({"ending": sorted(found)})
+            yield frame(ending=sorted(found))
 
     return prompts.select("user_prompt").where(F.col("user_prompt").rlike("[฀-๿]")).mapInPandas(run, "ending string").distinct()
 
@@ -404,8 +418,8 @@ def pair_defects(units: DataFrame, replies: DataFrame) -> DataFrame:
         words = sent.value
         for batch in batches:
             found = [judge(p, r, words, None if e is None else bool(e)) for p, r, e in zip(batch["user_prompt"], batch["response"], batch["ends"])]
-            out = pd.DataFrame({"reply_id": batch["reply_id"], "defect": found})
-            yield out[out["defect"].notna()]
+            out = frame(reply_id=batch["reply_id"], defect=found)
+            yield unchunked(out[out["defect"].notna()])
 
     found = pairs.mapInPandas(run, "reply_id bigint, defect string")
     # replies with one id are repeats; should they differ, the defect that is named first holds

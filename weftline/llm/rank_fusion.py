@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import stage
+
 #: Groups above this size, or above a thousandth of all rows, are ranked by ranges.
 HOT_ROWS = 200_000
 
@@ -88,6 +90,7 @@ def median_rank(
         .groupBy(group, item)
         .agg(*[(F.max(s) + F.lit(0.0)).alias(s) for s in scores])
     )
+    items = stage(items)
     limit = max(hot_rows, items.count() // 1000)
     steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
     sizes = items.groupBy(group).agg(F.count("*").alias("n_items"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.session import frame, unchunked
+from weftline.session import frame, parallelism, unchunked
 
 #: Stopwords kept of each language, at most.
 STOPWORDS = 2_000
@@ -421,7 +421,9 @@ def pair_defects(units: DataFrame, replies: DataFrame) -> DataFrame:
             out = frame(reply_id=batch["reply_id"], defect=found)
             yield unchunked(out[out["defect"].notna()])
 
-    found = pairs.mapInPandas(run, "reply_id bigint, defect string")
+    # judging is work for the processors, not for the disk: small partitions joined for their size would leave them idle
+    spread = pairs.repartition(parallelism(spark), "reply_id")
+    found = spread.mapInPandas(run, "reply_id bigint, defect string")
     # replies with one id are repeats; should they differ, the defect that is named first holds
     order = F.expr("array_position(array('empty', 'refusal', 'copy', 'wrong_language', 'truncated'), defect)")
     return found.groupBy("reply_id").agg(F.min_by("defect", order).alias("defect"))

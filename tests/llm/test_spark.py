@@ -207,3 +207,12 @@ def test_sentence_units(spark):
         got = {tuple(r) for r in sn.sentence_units(docs, sent_words=limit).collect()}
         assert {x for x in got if x[0] != 5} == want and {x for x in got if x[0] == 5}
     assert sn.sentence_units(docs.limit(0)).count() == 0
+
+
+def test_overly_common_blocks_lose_no_pair(spark):
+    # 26 tools and 26 families that share their suffix, first letters, version and given name, and one initial
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Kube{c}rnetes 2" for c in letters] + ["Kubernetes 2"] + [f"Katherine Smi{c}hardson" for c in letters] + ["Katherine Smihardson", "K. Smihardson", "Lubernetes 2"]
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    by_size = [{tuple(r) for r in nv.variant_pairs(nv.link_names(table, common)).collect()} for common in (2, 1000)]
+    assert by_size[0] == by_size[1] and len(by_size[0]) == 28 * 27 // 2 * 2

@@ -5,11 +5,13 @@ with a version (tool), with a word for the kind of organisation, or with given
 name or initial (person); case, accents, blanks, marks, titles, legal forms,
 nicknames and abbreviations fold away, and spellings with equal parts are one
 class. The stems of the classes are filed under their suffixes above a least
-length. A suffix that is overly common is not dropped but refined, first with
-the other part, then with the first letters; a common part (a given name, a
-word like `institute`, a version) is a suffix that is refined with the stem's
-first letters from the start. Pairs inside a block are compared by the ratio of
-their longest common subsequence and must then be one edit apart.
+length. A suffix that is overly common is not dropped but refined with the other
+part; a common part (a given name, a word like `institute`, a version) is a
+suffix that is refined with the stem's first letters from the start. Pairs
+inside a block are compared by the ratio of their longest common subsequence and
+must then be one edit apart. In a block that is still overly common after its
+refinement, only pairs that share a deletion of at most one letter are compared,
+which no pair one edit apart lacks.
 
 An initial is linked to the one person of its family it can stand for, and to
 none if there are several. Classes that are linked are one entity.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -205,18 +207,37 @@ def stands_for(initial: tuple[str, str, str], person: tuple[str, str, str]) -> b
     return any(given[0] == letter and name != given and (family == name or (len(family) >= LEAST_SUFFIX and one_edit(family, name))) for name, given in (person[1:], person[:0:-1]))
 
 
-def block_keys(parts: tuple[str, str, str]) -> Iterator[tuple[str, str, str]]:
-    """(block, first refinement, second refinement) of a class."""
+def block_keys(parts: tuple[str, str, str]) -> Iterator[tuple[str, str]]:
+    """(block, refinement) of a class."""
     kind, stem, other = parts
     group = "P" if kind == "I" else kind
     sides = [(stem, other)] + ([(other, stem)] if kind == "P" else [])
     for word, rest in sides:
         for size in {len(word), LEAST_SUFFIX, LONGER_SUFFIX}:
             if size >= min(LEAST_SUFFIX, len(word)) and size <= len(word) and len(word) >= 3:
-                yield f"{group}~{size if size == len(word) else 's'}{word[-size:]}", rest[:1] if group == "P" else rest, word[:2] + str(len(rest))
+                yield f"{group}~{size if size == len(word) else 's'}{word[-size:]}", rest[:1] if group == "P" else rest
         if rest and len(word) >= STEM_HEAD:
             # a common part refined with the first letters of the stem
-            yield f"{group}^{word[:STEM_HEAD]}^{rest if group != 'P' else rest[:1]}", rest, word[: STEM_HEAD + 1]
+            yield f"{group}^{word[:STEM_HEAD]}^{rest if group != 'P' else rest[:1]}", rest
+
+
+def deletions(word: str) -> set[str]:
+    """word, and word without one letter; words at most one edit apart share one."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def edit_keys(parts: tuple[str, str, str]) -> set[tuple[str, bool]]:
+    """(key, asks) of a class: classes that may be linked share a key, and one of the two asks there.
+
+    A person is filed under its initials too, to be found, but asks there for no other person.
+    """
+    kind, stem, other = parts
+    if kind == "I":
+        return {(f"I|{other}|{d}", True) for d in deletions(stem)}
+    if kind != "P":
+        return {(f"{kind}|{other}|{d}", True) for d in deletions(stem)}
+    sides = [(stem, other), (other, stem)]
+    return {(f"P|{same}|{d}", True) for same, word in sides for d in deletions(word)} | {(f"I|{given[:1]}|{d}", False) for family, given in sides for d in deletions(family)}
 
 
 def distinct_names(sources: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -241,32 +262,52 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, *b) for k in batch["key"] if k.count("|") == 2 for b in set(block_keys(tuple(k.split("|"))))]
-            yield pd.DataFrame(rows, columns=["key", "block", "fine", "finest"])
+            yield pd.DataFrame(rows, columns=["key", "block", "fine"])
+
+    rows = stage(classed.select("key").distinct().mapInPandas(filed, "key string, block string, fine string"))
 
-    rows = stage(classed.select("key").distinct().mapInPandas(filed, "key string, block string, fine string, finest string"))
+    def linked(pairs: Iterable[tuple]) -> set[tuple[str, str, bool]]:
+        found = set()
+        for (ka, a), (kb, b) in pairs:
+            if a[0] == "I" and b[0] == "P" and stands_for(a, b):
+                found.add((ka, kb, True))
+            elif same_entity(a, b):
+                found.add((ka, kb, False))
+        return found
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = set()
             for keys in batch["keys"]:
-                split = [(k, tuple(k.split("|"))) for k in sorted(set(keys))]
-                for (ka, a), (kb, b) in combinations(split, 2):
-                    if a[0] == "I" and b[0] == "P" and stands_for(a, b):
-                        found.add((ka, kb, True))
-                    elif same_entity(a, b):
-                        found.add((ka, kb, False))
+                found |= linked(combinations([(k, tuple(k.split("|"))) for k in sorted(set(keys))], 2))
             yield pd.DataFrame(sorted(found), columns=["a", "b", "initial"])
 
+    def compare_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = linked(((a, tuple(a.split("|"))), (b, tuple(b.split("|")))) for a, b in zip(batch["a"], batch["b"]))
+            yield pd.DataFrame(sorted(found), columns=["a", "b", "initial"])
+
+    def by_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(*row, *e) for row in batch[["key", *fine]].itertuples(index=False, name=None) for e in edit_keys(tuple(row[0].split("|")))]
+            yield pd.DataFrame(out, columns=["key", *fine, "edit", "asks"])
+
     pairs = None
-    for depth, by in enumerate((["block"], ["block", "fine"], ["block", "fine", "finest"])):
+    fine = ["block", "fine"]
+    for by in (["block"], fine):
         sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
         small = rows.join(sizes.where(F.col("n") <= common), by, "left_semi").groupBy(*by).agg(F.collect_list("key").alias("keys"))
         part = small.select("keys").mapInPandas(compare, "a string, b string, initial boolean")
         pairs = part if pairs is None else pairs.unionByName(part)
-        if depth < 2:
-            rows = stage(rows.join(sizes.where(F.col("n") > common), by, "left_semi"))
-            if rows.isEmpty():
-                break
+        rows = stage(rows.join(sizes.where(F.col("n") > common), by, "left_semi"))
+        if rows.isEmpty():
+            break
+    else:
+        # what the refinement makes no rarer
+        edits = stage(rows.mapInPandas(by_edits, "key string, block string, fine string, edit string, asks boolean"))
+        others = edits.select(*fine, "edit", F.col("key").alias("b"), F.col("asks").alias("too"))
+        met = edits.where("asks").join(others, [*fine, "edit"]).where("(asks and not too) or key < b").select(F.col("key").alias("a"), "b").distinct()
+        pairs = pairs.unionByName(met.mapInPandas(compare_pairs, "a string, b string, initial boolean"))
     pairs = stage(pairs.distinct())
     joined = connected_components(pairs.where("not initial"), "a", "b")
     joined = stage(joined)

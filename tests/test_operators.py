@@ -127,6 +127,18 @@ def test_similar_pairs_are_exact(spark):
     assert got == want and {r.id for r in members.where("rep = 500").collect()} == {500, 501, 502, 503, 504}
 
 
+def test_merge_candidates_hold_all_pairs_of_copies(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 4))
+    rows = [("s", i, [float(x) for x in base[i % 12]]) for i in range(30)] + [("s", 100 + i, [0.0] * 4) for i in range(3)] + [("t", 200 + i, [1.0] * 4) for i in range(12)] + [("t", 300, [1.0, 1.0, 1.0, 0.9])]
+    got = [tuple(r) for r in similarity.merge_candidates(spark.createDataFrame(rows, "store string, id long, embedding array<float>"), 0.5).select("store", "a", "b").collect()]
+    unit = {(s, i): np.float32(v).astype(float) / (np.linalg.norm(np.float32(v).astype(float)) or 1) for s, i, v in rows}
+    want = {(s, a, b) for s, a in unit for t, b in unit if s == t and a < b and unit[s, a] @ unit[s, b] >= 0.5}
+    assert len(got) == len(set(got)) and set(got) == want and len([g for g in got if g[0] == "t"]) == 13 * 12 // 2
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "rust rust rust"), (2, "rust and safe-push"), (3, "other words here")], "chunk_id long, content string")
     index = retrieval.Bm25Index(docs).persist()

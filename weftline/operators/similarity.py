@@ -88,8 +88,23 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
 
 
 def merge_candidates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(store, a, b, score) of entity vectors (store, id, embedding) at least threshold similar, a < b.
+    """(store, a, b, score) of all pairs of entity vectors (store, id, embedding) at least threshold similar, a < b.
 
-    Copies of one vector count once, with the least id; similar_pairs gives them too.
+    Vectors are compared once for all their copies; every pair of copies and
+    every pair of a copy with what its vector is similar to is a row of its own.
     """
-    return similar_pairs(vectors, threshold)[0]
+    pairs, members = similar_pairs(vectors, threshold)
+    pairs, members = stage(pairs), stage(members.distinct())
+    of_a = members.select("store", F.col("rep").alias("a"), F.col("id").alias("x"))
+    of_b = members.select("store", F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = pairs.join(of_a, ["store", "a"]).join(of_b, ["store", "b"]).select("store", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    # a class meets itself in parts of about BLOCK members, so that a large one is many tasks
+    classes = members.groupBy("store", "rep").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    own = vectors.select("store", F.col("id").alias("rep"), "embedding").join(classes, ["store", "rep"])
+    # copies of a zero vector have cosine 0, those of one with NaN none
+    own = own.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).withColumn("score", F.when(F.exists("embedding", lambda x: x != 0), 1.0).otherwise(0.0))
+    own = members.join(own.where(F.col("score") >= threshold).select("store", "rep", "score", "parts").distinct(), ["store", "rep"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    left = own.select("store", "rep", "part", F.col("id").alias("a"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    right = own.select("store", "rep", F.col("part").alias("other"), F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = left.join(right, ["store", "rep", "part", "other"]).where("a < b").select("store", "a", "b", "score")
+    return across.unionByName(inside)

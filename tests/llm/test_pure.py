@@ -219,6 +219,17 @@ def test_sentence_units(text, units):
     assert [text[a:b] for a, b in found] == units
 
 
+def test_the_document_decides_before_the_corpus():
+    kind = lambda counts, given: sn.Judge({"Abt": counts}, {"Abt": given} if given else {}).kind("Abt")
+    assert kind([0, 3, 3, 2], "abbr") == kind([0, 3, 3, 2], "last") == kind([0, 0, 1, 1], "abbr") == "word"
+    assert kind([3, 0, 2, 0], "abbr") == kind([3, 0, 0, 0], "last") == "last" and kind([2, 1, 0, 0], None) == "abbr"
+    # silent, or at odds with itself
+    assert kind([0, 3, 0, 0], "abbr") == kind([2, 0, 1, 3], "abbr") == "abbr"
+    text = "We open the Sekt.\n\nThe Sekt is cold. Pour the Sekt. Then drink.\n\nMore Sekt."
+    units = [text[a:b] for a, b in sn.sentences(text, {"Sekt": "abbr"})]
+    assert units == ["We open the Sekt.", "The Sekt is cold.", "Pour the Sekt.", "Then drink.", "More Sekt."]
+
+
 def test_sentences_cover_everything_but_blanks():
     rng = random.Random(4)
     for _ in range(300):

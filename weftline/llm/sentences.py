@@ -5,8 +5,8 @@ decided from what the word before it does elsewhere in the same document, at
 places that are clear: a word whose period stands before a lower-case word, a
 digit or a comma is an abbreviation; one that also stands without a period is
 an ordinary word; one whose period ends a paragraph may end a sentence. Words
-the document is silent about are decided by the counts of the whole corpus,
-rare words by a short list of known abbreviations. In the same way a word that
+the document is silent or at odds with itself about are decided by the counts of
+the whole corpus, rare words by a short list of known abbreviations. In the same way a word that
 is capital inside paragraphs and never begins one is a name or a noun,
 which tells an ordinal (`4. März`) from a sentence end. Each script has its own
 end marks; Thai sentences are parted by blanks.
@@ -50,6 +50,9 @@ KNOWN_LAST = frozenset("etc al usw Inc Ltd Corp Co Bros Jr p.m a.m P.M A.M U.S U
 #: Known titles, which stand before a name and end no sentence.
 TITLES = frozenset("Mr Mrs Ms Dr Prof St Rev Gen Col Capt Lt Hr Fr Mme Mlle Sr Sra Srta Dra प्रो डॉ श्री".split())
 
+#: Clear places of a document that decide on a word, if none speaks against it.
+CLEAR = 2
+
 #: Occurrences in the corpus from which its counts are believed.
 ENOUGH = 8
 
@@ -182,7 +185,7 @@ def verdict(counts: list[int], word: str) -> str:
 
 
 class Judge:
-    """Decides on words with the counts of one document and, where it is silent, of the corpus."""
+    """Decides on words with the counts of one document and, where it is silent or at odds with itself, of the corpus."""
 
     def __init__(self, own: dict[str, list[int]], corpus: dict[str, str]):
         self.own, self.corpus = own, corpus
@@ -191,10 +194,14 @@ class Judge:
         counts = self.own.get(word, [0, 0, 0, 0])
         low, other, end, bare = counts
         given = self.corpus.get(word)
+        if low >= CLEAR and not bare and low > other:
+            # without a paragraph end the document is silent on whether it may be the last word
+            return "last" if end or given == "last" else "abbr"
+        # initials are never ordinary words
+        if not low and end and bare and end + bare >= CLEAR and "." not in word and len(word) > 1:
+            return "word"
         if given is None:
-            # the corpus holds only what is no ordinary word; the document may still know better
-            if low >= 2 and not bare and not end and low > other:
-                return "abbr"
+            # the corpus holds only what is no ordinary word
             return verdict(counts, word) if low + other + end >= ENOUGH or word in KNOWN or word in KNOWN_LAST or "." in word or len(word) == 1 else "word"
         if given == "abbr" and bare > 2 * (low + other + end) and not low and word not in KNOWN:
             return "word"

@@ -230,6 +230,23 @@ def test_the_document_decides_before_the_corpus():
     assert units == ["We open the Sekt.", "The Sekt is cold.", "Pour the Sekt.", "Then drink.", "More Sekt."]
 
 
+def test_all_words_that_are_looked_up_are_asked_for():
+    class Known(dict):
+        def get(self, word, default=None):
+            looked.add(word)
+            return "noun" if word.startswith("#") else rng.choice(["abbr", "last", None])
+
+    rng = random.Random(5)
+    found = 0
+    for _ in range(2000):
+        text = "".join(rng.choice(["ab", "B", "Cd", ". ", ".", "!", '"', "(", ")", "\n", "\n\n", " ", "»", "«", "3", "4.", "/", "…", "¿", "- "]) for _ in range(rng.randint(0, 40)))
+        looked = set()
+        sn.sentences(text, Known({"x": "abbr"}))
+        assert looked <= sn.asked_words(text)
+        found += len(looked)
+    assert found > 100 and {"bzgl", "#März"} <= sn.asked_words("Am 3./4. März bzgl.Haus und")
+
+
 def test_sentences_cover_everything_but_blanks():
     rng = random.Random(4)
     for _ in range(300):

@@ -209,6 +209,13 @@ def test_sentence_units(spark):
     assert sn.sentence_units(docs.limit(0)).count() == 0
 
 
+def test_sentence_units_do_not_depend_on_the_words_sent(spark):
+    rows = [(i, f"Wir bleiben bis 4. März {i} und bzgl. der Reise.") for i in range(40)] + [(100, "Es war am 3./4. März so. Wir fragten bzgl.Haus und Hof.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, joined = ({tuple(r) for r in sn.sentence_units(docs, sent_words=limit).collect()} for limit in (100_000, -1))
+    assert sent == joined and (100, 0, 24) in sent
+
+
 def test_overly_common_blocks_lose_no_pair(spark):
     # 26 tools and 26 families that share their suffix, first letters, version and given name, and one initial
     letters = "abcdefghijklmnopqrstuvwxyz"

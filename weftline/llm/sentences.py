@@ -398,6 +398,25 @@ def sentences(text: str | None, corpus: dict[str, str] | None = None, markdown:
     return out
 
 
+def asked_words(text: str, markdown: bool = True) -> set[str]:
+    """All words that the splitter may look up in the corpus for a document."""
+    out: set[str] = set()
+    for a, b, whole in blocks(text, markdown):
+        part = text[a:b]
+        at = -1 if whole else part.find(".")
+        while at >= 0:
+            m = _before(part, at)
+            if m is not None and m[0].isdigit():
+                # only marks, closers, blanks and openers lie between the period and the word looked up
+                follows = _WORD.search(part, at)
+                if follows is not None:
+                    out.add("#" + follows[0])
+            elif m is not None:
+                out.add(m[0])
+            at = part.find(".", at + 1)
+    return out
+
+
 def corpus_evidence(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, kind) for all words that the corpus knows to be no ordinary words."""
 
@@ -446,7 +465,7 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", sen
 
         def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                pairs = [(i, w) for i, t, s in zip(batch["id"], batch["text"], batch["shape"]) for w in evidence(t, s != "prose")]
+                pairs = [(i, w) for i, t, s in zip(batch["id"], batch["text"], batch["shape"]) for w in asked_words(t, s != "prose")]
                 yield pd.DataFrame(pairs, columns=["id", "word"])
 
         key_ddl = rows.schema["id"].dataType.simpleString()

@@ -227,6 +227,15 @@ def test_graph_and_upward_tree(spark):
     assert deep.where("level = 0").select("node").distinct().count() == 9
 
 
+def test_communities_do_not_depend_on_the_layout(spark):
+    rng = random.Random(3)
+    pairs = {tuple(sorted((30 * g + rng.randint(1, 30), 30 * (g if rng.random() < 0.9 else rng.randint(0, 4)) + rng.randint(1, 30)))) for g in range(5) for _ in range(150)}
+    edges = spark.createDataFrame([("s", a, b, float(rng.randint(1, 3))) for a, b in pairs if a != b], "store string, src long, dst long, weight double")
+    nodes = spark.createDataFrame([("s", i) for i in range(1, 151)], "store string, node long")
+    small, large = ({(r.node, r.community) for r in leiden.detect(edges, nodes, max_edges=limit).collect()} for limit in (10**6, 0))
+    assert small == large and 1 < len({c for _, c in small}) < 100
+
+
 def test_expansion(spark):
     rel = spark.createDataFrame([(1, 1, 2), (2, 3, 2), (3, 3, 4)], "id long, head_id long, tail_id long")
     links = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, 4), (14, 1)], "chunk_id long, entity_id long")

@@ -2,20 +2,21 @@
 
 Local moving is sequential, so it runs in one task for each connected component
 of a store; the total weight of the store is a column, so that components do not
-depend on each other. A component with more than `max_edges` edges does not go
-to one task but to rounds of label propagation on DataFrames.
+depend on each other. The method is the same at every size; a component with
+more than `max_edges` edges only keeps its edges in flat arrays instead of dicts.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.operators.graph import both_ways, induced_subgraph, inter_community_weights
+from weftline.operators.graph import induced_subgraph, inter_community_weights
 from weftline.session import stage
 
 MAX_EDGES = 2_000_000
@@ -74,13 +75,51 @@ def local_moving(labels: dict, order: list, neighbours: dict, degree: dict, m: f
     return labels
 
 
+class FlatNeighbours:
+    """The neighbours of each node in two arrays: node -> {neighbour: weight}, made when asked for."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+        ends = np.concatenate([src, dst])
+        order = np.argsort(ends, kind="stable")
+        self.others = np.concatenate([dst, src])[order]
+        self.weights = np.concatenate([weight, weight])[order]
+        nodes, begins = np.unique(ends[order], return_index=True)
+        self.nodes = nodes.tolist()
+        self.spans = dict(zip(self.nodes, zip(begins.tolist(), [*begins[1:].tolist(), len(ends)])))
+
+    def __getitem__(self, node: int) -> dict:
+        a, b = self.spans[node]
+        return dict(zip(self.others[a:b].tolist(), self.weights[a:b].tolist()))
+
+
+class FlatEdges:
+    """(a, b, weight) of each edge, from arrays."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, part: int = 100_000):
+        self.columns, self.part = (src, dst, weight), part
+
+    def __iter__(self):
+        for at in range(0, len(self.columns[0]), self.part):
+            yield from zip(*(c[at : at + self.part].tolist() for c in self.columns))
+
+
 def leiden_kernel(nodes: list, edges: list, m: float | None = None, max_iterations: int = 100, tolerance: float = 1e-6) -> dict:
     """Community of each node, named by its least node. edges: (a, b, weight), folded, without loops."""
     neighbours: dict = {n: {} for n in nodes}
     for a, b, w in edges:
         neighbours[a][b] = neighbours[a].get(b, 0.0) + w
         neighbours[b][a] = neighbours[b].get(a, 0.0) + w
-    degree = {n: sum(v.values()) for n, v in neighbours.items()}
+    return _communities(nodes, edges, neighbours, m, max_iterations, tolerance)
+
+
+def leiden_flat_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, m: float | None = None, max_iterations: int = 100, tolerance: float = 1e-6) -> dict:
+    """leiden_kernel of the nodes with edges, in less memory; each pair of nodes once."""
+    neighbours = FlatNeighbours(src, dst, weight)
+    return _communities(neighbours.nodes, FlatEdges(src, dst, weight), neighbours, m, max_iterations, tolerance)
+
+
+def _communities(nodes, edges, neighbours, m: float | None, max_iterations: int, tolerance: float) -> dict:
+    degree = {n: sum(neighbours[n].values()) for n in nodes}
     m = sum(w for _, _, w in edges) if m is None else m
     labels = {n: n for n in nodes}
     if not m:
@@ -95,24 +134,6 @@ def leiden_kernel(nodes: list, edges: list, m: float | None = None, max_iteratio
     return labels
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by synchronous rounds: each node takes the label of most weight around it, ties to the least."""
-    ways = stage(both_ways(edges))
-    labels = stage(ways.select("node").distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = ways.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        # a node's own label counts a little, so that pairs do not swap for ever
-        votes = votes.union(labels.select("node", "community", F.lit(0.5).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("community").alias("c"))).alias("b")).select("node", F.col("b.c").alias("community"))
-        fresh = stage(best)
-        if fresh.exceptAll(labels).isEmpty():
-            break
-        labels = fresh
-    inside = induced_subgraph(edges, labels)
-    parts = connected_components(inside)
-    return labels.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
-
-
 def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolerance: float = 1e-6, max_edges: int = MAX_EDGES) -> DataFrame:
     """(store, node, community) of every node (store, node); a community is named by its least node.
 
@@ -124,19 +145,17 @@ def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolera
     total = edges.groupBy("store").agg(F.sum("weight").alias("m"))
     parts = stage(connected_components(edges))
     placed = edges.join(parts.withColumnRenamed("node", "src"), "src").join(total, "store")
-    sizes = placed.groupBy("store", "component").agg(F.count("*").alias("n"))
-    small = placed.join(sizes.where(F.col("n") <= max_edges), ["store", "component"], "left_semi")
-    large = placed.join(sizes.where(F.col("n") > max_edges), ["store", "component"], "left_semi")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = list(rows[["src", "dst", "weight"]].itertuples(index=False, name=None))
-        labels = leiden_kernel(sorted({*rows["src"], *rows["dst"]}), found, float(rows["m"].iloc[0]), max_iterations, tolerance)
+        m = float(rows["m"].iloc[0])
+        if len(rows) > max_edges:
+            labels = leiden_flat_kernel(*(rows[c].to_numpy() for c in ("src", "dst", "weight")), m, max_iterations, tolerance)
+        else:
+            found = list(rows[["src", "dst", "weight"]].itertuples(index=False, name=None))
+            labels = leiden_kernel(sorted({*rows["src"], *rows["dst"]}), found, m, max_iterations, tolerance)
         return pd.DataFrame({"store": rows["store"].iloc[0], "node": list(labels), "community": list(labels.values())})
 
-    found = small.groupBy("store", "component").applyInPandas(run, "store string, node bigint, community bigint")
-    if not large.isEmpty():
-        spread = label_propagation(large.select("store", "src", "dst", "weight"))
-        found = found.unionByName(spread.join(nodes.select("store", "node").distinct(), "node").select("store", "node", "community"))
+    found = placed.groupBy("store", "component").applyInPandas(run, "store string, node bigint, community bigint")
     return nodes.select("store", "node").distinct().join(found, ["store", "node"], "left").select("store", "node", F.coalesce("community", "node").alias("community"))
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from weftline.functions import parsing, vectors
 from weftline.functions.hashing import fingerprint_text
 from weftline.functions.text import fold_key, looks_like_markdown
-from weftline.operators import aggregates, capsules, graph, hierarchy, joins, leiden, listing, pipeline, resolve, retrieval, similarity
+from weftline.operators import aggregates, capsules, graph, hierarchy, joins, leiden, listing, numbering, pipeline, resolve, retrieval, similarity
 from weftline.operators.components import connected_components
 from weftline.schema import migrate
 from weftline.sources import ingest
-from weftline.sources.catalog import Catalog, DimensionMismatch, StoreExists, StoreNotFound
+from weftline.sources.catalog import Catalog, ConcurrentWrite, DimensionMismatch, StoreExists, StoreNotFound
 from weftline.sources.jsonl import export_lines, read_replies
-from weftline.streaming.apply import start_apply
+from weftline.streaming.apply import apply_batch, start_apply
 
 
 def brute_hierarchy(rows):
@@ -97,6 +97,44 @@ def test_catalog(spark, tmp_path):
     assert migrate(spark.range(1), "communities").columns[3] == "parent_id"
 
 
+def test_ids_are_dense_when_written(spark, tmp_path):
+    wide = spark.range(2_000_000, numPartitions=16).select((F.col("id") * 7919 % 2_000_003).alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("content"))
+    numbering.with_ids(wide, spark.createDataFrame([(5,)], "id long"), "seq").write.parquet(str(tmp_path / "w"))
+    found = spark.read.parquet(str(tmp_path / "w"))
+    assert found.agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()[:] == (6, 2_000_005, 2_000_000)
+    assert [r.seq for r in found.where("id < 60000").orderBy("id").select("seq").collect()] == [r.seq for r in wide.orderBy("seq").limit(59994).select("seq").collect()]
+    assert numbering.numbered(wide.limit(0), "seq").count() == 0
+    ties = numbering.numbered(spark.createDataFrame([(1,)] * 5 + [(None,)], "seq int"), "seq")
+    assert sorted(r.id for r in ties.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_commits(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    row = lambda n: spark.createDataFrame([(n, 2)], "name string, dim int")
+    for n in "abc":
+        cat.append("stores", row(n))
+    assert cat.info()["tables"]["stores"] == 3 and cat.state()[0] == 3
+    # a writer that dies before its commit leaves the state as it was
+    claim = cat._claim
+    cat._claim = lambda number, tables: (_ for _ in ()).throw(OSError("gone"))
+    with pytest.raises(OSError):
+        cat.write("stores", row("x"))
+    cat._claim = claim
+    assert {r.name for r in cat.read("stores").collect()} == {"a", "b", "c"}
+    # a commit between reading and replacing is noticed, appending goes on after it
+    since = cat.state()[0]
+    other = Catalog(spark, str(tmp_path))
+    other.append("stores", row("d"))
+    with pytest.raises(ConcurrentWrite):
+        cat.commit(replace={"stores": row("y")}, since=since)
+    assert not cat._claim(4, {}) and cat.state()[0] == 4
+    cat._claim = lambda number, tables: (setattr(cat, "_claim", claim), other.append("stores", row("e")), claim(number, tables))[2]
+    cat.append("stores", row("f"))
+    assert {r.name for r in cat.read("stores").collect()} == set("abcdef")
+    cat.write("stores", row("z"))
+    assert cat.vacuum(1) == 8 and [r.name for r in cat.read("stores").collect()] == ["z"] and cat.vacuum(1) == 0
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [0.9, 0.1])], "chunk_id long, embedding array<float>")
     assert [r.chunk_id for r in retrieval.vector_top_k(rows, [1.0, 0.0], 3).collect()] == [1, 2, 5]
@@ -316,6 +354,30 @@ def test_stream_applies_once(spark, tmp_path):
     assert cat.read("chunk_entities").count() == 4
 
 
+def test_apply_again_and_again(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.create_store("s", 2)
+    cat.write("chunks", spark.createDataFrame([(i, "s", "text") for i in range(1, 6)], "id long, store string, content string"))
+    cat.write("relation_synonyms", spark.createDataFrame([("knows", "known")], "raw string, canonical string"))
+
+    def apply(*rows, batch=0):
+        frame = spark.createDataFrame(list(rows), "chunk_id long, model string, response string").withColumn("received_at", F.current_timestamp())
+        return apply_batch(cat, frame, batch)
+
+    a = "A (Person) -[knows]-> B (Person)"
+    # parts of the work, out of order
+    assert apply((4, "m", a), (2, "m", a)) == 2
+    assert [r.chunk_id for r in pipeline.plan_extract(cat.read("chunks"), cat.read("extractions"), "m").orderBy("chunk_id").collect()] == [1, 3, 5]
+    # again: nothing doubles
+    assert apply((4, "m", a), (2, "m", a), batch=1_000_000) == 0 and cat.read("entities").count() == 2 and cat.read("relations").count() == 2
+    assert apply((1, "m", "a -[likes]-> C (Thing)\n%%%"), (3, "m", "%%% no triple"), batch=2_000_000_000_000) == 1
+    assert apply((5, "m", "D (X) -[knows]-> c (Tool)"), batch=7) == 1
+    ents = {r.name: (r.id, r.entity_type) for r in cat.read("entities").collect()}
+    assert set(ents) == {"A", "B", "C", "D"} and sorted(i for i, _ in ents.values()) == [1, 2, 3, 4] and ents["C"][1] == "Tool" and ents["A"][1] == "Person"
+    assert sorted(r.id for r in cat.read("relations").collect()) == [1, 2, 3, 4] and cat.read("extractions").count() == 5
+    assert {(r.chunk_id, r.triple_count) for r in cat.read("extractions").collect()} == {(1, 1), (2, 1), (3, 0), (4, 1), (5, 1)}
+
+
 def test_listing(spark):
     chunks = spark.createDataFrame([(i, "s", f"c{i}", "f") for i in range(5)], "id long, store string, content string, source string")
     assert [r.id for r in listing.list_recent_chunks(chunks, "s", 2).collect()] == [4, 3] and listing.list_recent_chunks(chunks, "s", -1).count() == 5

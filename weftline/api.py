@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from weftline.functions.text import embed_text, fold_key
 from weftline.functions.vocabulary import standard_synonyms, standard_types
 from weftline.operators import aggregates, graph, joins, leiden, listing, pipeline, resolve, retrieval, similarity
+from weftline.operators.numbering import with_ids
 from weftline.session import stage
-from weftline.sources.catalog import Catalog, StoreNotFound, upsert, with_ids
+from weftline.sources.catalog import Catalog, StoreNotFound, upsert
 from weftline.sources.ingest import Embedder, HashEmbedder, document_chunks, embed_column
 from weftline.sources.jsonl import export_lines
 
 
 class Store:
-    """A named store. Every call works on the newest snapshots; writes replace whole tables."""
+    """A named store. Every call works on the newest commit; a call's writes become visible together."""
 
     def __init__(self, catalog: Catalog, name: str = "default", embedder: Embedder | None = None, create: bool = True):
         self.catalog, self.name, self.embedder = catalog, name, embedder or HashEmbedder()
@@ -42,9 +43,10 @@ class Store:
 
     def add_chunks(self, rows: DataFrame) -> DataFrame:
         """Add chunks (content, source?, metadata?, seq) and their vectors."""
-        fresh = stage(self.catalog.add_chunks(self.name, rows))
-        made = embed_column(fresh.select(F.col("id").alias("chunk_id"), "content"), "chunk_id", "content", self.embedder)
-        self.catalog.set_embeddings("chunk_embeddings", "chunk_id", stage(made), self.dim)
+        fresh = stage(self.catalog.fresh_chunks(self.name, rows).withColumn("created_at", F.current_timestamp()))
+        made = stage(embed_column(fresh.select(F.col("id").alias("chunk_id"), "content"), "chunk_id", "content", self.embedder))
+        self.catalog.check_dims("chunk_id", made, self.dim)
+        self.catalog.commit(append={"chunks": fresh, "chunk_embeddings": made})
         return fresh
 
     def add_documents(self, docs: DataFrame, size: int = 2000, slack: int = 200) -> DataFrame:
@@ -138,8 +140,7 @@ class Store:
         from weftline.streaming.apply import apply_batch, apply_summary_batch
 
         if phase == "extract":
-            top = self.catalog.read("entities").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            apply_batch(self.catalog, replies, int(top) // 10_000_000_000 + 1)
+            apply_batch(self.catalog, replies)
         elif phase == "summarize":
             apply_summary_batch(self.catalog, replies, 0)
         elif phase == "embed":
@@ -153,6 +154,7 @@ class Store:
 
     def detect_communities(self, hierarchical: bool = False, clear: bool = True) -> None:
         """Cluster the store's entities and keep the communities; clear drops earlier ones."""
+        since = self.catalog.state()[0]
         nodes = self._own("entities").select("store", F.col("id").alias("node"))
         edges = stage(graph.fold_edges(self._own("relations")))
         found = leiden.detect_hierarchy(edges, nodes) if hierarchical else leiden.detect(edges, nodes).select("store", F.lit(0).alias("level"), "community", F.lit(None).cast("bigint").alias("parent"), "node")
@@ -166,8 +168,9 @@ class Store:
         fresh = made.join(parents, ["level", "parent"], "left").join(quality, "store", "left")
         links = found.join(made.select("level", "community", F.col("id").alias("community_id")), ["level", "community"]).select(F.col("node").alias("entity_id"), "community_id")
         gone = old.where(F.col("store") == self.name).select(F.col("id").alias("community_id")) if clear else old.limit(0).select(F.col("id").alias("community_id"))
-        self.catalog.write("entity_communities", self.catalog.read("entity_communities").join(gone, "community_id", "left_anti").select("entity_id", "community_id").unionByName(links))
-        self.catalog.write("communities", kept.unionByName(fresh.select("id", "store", "level", "parent_id", F.lit(None).cast("string").alias("summary"), "modularity", F.current_timestamp().alias("created_at"))))
+        rows = fresh.select("id", "store", "level", "parent_id", F.lit(None).cast("string").alias("summary"), "modularity", F.current_timestamp().alias("created_at"))
+        joined = self.catalog.read("entity_communities").join(gone, "community_id", "left_anti").select("entity_id", "community_id").unionByName(links)
+        self.catalog.commit(replace={"entity_communities": joined, "communities": kept.unionByName(rows)}, since=since)
 
     def update_summary(self, community: int, summary: str) -> None:
         rows = self.catalog.read("communities")
@@ -180,12 +183,12 @@ class Store:
         return similarity.merge_candidates(vectors, threshold).orderBy(F.desc("score"), "a", "b")
 
     def merge(self, target: int, source: int) -> None:
+        since = self.catalog.state()[0]
         resolve.check_merge(self._own("entities"), target, source)
         names = ("entities", "relations", "chunk_entities", "entity_communities", "entity_embeddings", "entity_merges")
         tables = {t: self.catalog.read(t) for t in names}
         merges = self.catalog.spark.createDataFrame([(target, source)], "target long, source long")
-        for t, df in resolve.merge_entities(tables, merges).items():
-            self.catalog.write(t, df)
+        self.catalog.commit(replace=resolve.merge_entities(tables, merges), since=since)
 
     def refresh_canonical(self) -> int:
         """Look canonical relations up again in all stores; returns how many rows have one."""

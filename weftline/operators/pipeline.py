@@ -10,6 +10,7 @@ from weftline.functions.parsing import parse_replies
 from weftline.functions.text import embed_text
 from weftline.operators.joins import pending_chunks, pending_communities, unclustered_entities, unembedded_entities
 from weftline.operators.listing import limited
+from weftline.operators.numbering import numbered
 from weftline.operators.resolve import persist_triples
 
 SYSTEM = "Extract facts from the passage as lines of the form: head (type) -[relation]-> tail (type)."
@@ -33,6 +34,8 @@ def plan_extract(chunks: DataFrame, extractions: DataFrame, model: str, limit: i
 def apply_extract(replies: DataFrame, chunks: DataFrame, extractions: DataFrame, synonyms: DataFrame, skip_done: bool = False) -> dict[str, DataFrame]:
     """Results of replies (seq, chunk_id, model, response): entities, relations, chunk_entities and extractions.
 
+    Ids are places among these replies: a relation's is the place of its triple,
+    an entity's twice that of the triple it is first named in, plus 1 as its tail.
     Every reply is checkpointed, also without triples. Replaying adds relations
     again unless skip_done leaves out chunks that are in extractions.
     """
@@ -41,9 +44,9 @@ def apply_extract(replies: DataFrame, chunks: DataFrame, extractions: DataFrame,
         rows = rows.join(extractions.select("chunk_id"), "chunk_id", "left_anti")
     parsed = parse_replies(rows)
     exploded = parsed.select("seq", "chunk_id", F.posexplode("triples").alias("pos", "t")).join(chunks.select(F.col("id").alias("chunk_id"), "store"), "chunk_id")
-    # places of triples: replies in order, triples within a reply in order
-    triples = exploded.select("store", (F.col("seq") * 100_000 + F.col("pos")).alias("seq"), "chunk_id", "t.head", "t.head_type", "t.relation", "t.tail", "t.tail_type")
-    out = persist_triples(triples, synonyms)
+    # dense places of triples: replies in order, triples within a reply in order
+    placed = numbered(exploded.select("store", F.struct("seq", "chunk_id", "pos").alias("order"), "chunk_id", "t.head", "t.head_type", "t.relation", "t.tail", "t.tail_type"), "order", "seq")
+    out = persist_triples(placed.drop("order"), synonyms)
     done = parsed.groupBy("chunk_id").agg(F.max_by("model", "seq").alias("model"), F.max_by(F.size("triples"), "seq").cast("bigint").alias("triple_count"), F.max_by("malformed", "seq").alias("malformed"))
     kept = extractions.join(done.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "model", "triple_count")
     out["extractions"] = kept.unionByName(done.select("chunk_id", "model", "triple_count"))

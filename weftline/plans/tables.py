@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import embed_text, fold_key
 from weftline.operators import aggregates, joins, listing, resolve
+from weftline.operators.numbering import with_ids
 from weftline.plans.views import Views, with_views
 from weftline.sources import catalog
 from weftline.sources.jsonl import export_lines
@@ -222,7 +223,7 @@ def queries():
     @add
     def add_chunks_ids(v):
         old = v.chunks.where("store = 'handbook'").select("id")
-        return catalog.with_ids(v.chunks.where("store = 'papers'").select("content", F.col("id").alias("seq")), old, "seq").select("seq", "id")
+        return with_ids(v.chunks.where("store = 'papers'").select("content", F.col("id").alias("seq")), old, "seq").select("seq", "id")
 
     @add
     def export_jsonl(v):

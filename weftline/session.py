@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Stage folders of this process, deleted at exit.
+_STAGED: set[str] = set()
+
+
 def local_session(cores: int = 4, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench."""
     return (
@@ -54,11 +59,28 @@ def stage(df: DataFrame) -> DataFrame:
     Cuts lineage, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stage_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _stage_dir(spark: SparkSession) -> str:
+    at = f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+    if at not in _STAGED:
+        _STAGED.add(at)
+        atexit.register(release, spark)
+    return at
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has staged; frames that were read from it are of no use then. Also done at exit."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: another one, or whoever owns the folder, clears it
+        pass
+
+
 def unchunked(rows: pd.DataFrame) -> pd.DataFrame:
     """rows with text columns as Python objects.
 

@@ -10,36 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import fold_key
+from weftline.operators.numbering import with_ids
 from weftline.operators.pipeline import apply_extract, apply_summarize
-from weftline.sources.catalog import Catalog, upsert
+from weftline.session import stage
+from weftline.sources.catalog import Catalog
 
 
-def apply_batch(catalog: Catalog, replies: DataFrame, batch_id: int) -> None:
-    """Apply one micro-batch of extraction replies (chunk_id, model, response, received_at) to the catalog."""
+def apply_batch(catalog: Catalog, replies: DataFrame, batch_id: int = 0) -> int:
+    """Apply one micro-batch of extraction replies (chunk_id, model, response, received_at); returns how many relations came of it.
+
+    Entities, relations, links and checkpoints become visible in one commit, so a
+    batch that fails leaves nothing and one that is run again finds its chunks
+    done. Ids go on densely from the highest there are. Only an entity that gets
+    a type it lacked makes the entities be written anew; all else is appended.
+    """
+    since = catalog.state()[0]
     latest = replies.where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("model", "response"), "received_at").alias("r")).select("chunk_id", "r.*")
-    # places grow with the batch, so a later batch's entities never take an earlier one's ids
-    rows = latest.withColumn("seq", F.lit(int(batch_id)) * 10_000_000_000 + F.col("chunk_id"))
     done = catalog.read("extractions")
-    out = apply_extract(rows, catalog.read("chunks"), done, catalog.read("relation_synonyms"), skip_done=True)
-    # the checkpoint is written last: a batch that fails before it is applied again as a whole
+    fresh_rows = stage(latest.join(done.select("chunk_id"), "chunk_id", "left_anti"))
+    if fresh_rows.isEmpty():
+        return 0
+    out = apply_extract(fresh_rows.withColumn("seq", F.col("chunk_id")), catalog.read("chunks"), done, catalog.read("relation_synonyms"))
     old = catalog.read("entities")
-    fresh = out["entities"]
-    from weftline.functions.text import fold_key
-
-    known = old.select("store", fold_key(F.col("name")).alias("key"), F.col("id").alias("known_id"), F.col("name").alias("known_name"))
-    keyed = fresh.withColumn("key", fold_key(F.col("name"))).join(known, ["store", "key"], "left")
-    ids = keyed.select(F.col("id").alias("fresh_id"), F.coalesce("known_id", "id").alias("entity_id"))
-    merged = keyed.select(F.coalesce("known_id", "id").alias("id"), "store", F.coalesce("known_name", "name").alias("name"), "entity_type", "properties")
-    kept = old.select("id", F.col("entity_type").alias("_t"), F.col("properties").alias("_p"))
-    merged = merged.join(kept, "id", "left").select("id", "store", "name", F.coalesce("entity_type", "_t").alias("entity_type"), F.coalesce("properties", "_p").alias("properties"))
-    relations = out["relations"].join(ids.select(F.col("fresh_id").alias("head_id"), F.col("entity_id").alias("h")), "head_id").join(ids.select(F.col("fresh_id").alias("tail_id"), F.col("entity_id").alias("t")), "tail_id")
-    relations = relations.select("id", "store", F.col("h").alias("head_id"), F.col("t").alias("tail_id"), "relation", "canonical_relation", F.lit(None).cast("string").alias("properties"))
-    links = out["chunk_entities"].join(ids.select(F.col("fresh_id").alias("entity_id"), F.col("entity_id").alias("e")), "entity_id").select("chunk_id", F.col("e").alias("entity_id"))
-    before = catalog.read("relations")
-    catalog.write("entities", upsert(old, merged, ["id"]))
-    catalog.write("relations", before.unionByName(relations.join(before.select("id"), "id", "left_anti")))
-    catalog.write("chunk_entities", catalog.read("chunk_entities").unionByName(links).distinct())
-    catalog.write("extractions", out["extractions"].withColumn("extracted_at", F.lit(None).cast("timestamp")))
+    known = old.select("store", fold_key(F.col("name")).alias("key"), F.col("id").alias("known_id"), F.col("entity_type").alias("known_type"))
+    named = stage(out["entities"].withColumn("key", fold_key(F.col("name"))).join(known, ["store", "key"], "left"))
+    new = with_ids(named.where("known_id is null").select(F.col("id").alias("local"), "store", "name", "entity_type", "properties"), old, "local")
+    ids = stage(new.select("local", "id").unionByName(named.where("known_id is not null").select(F.col("id").alias("local"), F.col("known_id").alias("id"))))
+    retyped = named.where("known_id is not null and entity_type is not null and not entity_type <=> known_type").select(F.col("known_id").alias("id"), F.col("entity_type").alias("_t"))
+    heads, tails = ids.select(F.col("local").alias("head_id"), F.col("id").alias("_h")), ids.select(F.col("local").alias("tail_id"), F.col("id").alias("_u"))
+    top = catalog.read("relations").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    # relations are numbered by triple; the next ids follow the highest there is
+    relations = stage(out["relations"].join(heads, "head_id").join(tails, "tail_id").select((F.col("id") + F.lit(int(top))).alias("id"), "store", F.col("_h").alias("head_id"), F.col("_u").alias("tail_id"), "relation", "canonical_relation"))
+    links = out["chunk_entities"].join(ids.withColumnRenamed("local", "entity_id"), "entity_id").select("chunk_id", F.col("id").alias("entity_id")).distinct()
+    links = links.join(catalog.read("chunk_entities"), ["chunk_id", "entity_id"], "left_anti")
+    checked = out["extractions"].join(fresh_rows.select("chunk_id"), "chunk_id", "left_semi").withColumn("extracted_at", F.current_timestamp())
+    replace, append = {}, {"entities": new.drop("local"), "relations": relations, "chunk_entities": links, "extractions": checked}
+    if not retyped.isEmpty():
+        replace["entities"] = old.join(retyped, "id", "left").withColumn("entity_type", F.coalesce("_t", "entity_type")).drop("_t")
+    catalog.commit(replace, append, since)
+    return relations.count()
 
 
 def start_apply(replies: DataFrame, catalog: Catalog, checkpoint: str, **trigger):

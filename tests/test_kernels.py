@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.functions import hashing, spans, vocabulary
 from weftline.operators import leiden
-from weftline.operators.hierarchy import contract
+from weftline.operators.hierarchy import chain, follow
 from weftline.operators.retrieval import has_operators, parse_query, terms_of
 
 
@@ -99,9 +101,12 @@ def test_leiden_parts_are_connected_and_quality_holds():
         assert leiden.quality(labels, edges, degree, float(len(edges))) >= 0
 
 
-def test_contract():
-    found = contract([1, 2, 3, 4, 5, 6], [None, 1, 9, 3, 6, 5], [[], [], [8], [], [], []])
-    assert found[2] == ("root", 1, [1, 2]) and found[4] == ("open", 3, [3, 4]) and found[5][0] == "cycle"
+def test_follow():
+    ids, parents, has = np.array([10, 20, 30, 40, 50, 60, 70]), np.array([0, 10, 99, 30, 60, 50, 60]), np.array([False, True, True, True, True, True, True])
+    up, states, exits, far = follow(ids, parents, has, np.array([1, 1, 5, 2, 1, 1, 1]))
+    assert list(states) == ["root", "root", "open", "open", "cycle", "cycle", "below"] and list(ids[exits][:4]) == [10, 10, 30, 30] and list(far) == [0, 1, 0, 2, 0, 0, 0]
+    assert chain(3, up.tolist(), ids.tolist(), [[], [], [8], [35, 36], [], [], []]) == [30, 35, 36, 40] and chain(1, up.tolist(), ids.tolist(), None) == [10, 20]
+    assert all(len(x) == 0 for x in follow(np.array([], dtype=int), np.array([], dtype=int), np.array([], dtype=bool), np.array([], dtype=int)))
 
 
 def test_query_parsing():

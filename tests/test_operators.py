@@ -40,22 +40,33 @@ def brute_hierarchy(rows):
     return out
 
 
-@pytest.mark.parametrize("base", [200_000, 40])
+@pytest.mark.parametrize("base", [200_000, 10, 0])
 def test_hierarchy(spark, base):
     rng = random.Random(base)
-    n = 120
+    n = 120 if base else 30
     rows = [(i, None if rng.random() < 0.03 else rng.randint(max(1, i - 3), i - 1) if i > 1 and rng.random() < 0.9 else rng.choice([i, n + 9, rng.randint(1, n)])) for i in range(1, n + 1)]
     rows += [(200 + i, 5) for i in range(40)] + [(300, 301), (301, 302), (302, 300), (303, 302), (None, 1)] + rows[:9]
     table = spark.createDataFrame(rows, "id long, parent_id long").withColumn("path", F.lit("clash"))
     resolved = hierarchy.resolve_hierarchy(table, base_nodes=base, hot_children=10)
     got = {r.id: (r.status, r.path) for r in resolved.collect()}
     assert got == brute_hierarchy(rows)
+    lean = hierarchy.resolve_hierarchy(table, base_nodes=base, hot_children=10, paths=False)
+    assert {(r.id, r.status, r.root, r.depth) for r in lean.collect()} == {(i, s, p and p[0], p and len(p) - 1) for i, (s, p) in got.items()} and "path" not in lean.columns
     assert hierarchy.resolve_hierarchy(table.limit(0)).count() == 0
-    if base > 40:
+    if base > 10:
         want = {(a, i, len(p) - 1 - k) for i, (_, p) in got.items() if p for k, a in enumerate(p[:-1])}
         assert {tuple(r) for r in hierarchy.descendants(resolved).collect()} == want
 
 
+def test_long_chains_and_cycles_over_fragments(spark):
+    far = 1 << 60  # ids that a float does not hold
+    rows = [(far + i, far + i - 1 if i else None) for i in range(3000)] + [(10_000 + i, 10_000 + (i + 1) % 700) for i in range(700)] + [(20_000 + i, 10_003 if i % 9 == 0 else 20_000 + i - 1) for i in range(90)]
+    found = hierarchy.resolve_hierarchy(spark.createDataFrame(rows, "id long, parent_id long"), base_nodes=50, paths=False)
+    got = {r.id: (r.status, r.root, r.depth) for r in found.collect()}
+    assert all(got[far + i] == ("child" if i else "root", far, i) for i in range(3000))
+    assert all(got[10_000 + i] == ("on_cycle", None, None) for i in range(700)) and all(got[20_000 + i] == ("below_cycle", None, None) for i in range(90))
+
+
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_components(spark, small):
     rng = random.Random(1)

@@ -2,17 +2,24 @@
 
 Method: each round spreads the nodes over partitions, follows the links that
 stay inside a partition and so contracts every chain to its fragment exit, the
-node whose parent lies elsewhere. Only exits that another fragment hangs on
-go into the smaller quotient forest, which is solved in the same way; when it
-is small enough one task solves it. The paths of the quotient are then put in
-front of the paths inside the fragments. A cycle shows inside a partition, or
-as a cycle of fragments; then the nodes between two exits on the cycle are on
-it too, the others of these fragments lead into it.
+node whose parent lies elsewhere. Only exits that another fragment hangs on go
+into the smaller quotient forest, which is solved in the same way; after one
+round at least, a quotient of up to `base_nodes` links is solved by one task.
+Depth, root and, if asked for, path of the quotient are then put in front of
+those inside the fragments. A cycle shows inside a partition, or as a cycle of
+fragments; then the nodes between the place a fragment is entered and its exit
+are on it too, the others of these fragments lead into it.
+
+Status, root and depth take a few numbers a node, however deep the trees are;
+paths are put together only for those who ask for them, and only then does a row
+grow with its depth. Inside a partition links are followed by doubling on arrays.
 
 So that links do stay inside partitions, a node whose coin shows tails goes to
 the partition of its parent if the parent's coin shows heads; the coins are
 hashes of id and round. Children of a parent with very many children stay
-where they are, so that no partition gets a third of all rows.
+where they are, so that no partition gets a third of all rows, and they get
+their parent's answer by a broadcast of the answers of such parents, of which
+there are a thousand at most.
 
 Status of a node: `root` (no parent), `missing_parent` (its parent names no
 node; it counts as a root for what hangs on it), `child`, `on_cycle`,
@@ -20,209 +27,265 @@ node; it counts as a root for what hangs on it), `child`, `on_cycle`,
 
 Defined results: null ids are left out; repeated rows count once, and of
 several parents of one id the least counts, null before all. An empty table
-gives an empty result. Extra columns are dropped. Paths are as long as the
-trees are deep.
+gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import parallelism, stage
+from weftline.session import frame, parallelism, stage
 
 #: Quotient forests up to this size are solved by one task.
-BASE_NODES = 200_000
+BASE_NODES = 2_000
 
 #: A parent with more children than this, or than a thousandth of all nodes, draws none of them to its partition.
 HOT_CHILDREN = 10_000
 
+#: Rows of paths that are handed on at a time.
+PATH_ROWS = 2_048
+
 ROOT, CYCLE, BELOW, OPEN = "root", "cycle", "below", "open"
+_LONGS = "array<bigint>"
+_ANSWER = f"id bigint, state string, root bigint, depth bigint, path {_LONGS}"
 
 
-def contract(ids: list[int], parents: list[int | None], vias: list[list[int]]) -> dict[int, tuple[str, int, list[int]]]:
-    """Follow links among the given nodes: node -> (state, exit, path from exit to the node).
+def follow(ids: np.ndarray, parents: np.ndarray, has: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(up, states, exits, distances) of nodes whose links are followed as far as both ends are here.
 
-    A via holds the nodes that a link skips, from the parent's side down. State
-    is root, open (the exit's parent lies elsewhere), cycle or below; nodes on a
-    cycle have their own id as exit, nodes below one the id where they enter it.
+    up holds places of parents, a node's own if its parent is not here. Exits are
+    places: of the root, the node whose parent lies elsewhere, or the node itself
+    on or below a cycle. Doubling: the jumps after k rounds are 2**k links long.
     """
-    link = dict(zip(ids, zip(parents, vias)))
-    done: dict[int, tuple[str, int, list[int]]] = {}
-    for start in ids:
-        chain, at, place = [], start, {}
-        while at in link and at not in done and at not in place:
-            place[at] = len(chain)
-            chain.append(at)
-            parent = link[at][0]
-            if parent is None or parent not in link:
-                done[at] = (ROOT if parent is None else OPEN, at, [at])
-                chain.pop()
-                break
-            at = parent
-        if at in place and at not in done:
-            for node in chain[place[at] :]:
-                done[node] = (CYCLE, node, [node])
-            del chain[place[at] :]
-        for node in reversed(chain):
-            parent, via = link[node]
-            state, exit_, path = done[parent]
-            done[node] = (BELOW if state == CYCLE else state, exit_, [*path, *via, node])
-    return done
-
-
-def _solve_small(nodes: DataFrame) -> DataFrame:
-    """One task's answer for a small forest of (id, parent, via)."""
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    found = np.searchsorted(ids[order], parents)
+    found = np.where(found < n, found, 0)
+    place = order[found] if n else found
+    here = has & (ids[place] == parents) if n else has
+    up = np.where(here, place, np.arange(n))
+    jump, far = up.copy(), np.where(here, weights, 0)
+    for _ in range(max(1, n).bit_length()):
+        far, jump = far + far[jump], jump[jump]
+    ended = ~here[jump]
+    states = np.where(ended, np.where(has[jump], OPEN, ROOT), BELOW).astype(object)
+    # who ends nowhere has arrived on its cycle after n links, and every node of a cycle is arrived at
+    states[np.unique(jump[~ended])] = CYCLE
+    return up, states, np.where(ended, jump, np.arange(n)), np.where(ended, far, 0)
+
+
+def chain(place: int, up: np.ndarray, ids: list[int], vias: list | None) -> list[int]:
+    """The path down to a node from where its links end, with what the links skip."""
+    out = []
+    while True:
+        out.append(ids[place])
+        if up[place] == place:
+            return out[::-1]
+        if vias is not None:
+            out += vias[place][::-1]
+        place = up[place]
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches) or [pd.DataFrame({c: pd.Series(dtype=object) for c in ("id", "parent", "has", "weight", "via")})], ignore_index=True)
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(rows[c].to_numpy(dtype=kind) for c, kind in (("id", np.int64), ("parent", np.int64), ("has", bool), ("weight", np.int64)))
+
+
+def _sent(nodes: DataFrame) -> DataFrame:
+    """Nodes as the workers get them: without null numbers, which pandas would turn into floats."""
+    return nodes.select("id", F.coalesce("parent", F.lit(0)).alias("parent"), F.col("parent").isNotNull().alias("has"), "weight", "via")
+
+
+def _vias(rows: pd.DataFrame, paths: bool) -> list | None:
+    return [[] if v is None else [int(x) for x in v] for v in rows["via"]] if paths else None
+
+
+def _solve_small(nodes: DataFrame, paths: bool) -> DataFrame:
+    """One task's answer for a small forest of (id, parent, weight, via)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame({"id": [], "parent": [], "via": []})])
-        ids = [int(x) for x in rows["id"]]
-        parents = [None if pd.isna(p) else int(p) for p in rows["parent"]]
-        vias = [list(map(int, v)) for v in rows["via"]]
-        found = contract(ids, parents, vias)
-        of = dict(zip(ids, vias))
-        out = []
-        for node, (state, exit_, path) in found.items():
-            if state == CYCLE:
-                # the nodes that this node's link skips are on the cycle as well
-                out.append((node, CYCLE, of[node]))
-            elif state == BELOW:
-                out.append((node, BELOW, []))
-            else:
-                out.append((node, state, path))
-        yield pd.DataFrame(out, columns=["id", "state", "path"])
-
-    return nodes.coalesce(1).mapInPandas(run, "id bigint, state string, path array<bigint>")
-
-
-def _solve(nodes: DataFrame, round_: int, base_nodes: int, hot_children: int) -> DataFrame:
-    """(id, state, path) of a forest (id, parent, via) whose parents all exist.
-
-    The path of a node on a cycle holds the nodes that its link skips.
+        rows = _whole(batches)
+        ids, parents, has, weights = _arrays(rows)
+        up, states, exits, far = follow(ids, parents, has, weights)
+        vias, names, up = _vias(rows, paths), ids.tolist(), up.tolist()
+        for a in range(0, len(ids), PATH_ROWS):
+            part = range(a, min(a + PATH_ROWS, len(ids)))
+            sound = [states[i] == ROOT for i in part]
+            yield frame(
+                id=names[a : a + PATH_ROWS],
+                state=states[a : a + PATH_ROWS].tolist(),
+                root=[names[exits[i]] if s else None for i, s in zip(part, sound)],
+                depth=[int(far[i]) if s else None for i, s in zip(part, sound)],
+                path=[chain(i, up, names, vias) if s and paths else None for i, s in zip(part, sound)],
+            )
+
+    return _sent(nodes).coalesce(1).mapInPandas(run, _ANSWER)
+
+
+def _lookup(rows: DataFrame, answers: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with the answers (key, ...) of their key; keys in hot (key), a thousand at most, by broadcast."""
+    hot = hot.withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = answers.join(F.broadcast(hot.select(key)), key, "left_semi")
+    usual = marked.where("_hot is null").drop("_hot").join(answers, key)
+    return usual.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), key))
+
+
+def _hot_parents(nodes: DataFrame, n: int, hot_children: int) -> DataFrame:
+    counts = nodes.where("parent is not null").groupBy("parent").count()
+    return counts.where(F.col("count") > max(hot_children, n // 1000)).select("parent")
+
+
+def _solve(nodes: DataFrame, round_: int, base_nodes: int, hot_children: int, paths: bool) -> DataFrame:
+    """(id, state, root, depth, path) of a forest (id, parent, weight, via) whose parents all exist; path is null without paths.
+
+    A link stands for `weight` links, and via holds the nodes that it skips.
     """
-    n = nodes.count()
-    if n <= base_nodes:
-        return stage(_solve_small(nodes))
     spark = nodes.sparkSession
-    limit = max(hot_children, n // 1000)
-    hot = nodes.where("parent is not null").groupBy("parent").count().where(F.col("count") > limit).select("parent", F.lit(True).alias("hot"))
+    n = nodes.count()
+    if round_ and n <= base_nodes:
+        return stage(_solve_small(nodes, paths))
+    hot = stage(_hot_parents(nodes, n, hot_children))
     coin = lambda c: F.pmod(F.xxhash64(c, F.lit(round_)), F.lit(2)) == 0
     follows = F.col("parent").isNotNull() & F.col("hot").isNull() & ~coin("id") & coin("parent")
-    # at most 1000 parents are hot, so what is broadcast is bounded
-    keyed = nodes.join(F.broadcast(hot), "parent", "left").withColumn("key", F.when(follows, F.col("parent")).otherwise(F.col("id")))
+    keyed = nodes.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "parent", "left").withColumn("key", F.when(follows, F.col("parent")).otherwise(F.col("id")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame({"id": [], "parent": [], "via": []})])
-        ids = [int(x) for x in rows["id"]]
-        parents = [None if pd.isna(p) else int(p) for p in rows["parent"]]
-        vias = [list(map(int, v)) for v in rows["via"]]
-        link = dict(zip(ids, zip(parents, vias)))
-        out = []
-        for node, (state, exit_, path) in contract(ids, parents, vias).items():
-            if state == CYCLE:
-                out.append((node, state, node, link[node][1], None, []))
-            elif state == OPEN:
-                out.append((node, state, exit_, path, link[exit_][0], link[exit_][1]))
-            else:
-                out.append((node, state, exit_, path, None, []))
-        yield pd.DataFrame(out, columns=["id", "state", "exit", "path", "next", "via"]).astype({"next": "Int64"})
+        rows = _whole(batches)
+        ids, parents, has, weights = _arrays(rows)
+        up, states, exits, far = follow(ids, parents, has, weights)
+        vias, names, ups = _vias(rows, paths), ids.tolist(), up.tolist()
+        for a in range(0, len(ids), PATH_ROWS):
+            part = range(a, min(a + PATH_ROWS, len(ids)))
+            yield frame(
+                id=names[a : a + PATH_ROWS],
+                parent=[int(parents[i]) if has[i] else None for i in part],
+                weight=weights[a : a + PATH_ROWS].tolist(),
+                via=[vias[i] if paths else None for i in part],
+                state=states[a : a + PATH_ROWS].tolist(),
+                exit=[names[exits[i]] for i in part],
+                far=far[a : a + PATH_ROWS].tolist(),
+                path=[chain(i, ups, names, vias) if paths and states[i] in (OPEN, ROOT) else None for i in part],
+            )
 
     width = max(2, parallelism(spark))
-    schema = "id bigint, state string, exit bigint, path array<bigint>, next bigint, via array<bigint>"
-    local = stage(keyed.repartition(width, "key").select("id", "parent", "via").mapInPandas(run, schema))
-
-    # the quotient: exits that other fragments hang on; a link goes from an exit to the exit of its parent's fragment
-    exits = local.where((F.col("state") == OPEN) & (F.col("id") == F.col("exit"))).select("id", "next", "via")
-    landing = local.select(F.col("id").alias("next"), F.col("state").alias("to_state"), F.col("exit").alias("to_exit"), F.col("path").alias("to_path"))
-    links = stage(exits.join(landing, "next"))
-    # to_path runs from the fragment's exit to the parent; what follows the exit lies on the link
-    quotient = links.select(
-        "id",
-        F.when(F.col("to_state") == OPEN, F.col("to_exit")).alias("parent"),
-        F.when(F.col("to_state") == OPEN, F.concat(F.slice("to_path", 2, 1_000_000_000), "via")).otherwise(F.array().cast("array<bigint>")).alias("via"),
-        "to_state",
-        F.when(F.col("to_state") == ROOT, F.concat("to_path", "via")).otherwise(F.array().cast("array<bigint>")).alias("front"),
-    )
-    needed = quotient.where("parent is not null").select(F.col("parent").alias("id")).distinct()
-    inner = quotient.join(needed, "id", "left_semi")
-    solved = _solve(inner.select("id", "parent", "via"), round_ + 1, base_nodes, hot_children)
+    schema = f"id bigint, parent bigint, weight bigint, via {_LONGS}, state string, exit bigint, far bigint, path {_LONGS}"
+    local = stage(_sent(keyed.repartition(width, "key")).mapInPandas(run, schema))
 
-    roots = quotient.where("parent is null").select("id", "to_state", "front")
-    ends = roots.select(
-        "id",
-        F.when(F.col("to_state") == ROOT, F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
-        F.when(F.col("to_state") == ROOT, F.concat("front", F.array("id"))).alias("path"),
-    )
-    known = solved.join(roots.select("id", F.col("to_state"), "front"), "id", "left").select(
-        "id",
-        F.when(F.col("to_state").isin(CYCLE, BELOW), F.lit(BELOW)).otherwise(F.col("state")).alias("state"),
-        "path",
-    )
-    # fronts of quotient roots come before the paths that the quotient gave; its first node is the quotient root
-    fronts = roots.where(F.size("front") > 0).select(F.col("id").alias("top"), "front")
-    bad = roots.where(F.col("to_state").isin(CYCLE, BELOW)).select(F.col("id").alias("top"), F.lit(True).alias("bad"))
-    known = (
-        known.withColumn("top", F.when(F.col("state") == ROOT, F.element_at("path", 1)))
-        .join(fronts, "top", "left")
-        .join(bad, "top", "left")
-        .select("id", F.when(F.col("bad"), F.lit(BELOW)).otherwise(F.col("state")).alias("state"), F.when(F.col("front").isNotNull(), F.concat("front", "path")).otherwise(F.col("path")).alias("path"))
+    # the quotient: a link goes from an exit to the exit of the fragment its parent lies in
+    exits = local.where((F.col("state") == OPEN) & (F.col("id") == F.col("exit"))).select("id", "parent", "weight", "via")
+    landing = local.select(F.col("id").alias("parent"), F.col("state").alias("to_state"), F.col("exit").alias("to_exit"), F.col("far").alias("to_far"), F.col("path").alias("to_path"))
+    is_open, is_root = F.col("to_state") == OPEN, F.col("to_state") == ROOT
+    # to_path runs from where the fragment ends to the parent; what follows its first node lies on the link
+    links = stage(
+        _lookup(exits, landing, "parent", hot).select(
+            "id",
+            F.col("parent").alias("enters"),
+            F.when(is_open, F.col("to_exit")).alias("parent"),
+            (F.col("weight") + F.col("to_far")).alias("weight"),
+            F.when(is_open, F.concat(F.slice("to_path", 2, 1_000_000_000), "via")).alias("via"),
+            F.when(is_root, F.lit(ROOT)).when(~is_open, F.lit(BELOW)).alias("state"),
+            F.when(is_root, F.col("to_exit")).alias("root"),
+            F.when(is_root, F.concat("to_path", "via", F.array("id"))).alias("path"),
+        )
     )
-    known = stage(known)
-    # exits nothing hangs on take the answer of the fragment they hang on themselves
-    up = known.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("path").alias("up_path"))
-    leaves = (
-        quotient.where("parent is not null").select("id", "parent", "via").join(known.select("id"), "id", "left_anti")
-        .join(up, "parent")
-        .select(
+    inner = links.join(links.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
+    solved = _solve(inner.select("id", "parent", "weight", "via"), round_ + 1, base_nodes, hot_children, paths)
+
+    # what the quotient's roots hang on comes in front of what hangs on them
+    ends = links.where("parent is null").select("id", "state", "root", F.col("weight").alias("depth"), "path")
+    fronts = ends.select(F.col("id").alias("root"), F.col("state").alias("top_state"), F.col("root").alias("top"), F.col("depth").alias("top_depth"), F.col("path").alias("front"))
+    known = stage(
+        solved.join(fronts, "root", "left").select(
             "id",
-            F.when(F.col("up_state") == ROOT, F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
-            F.when(F.col("up_state") == ROOT, F.concat("up_path", "via", F.array("id"))).alias("path"),
+            F.when(F.col("state") == ROOT, F.col("top_state")).otherwise(F.col("state")).alias("state"),
+            F.col("top").alias("root"),
+            (F.col("depth") + F.col("top_depth")).alias("depth"),
+            F.concat("front", F.slice("path", 2, 1_000_000_000)).alias("path"),
         )
     )
-    answers = known.unionByName(leaves).unionByName(ends.join(known.select("id"), "id", "left_anti"))
-    answers = answers.select(F.col("id").alias("exit"), F.col("state").alias("exit_state"), F.col("path").alias("exit_path"))
-    # nodes between the exits of a cycle are on it: those that the links of exits on the cycle skip
-    skipped = known.where(F.col("state") == CYCLE).select(F.explode("path").alias("id")).distinct().withColumn("between", F.lit(True))
-    full = local.where(F.col("state") == OPEN).join(answers, "exit").join(skipped, "id", "left")
+    # exits nothing hangs on take the answer of the exit they hang on
+    rest = links.join(known.select("id"), "id", "left_anti")
+    up = known.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+    leaves = _lookup(rest.where("parent is not null").select("id", "parent", "weight", "via"), up, "parent", _hot_parents(rest, n, hot_children)).select(
+        "id",
+        F.when(F.col("up_state") == ROOT, F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
+        F.col("up_root").alias("root"),
+        (F.col("up_depth") + F.col("weight")).alias("depth"),
+        F.concat("up_path", "via", F.array("id")).alias("path"),
+    )
+    answers = known.unionByName(leaves).unionByName(rest.where("parent is null").select("id", "state", "root", F.col("weight").alias("depth"), "path"))
+    answers = answers.select(F.col("id").alias("exit"), F.col("state").alias("exit_state"), F.col("root").alias("exit_root"), F.col("depth").alias("exit_depth"), F.col("path").alias("exit_path"))
+    on_cycle = known.where(F.col("state") == CYCLE).select("id")
+    between = _between(local, links.join(on_cycle, "id", "left_semi").select(F.col("enters").alias("id"), F.lit(True).alias("entered")), on_cycle)
+    cyclic = F.col("exit_state") == CYCLE
+    full = local.where(F.col("state") == OPEN).select("id", "exit", "far", F.col("path").alias("own")).join(answers, "exit").join(between, "id", "left")
     expanded = full.select(
         "id",
-        F.when((F.col("exit_state") == CYCLE) & ((F.col("id") == F.col("exit")) | F.col("between")), F.lit(CYCLE))
-        .when(F.col("exit_state").isin(CYCLE, BELOW), F.lit(BELOW))
-        .otherwise(F.col("exit_state"))
-        .alias("state"),
-        F.when(F.col("exit_state").isin(CYCLE, BELOW), F.when(F.col("id") == F.col("exit"), F.col("exit_path")).otherwise(F.array().cast("array<bigint>")))
-        .otherwise(F.concat("exit_path", F.slice("path", 2, 1_000_000_000)))
-        .alias("path"),
+        F.when(cyclic & F.col("between"), F.lit(CYCLE)).when(cyclic, F.lit(BELOW)).otherwise(F.col("exit_state")).alias("state"),
+        F.col("exit_root").alias("root"),
+        (F.col("exit_depth") + F.col("far")).alias("depth"),
+        F.concat("exit_path", F.slice("own", 2, 1_000_000_000)).alias("path"),
     )
-    return stage(local.where(F.col("state") != OPEN).select("id", "state", "path").unionByName(expanded))
+    ended = local.where(F.col("state") != OPEN).select("id", "state", F.when(F.col("state") == ROOT, F.col("exit")).alias("root"), F.when(F.col("state") == ROOT, F.col("far")).alias("depth"), "path")
+    return stage(ended.unionByName(expanded))
+
 
+def _between(local: DataFrame, entered: DataFrame, on_cycle: DataFrame) -> DataFrame:
+    """(id, between): the nodes of fragments on a cycle from where they are entered to their exit."""
 
-def resolve_hierarchy(rows: DataFrame, id_: str = "id", parent: str = "parent_id", base_nodes: int = BASE_NODES, hot_children: int = HOT_CHILDREN) -> DataFrame:
-    """(id, parent_id, status, root, depth, path) of every node; the path runs from the root to the node."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        above = dict(zip(rows["id"].tolist(), rows["parent"].tolist()))
+        out: set[int] = set()
+        for at in rows["id"][rows["entered"].notna()].tolist():
+            while at in above and at not in out:
+                out.add(at)
+                at = above[at]
+        return frame(id=sorted(out), between=[True] * len(out))
+
+    parts = local.where(F.col("state") == OPEN).select("id", "parent", "exit").join(on_cycle.withColumnRenamed("id", "exit"), "exit", "left_semi")
+    marked = parts.join(entered.distinct(), "id", "left")
+    # a fragment lies in one partition, so its nodes fit where they have been before
+    return marked.groupBy("exit").applyInPandas(run, "id bigint, between boolean")
+
+
+def resolve_hierarchy(rows: DataFrame, id_: str = "id", parent: str = "parent_id", base_nodes: int = BASE_NODES, hot_children: int = HOT_CHILDREN, paths: bool = True) -> DataFrame:
+    """(id, parent_id, status, root, depth, path) of every node; the path runs from the root to the node, and is left out without paths."""
     links = rows.select(F.col(id_).cast("bigint").alias("id"), F.col(parent).cast("bigint").alias("parent")).where("id is not null")
     links = links.groupBy("id").agg(F.min(F.struct(F.col("parent").isNotNull(), "parent")).alias("p")).select("id", F.col("p.parent").alias("parent"))
     links = stage(links)
-    named = links.where("parent is not null").select("parent").distinct()
-    there = named.join(links.select(F.col("id").alias("parent")), "parent", "left_semi").withColumn("there", F.lit(True))
-    links = stage(links.join(there, "parent", "left").select("id", "parent", (F.col("parent").isNotNull() & F.col("there").isNull()).alias("missing")))
+    # one row a parent, so that very many children of one cost nothing in the join
+    named = stage(links.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children")).join(links.select(F.col("id").alias("parent"), F.lit(True).alias("there")), "parent", "left"))
+    n = links.count()
+    hot = stage(named.where(F.col("children") > max(hot_children, n // 1000)).select("parent"))
+    inner_ids = named.where("there").select(F.col("parent").alias("id"))
     # nodes without children need no contraction: they take the answer of their parent
-    inner = links.join(named.select(F.col("parent").alias("id")), "id", "left_semi")
-    empty = F.array().cast("array<bigint>")
-    solved = _solve(inner.select("id", F.when(~F.col("missing"), F.col("parent")).alias("parent"), empty.alias("via")), 0, base_nodes, hot_children)
-    inner_rows = inner.join(solved, "id").select("id", "parent", "missing", "state", "path")
-    outer = links.join(named.select(F.col("parent").alias("id")), "id", "left_anti")
-    up = solved.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("path").alias("up_path"))
-    outer_rows = outer.join(up, "parent", "left").select(
+    inner = _lookup(links.join(inner_ids, "id", "left_semi").where("parent is not null"), named.select("parent", "there"), "parent", hot)
+    inner = stage(inner.select("id", "parent", F.col("there").isNull().alias("missing")).unionByName(links.join(inner_ids, "id", "left_semi").where("parent is null").withColumn("missing", F.lit(False))))
+    via = (F.array() if paths else F.lit(None)).cast(_LONGS)
+    solved = _solve(inner.select("id", F.when(~F.col("missing"), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("weight"), via.alias("via")), 0, base_nodes, hot_children, paths)
+    inner_rows = inner.join(solved, "id")
+    outer = links.join(inner_ids, "id", "left_anti")
+    up = named.select("parent", "there").join(solved.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path")), "parent", "left")
+    hung = _lookup(outer.where("parent is not null"), up, "parent", hot).select(
         "id",
         "parent",
-        "missing",
-        F.when(F.col("up_state").isNull() | (F.col("up_state") == ROOT), F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
-        F.concat(F.coalesce("up_path", empty), F.array("id")).alias("path"),
+        F.col("there").isNull().alias("missing"),
+        F.when(F.col("there").isNull() | (F.col("up_state") == ROOT), F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
+        F.when(F.col("there").isNull(), F.col("id")).otherwise(F.col("up_root")).alias("root"),
+        F.when(F.col("there").isNull(), F.lit(0)).otherwise(F.col("up_depth") + 1).cast("bigint").alias("depth"),
+        F.when(F.col("there").isNull(), F.array("id")).otherwise(F.concat("up_path", F.array("id"))).alias("path"),
     )
-    everything = inner_rows.unionByName(outer_rows)
+    alone = outer.where("parent is null").select("id", "parent", F.lit(False).alias("missing"), F.lit(ROOT).alias("state"), F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("id").alias("path"))
+    everything = inner_rows.unionByName(hung).unionByName(alone)
     sound = F.col("state") == ROOT
     status = (
         F.when(F.col("state") == CYCLE, "on_cycle")
@@ -231,14 +294,8 @@ def resolve_hierarchy(rows: DataFrame, id_: str = "id", parent: str = "parent_id
         .when(F.col("parent").isNull(), "root")
         .otherwise("child")
     )
-    return everything.select(
-        "id",
-        F.col("parent").alias("parent_id"),
-        status.alias("status"),
-        F.when(sound, F.element_at("path", 1)).alias("root"),
-        F.when(sound, F.size("path") - 1).alias("depth"),
-        F.when(sound, F.col("path")).alias("path"),
-    )
+    out = [F.when(sound, F.col("root")).alias("root"), F.when(sound, F.col("depth")).cast("int").alias("depth")]
+    return everything.select("id", F.col("parent").alias("parent_id"), status.alias("status"), *out, *([F.when(sound, F.col("path")).alias("path")] if paths else []))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

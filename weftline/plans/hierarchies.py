@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.operators.hierarchy import descendants, faulty_links, resolve_hierarchy
 from weftline.session import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faulty_links(resolve_hierarchy(table(spark, sf_dir, "communities")))
+    return faulty_links(resolve_hierarchy(table(spark, sf_dir, "communities"), paths=False))
 
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_hierarchy(table(spark, sf_dir, "communities"))
+    found = resolve_hierarchy(table(spark, sf_dir, "communities"))
+    return found.withColumn("path", F.concat_ws("/", F.col("path").cast("array<string>"))).withColumn("path", F.when(F.col("root").isNotNull(), F.col("path")))
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,12 @@ _LINKS = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"WITH {_LINKS} SELECT id AS community_id, status FROM status WHERE status IN ('on_cycle', 'below_cycle', 'missing_parent')",
+        "p4_paths": f"""
+            WITH {_LINKS},
+            sound AS (SELECT id FROM status WHERE status NOT IN ('on_cycle', 'below_cycle')),
+            down AS (SELECT id, id AS root, 0 AS depth, id::VARCHAR AS path FROM status WHERE status IN ('root', 'missing_parent')
+                UNION ALL SELECT l.id, d.root, d.depth + 1, d.path || '/' || l.id FROM down d JOIN links l ON l.parent = d.id)
+            SELECT s.id, s.parent_id, s.status, d.root, d.depth, d.path FROM status s LEFT JOIN down d USING (id)""",
         "p4_descendants": f"""
             WITH {_LINKS},
             sound AS (SELECT id FROM status WHERE status NOT IN ('on_cycle', 'below_cycle')),

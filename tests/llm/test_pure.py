@@ -101,12 +101,23 @@ def brute_edits(a, b):
     return d[len(a) - 1, len(b) - 1]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcdefgh", min_size=5, max_size=11), st.integers(0, 11), st.integers(0, 3))
+def test_words_one_letter_apart_share_an_end(word, at, kind):
+    at %= len(word)
+    other = (word[:at] + word[at + 1 :], word[:at] + "x" + word[at:], word[:at] + "x" + word[at + 1 :], word[:at] + word[at + 1 : at + 2] + word[at] + word[at + 2 :])[kind]
+    assert len(other) < 5 or nv.alike(word, other, 0.0) and set(nv.ends(word)) & set(nv.ends(other))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd", max_size=7), st.text("abcd", max_size=7))
 def test_weighted_distance_and_one_edit(a, b):
     edits, weight = cv.weighted_distance(a, b)
     assert edits == brute_edits(a, b) and weight <= edits + 1e-9
-    assert nv.one_edit(a, b) == (edits <= 1)
+    assert nv.alike(a, b, 0.0) == (edits <= 1)
+    assert edits > 1 or nv.deletions(a) & nv.deletions(b)
+    assert edits > 1 or min(len(a), len(b)) < 5 or set(nv.ends(a)) & set(nv.ends(b))
+    assert edits > 1 or min(len(a), len(b)) < 3 or a[0] == b[0] or a[-1] == b[-1]
 
 
 @settings(max_examples=100, deadline=None)
@@ -152,6 +163,9 @@ def test_name_parts():
     a, b, c = nv.parse("Teodor Zanivolas"), nv.parse("Theodore Zanivolas"), nv.parse("Teoodr Zanivolas")
     assert not nv.same_entity(a, b) and nv.same_entity(a, c)
     assert not nv.same_entity(nv.parse("Pohipelasis 3"), nv.parse("Pohipelasis 4"))
+    assert nv.parse("Graphdb 2.1") == nv.parse("graphdb-v2.1") == nv.parse("GraphDB2.1") == ("T", "graphdb", "2.1") and nv.parse("Graphdb 3.1")[2] == "3.1"
+    for x, y in (("Kubernetes", "Kuberntes"), ("Elasticsearch", "Elasticsaerch"), ("Postgres", "Postgrse"), ("Postgres", "Opstgres"), ("Redisy", "Reidsy")):
+        assert nv.same_entity(nv.parse(x), nv.parse(y)) and {k for k, *_ in nv.block_keys(nv.parse(x))} & {k for k, *_ in nv.block_keys(nv.parse(y))}
     assert nv.stands_for(nv.parse("T. Zanivolas"), a) and not nv.stands_for(nv.parse("K. Zanivolas"), a)
 
 

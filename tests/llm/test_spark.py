@@ -223,3 +223,55 @@ def test_overly_common_blocks_lose_no_pair(spark):
     table = spark.createDataFrame([(n,) for n in names], "name string")
     by_size = [{tuple(r) for r in nv.variant_pairs(nv.link_names(table, common)).collect()} for common in (2, 1000)]
     assert by_size[0] == by_size[1] and len(by_size[0]) == 28 * 27 // 2 * 2
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_names_link_as_by_brute_force(spark, common):
+    rng = random.Random(common)
+    syllables = [a + b for a in "bdkmnrst" for b in "aeio"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    givens, families, tools = [word(rng.randint(2, 4)) for _ in range(4)], [word(rng.randint(2, 6)) for _ in range(25)], [word(rng.randint(3, 6)) for _ in range(40)]
+
+    def typo(w):
+        i, kind = rng.randrange(len(w)), rng.randrange(4)
+        return w[:i] + w[i + 1 :] if kind == 0 else w[:i] + rng.choice("bdkaeio") + w[i + (kind == 1) :] if kind < 3 else w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]
+
+    names = set()
+    for _ in range(900):
+        f, g, t = (rng.choice(x) for x in (families, givens, tools))
+        names.add(rng.choice([f"{g} {f}", f"{typo(g)} {f}", f"{g} {typo(f)}", f"{g[0]}. {f}", f"{g[0]}. {typo(f)}", t, typo(t), f"{t} {rng.randint(1, 2)}", f"{typo(t)} {rng.randint(1, 2)}.1", f"{typo(t)} Foundation", f"{t} Fdn."]))
+    parts = {"|".join(nv.parse(n)): nv.parse(n) for n in names}
+    top = {k: k for k in parts}
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a in sorted(parts):
+        for b in parts:
+            if a < b and nv.same_entity(parts[a], parts[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    of = {}
+    for a, p in parts.items():
+        people = {find(b) for b, q in parts.items() if p[0] == "I" and q[0] == "P" and nv.stands_for(p, q)}
+        of[a] = people.pop() if len(people) == 1 else find(a)
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.entity for r in nv.link_names(table, common).collect()}
+    assert got == {n: of["|".join(nv.parse(n))] for n in names}
+
+
+def test_blocks_of_any_size_keep_all_pairs(spark):
+    # one class of very many variants and 5 000 names with a common ending
+    rng = random.Random(4)
+    stems = {"".join(rng.choice("bcdfghklmnprstvz") for _ in range(7)) for _ in range(5000)}
+    names = [f"{s}iletapon" for s in sorted(stems)]
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r.name_a, r.name_b) for r in nv.variant_pairs(nv.link_names(table), part=2).collect()}
+    by = {}
+    for s in stems:
+        for d in nv.deletions(s):
+            by.setdefault(d, set()).add(s)
+    near = {tuple(sorted((a, b))) for group in by.values() for a in group for b in group if a < b and nv.alike(f"{a}iletapon", f"{b}iletapon")}
+    assert {(f"{a}iletapon", f"{b}iletapon") for a, b in near} <= got and len(got) < 20 * len(near) + 10

@@ -4,14 +4,20 @@ Method: suffix blocking. A spelling is parsed into a kind and parts: the stem
 with a version (tool), with a word for the kind of organisation, or with given
 name or initial (person); case, accents, blanks, marks, titles, legal forms,
 nicknames and abbreviations fold away, and spellings with equal parts are one
-class. The stems of the classes are filed under their suffixes above a least
-length. A suffix that is overly common is not dropped but refined with the other
-part; a common part (a given name, a word like `institute`, a version) is a
-suffix that is refined with the stem's first letters from the start. Pairs
-inside a block are compared by the ratio of their longest common subsequence and
-must then be one edit apart. In a block that is still overly common after its
-refinement, only pairs that share a deletion of at most one letter are compared,
-which no pair one edit apart lacks.
+class. Every class is filed under suffixes of its words above a least length,
+and under their beginnings for what differs near the end. Pairs inside a block
+are compared by the ratio of their longest common subsequence: it must be as
+large as it is when one letter of the longer word has no counterpart in the
+other (one letter more, less, another, or swapped with its neighbour), and what
+is not compared must be equal. A block that is overly common is not dropped: it is refined with the
+other part; where that does not make it rarer, only those classes are compared
+that share a deletion of at most one letter, which all such pairs do.
+
+No pair that would be linked is missed. Two words of at least nine letters with
+one letter's difference share their last five or their first three letters;
+shorter ones share the last three, the first two, or the first and the last two.
+Persons differ in one part only, so they share the other as a whole, and the
+first or last letter of the part that differs.
 
 An initial is linked to the one person of its family it can stand for, and to
 none if there are several. Classes that are linked are one entity.
@@ -28,6 +34,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -37,14 +44,17 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.session import frame, stage
 
-#: Shortest suffix of a stem that is filed, longer ones that are filed too, and letters of a stem that refine a common part.
-LEAST_SUFFIX, LONGER_SUFFIX, STEM_HEAD = 5, 8, 3
+#: Letters of the suffix and of the beginning under which words are filed, and length up to which both are shorter.
+LEAST_SUFFIX, HEAD, SHORT = 5, 3, 8
 
 #: Classes in a block from which its suffix is overly common.
 COMMON = 64
 
-#: Least ratio of the longest common subsequence to the mean length.
-LEAST_RATIO = 0.8
+#: Least ratio of the longest common subsequence to the mean length; and for a part beside an equal one.
+LEAST_RATIO, LEAST_PART_RATIO = 0.8, 0.7
+
+#: Names of one entity that meet those of another part of it in one task.
+PART = 1_024
 
 #: Words for kinds of organisation and their abbreviations.
 ORG_WORDS = {
@@ -76,20 +86,8 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _VERSION = re.compile(r"(?:v|ver|vers|version)?\.?(\d+(?:\.\d+)*)$")
 _ENDING = re.compile(r"^([a-z]{4,}[a-z0-9]*[a-z])(?:v?(\d+(?:\.\d+)*))$")
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether b is a, or one insertion, deletion, substitution or swap of neighbours away."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+#: A word that ends in a version with dots, which are no ends of abbreviations.
+_DOTTED = re.compile(r"(?:[^\W\d]\w*?)?\d+(?:\.\d+)+")
 
 
 def lcs_ratio(a: str, b: str) -> float:
@@ -104,13 +102,33 @@ def lcs_ratio(a: str, b: str) -> float:
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return 2 * (len(a) - bin(row).count("1")) / (len(a) + len(b))
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+def alike(a: str, b: str, least: float = LEAST_RATIO) -> bool:
+    """Whether the ratio of the longest common subsequence is at least `least`, and leaves at most one letter of the longer word without a counterpart.
+
+    A letter that has its counterpart elsewhere must have moved by one place only.
+    """
+    if a == b:
+        return True
+    short, longer = sorted((len(a), len(b)))
+    if longer - short > 1 or lcs_ratio(a, b) < max(least, 1 - 1 / longer) - 1e-9:
+        return False
+    same = 0
+    while same < short and a[same] == b[same]:
+        same += 1
+    end = 0
+    while end < short - same and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return longer - same - end <= 2
 
 
+@lru_cache(100_000)
 def _org_word(token: str) -> str | None:
     hit = ORG_WORDS.get(token)
     if hit is None and len(token) >= 5:
-        hit = next((v for k, v in ORG_WORDS.items() if len(k) >= 5 and one_edit(k, token)), None)
+        hit = next((v for k, v in ORG_WORDS.items() if len(k) >= 5 and alike(k, token)), None)
     return hit
 
 
@@ -136,7 +154,8 @@ def parse(name: str) -> tuple[str, str, str]:
     raw = [t for t in re.split(r"[^\w'.]+|_+", text) if t.strip("'.")]
     tokens: list[str] = []
     for t in raw:
-        for piece in t.replace("'", "").split("."):
+        t = t.replace("'", "").strip(".")
+        for piece in [t] if _DOTTED.fullmatch(t) else t.split("."):
             if not piece:
                 continue
             parts = _CAMEL.split(piece) if not piece.isupper() else [piece]
@@ -181,63 +200,67 @@ def class_key(parts: tuple[str, str, str]) -> str:
 
 
 def same_entity(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
-    """Whether two classes may be one entity: long common subsequence, then one edit in one part."""
+    """Whether two classes may be one entity: one part alike by its common subsequence, the others equal."""
     if a[0] != b[0]:
         return False
     kind = a[0]
     if kind in "TO":
-        return a[2] == b[2] and lcs_ratio(a[1], b[1]) >= LEAST_RATIO and one_edit(a[1], b[1])
+        return a[2] == b[2] and alike(a[1], b[1])
     if kind == "P":
-        ways = [((a[1], b[1]), (a[2], b[2])), ((a[1], b[2]), (a[2], b[1]))]
-        for first, second in ways:
+        for first, second in (((a[1], b[1]), (a[2], b[2])), ((a[1], b[2]), (a[2], b[1]))):
             if first[0] != first[1] and second[0] != second[1]:
                 continue
             x, y = first if first[0] != first[1] else second
-            if len(x) >= 3 and lcs_ratio(x, y) >= LEAST_RATIO - 0.1 and one_edit(x, y):
+            if min(len(x), len(y)) >= 3 and alike(x, y, LEAST_PART_RATIO):
                 return True
         return False
     if kind == "I":
-        return a[2] == b[2] and one_edit(a[1], b[1]) and len(a[1]) >= LEAST_SUFFIX
-    return len(a[1]) >= LEAST_SUFFIX and lcs_ratio(a[1], b[1]) >= LEAST_RATIO and one_edit(a[1], b[1])
+        return a[2] == b[2] and min(len(a[1]), len(b[1])) >= LEAST_SUFFIX and alike(a[1], b[1])
+    return min(len(a[1]), len(b[1])) >= LEAST_SUFFIX and alike(a[1], b[1])
 
 
 def stands_for(initial: tuple[str, str, str], person: tuple[str, str, str]) -> bool:
     """Whether an initial with a family name can stand for a person."""
     _, family, letter = initial
-    return any(given[0] == letter and name != given and (family == name or (len(family) >= LEAST_SUFFIX and one_edit(family, name))) for name, given in (person[1:], person[:0:-1]))
+    return any(given[0] == letter and name != given and (family == name or (min(len(family), len(name)) >= LEAST_SUFFIX and alike(family, name))) for name, given in (person[1:], person[:0:-1]))
 
 
-def block_keys(parts: tuple[str, str, str]) -> Iterator[tuple[str, str]]:
-    """(block, refinement) of a class."""
-    kind, stem, other = parts
-    group = "P" if kind == "I" else kind
-    sides = [(stem, other)] + ([(other, stem)] if kind == "P" else [])
-    for word, rest in sides:
-        for size in {len(word), LEAST_SUFFIX, LONGER_SUFFIX}:
-            if size >= min(LEAST_SUFFIX, len(word)) and size <= len(word) and len(word) >= 3:
-                yield f"{group}~{size if size == len(word) else 's'}{word[-size:]}", rest[:1] if group == "P" else rest
-        if rest and len(word) >= STEM_HEAD:
-            # a common part refined with the first letters of the stem
-            yield f"{group}^{word[:STEM_HEAD]}^{rest if group != 'P' else rest[:1]}", rest
-
-
-def deletions(word: str) -> set[str]:
-    """word, and word without one letter; words at most one edit apart share one."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+def ends(word: str) -> Iterator[str]:
+    """Keys of which words share one that differ by one letter."""
+    if len(word) > SHORT:
+        yield f"~{word[-LEAST_SUFFIX:]}"
+        yield f"^{word[:HEAD]}"
+    if len(word) <= SHORT + 1:
+        yield f"~{word[-3:]}"
+        yield f"^{word[:2]}"
+        yield f"^{word[:1]}~{word[-2:]}"
 
 
-def edit_keys(parts: tuple[str, str, str]) -> set[tuple[str, bool]]:
-    """(key, asks) of a class: classes that may be linked share a key, and one of the two asks there.
+def block_keys(parts: tuple[str, str, str]) -> Iterator[tuple[str, list[str], str, bool]]:
+    """(block, refinements, word that may differ, whether it asks) of a class.
 
-    A person is filed under its initials too, to be found, but asks there for no other person.
+    Classes that may be linked share a block and one of its refinements. Persons
+    are filed where initials look for them, but ask there for no other person.
     """
     kind, stem, other = parts
     if kind == "I":
-        return {(f"I|{other}|{d}", True) for d in deletions(stem)}
-    if kind != "P":
-        return {(f"{kind}|{other}|{d}", True) for d in deletions(stem)}
-    sides = [(stem, other), (other, stem)]
-    return {(f"P|{same}|{d}", True) for same, word in sides for d in deletions(word)} | {(f"I|{given[:1]}|{d}", False) for family, given in sides for d in deletions(family)}
+        for end in ends(stem):
+            yield f"I{other}{end}", [""], stem, True
+    elif kind == "P":
+        for word, rest in ((stem, other), (other, stem)):
+            yield f"P={word}", [f"<{rest[:1]}", f">{rest[-1:]}"], rest, True
+            if len(word) > LEAST_SUFFIX:
+                yield f"P~{word[-LEAST_SUFFIX:]}", [rest], word, True
+            for end in ends(word):
+                yield f"I{rest[:1]}{end}", [""], word, False
+    else:
+        for end in ends(stem):
+            yield f"{kind}{end}", [other], stem, True
+
+
+def deletions(word: str) -> set[str]:
+    """word, and word without one letter; words that are alike share one."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
 def distinct_names(sources: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -261,16 +284,17 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *b) for k in batch["key"] if k.count("|") == 2 for b in set(block_keys(tuple(k.split("|"))))]
-            yield pd.DataFrame(rows, columns=["key", "block", "fine"])
+            rows = [(k, *b) for k in batch["key"] if k.count("|") == 2 for b in block_keys(tuple(k.split("|")))]
+            yield pd.DataFrame(rows, columns=["key", "block", "fines", "word", "asks"])
 
-    rows = stage(classed.select("key").distinct().mapInPandas(filed, "key string, block string, fine string"))
+    rows = stage(classed.select("key").distinct().mapInPandas(filed, "key string, block string, fines array<string>, word string, asks boolean"))
 
     def linked(pairs: Iterable[tuple]) -> set[tuple[str, str, bool]]:
         found = set()
         for (ka, a), (kb, b) in pairs:
-            if a[0] == "I" and b[0] == "P" and stands_for(a, b):
-                found.add((ka, kb, True))
+            if a[0] == "I" and b[0] == "P":
+                if stands_for(a, b):
+                    found.add((ka, kb, True))
             elif same_entity(a, b):
                 found.add((ka, kb, False))
         return found
@@ -278,8 +302,10 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = set()
-            for keys in batch["keys"]:
-                found |= linked(combinations([(k, tuple(k.split("|"))) for k in sorted(set(keys))], 2))
+            for asking, others in zip(batch["asking"], batch["others"]):
+                asking = [(k, tuple(k.split("|"))) for k in sorted(set(asking))]
+                found |= linked(combinations(asking, 2))
+                found |= linked((a, (k, tuple(k.split("|")))) for a in asking for k in set(others))
             yield pd.DataFrame(sorted(found), columns=["a", "b", "initial"])
 
     def compare_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,24 +315,25 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
 
     def by_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(*row, *e) for row in batch[["key", *fine]].itertuples(index=False, name=None) for e in edit_keys(tuple(row[0].split("|")))]
-            yield pd.DataFrame(out, columns=["key", *fine, "edit", "asks"])
+            out = [(*row, e) for row in batch[["key", "block", "fine", "asks", "word"]].itertuples(index=False, name=None) for e in deletions(row[-1])]
+            yield pd.DataFrame(out, columns=["key", "block", "fine", "asks", "word", "edit"]).drop(columns="word")
 
     pairs = None
-    fine = ["block", "fine"]
-    for by in (["block"], fine):
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        small = rows.join(sizes.where(F.col("n") <= common), by, "left_semi").groupBy(*by).agg(F.collect_list("key").alias("keys"))
-        part = small.select("keys").mapInPandas(compare, "a string, b string, initial boolean")
+    for by in (["block"], ["block", "fine"]):
+        # blocks in which at least two classes meet and one asks
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("asks").alias("some")).where("n > 1 and some")
+        small = rows.join(sizes.where(F.col("n") <= common), by, "left_semi").groupBy(*by).agg(F.collect_list(F.when(F.col("asks"), F.col("key"))).alias("asking"), F.collect_list(F.when(~F.col("asks"), F.col("key"))).alias("others"))
+        part = small.select("asking", "others").mapInPandas(compare, "a string, b string, initial boolean")
         pairs = part if pairs is None else pairs.unionByName(part)
-        rows = stage(rows.join(sizes.where(F.col("n") > common), by, "left_semi"))
+        rows = rows.join(sizes.where(F.col("n") > common), by, "left_semi")
+        rows = stage(rows.withColumn("fine", F.explode("fines")).drop("fines") if by == ["block"] else rows)
         if rows.isEmpty():
             break
     else:
         # what the refinement makes no rarer
-        edits = stage(rows.mapInPandas(by_edits, "key string, block string, fine string, edit string, asks boolean"))
-        others = edits.select(*fine, "edit", F.col("key").alias("b"), F.col("asks").alias("too"))
-        met = edits.where("asks").join(others, [*fine, "edit"]).where("(asks and not too) or key < b").select(F.col("key").alias("a"), "b").distinct()
+        edits = stage(rows.mapInPandas(by_edits, "key string, block string, fine string, asks boolean, edit string"))
+        others = edits.select("block", "fine", "edit", F.col("key").alias("b"), F.col("asks").alias("too"))
+        met = edits.where("asks").join(others, ["block", "fine", "edit"]).where("not too or key < b").select(F.col("key").alias("a"), "b").distinct()
         pairs = pairs.unionByName(met.mapInPandas(compare_pairs, "a string, b string, initial boolean"))
     pairs = stage(pairs.distinct())
     joined = connected_components(pairs.where("not initial"), "a", "b")
@@ -318,8 +345,15 @@ def link_names(names: DataFrame, common: int = COMMON) -> DataFrame:
     return whole.select("name", F.coalesce("entity", "component", "key").alias("entity"))
 
 
-def variant_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a before name_b, of all names of one entity."""
-    left = linked.select("entity", F.col("name").alias("name_a"))
-    right = linked.select("entity", F.col("name").alias("name_b"))
-    return left.join(right, "entity").where("name_a < name_b").select("name_a", "name_b")
+def variant_pairs(linked: DataFrame, part: int = PART) -> DataFrame:
+    """(name_a, name_b), name_a before name_b, of all names of one entity.
+
+    An entity of very many names meets itself in parts, each pair of parts a key of its own.
+    """
+    linked = stage(linked)
+    sizes = linked.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    cut = linked.join(sizes, "entity").withColumn("own", F.pmod(F.xxhash64("name"), "parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = cut.select("entity", F.col("own").alias("i"), every.alias("j"), F.col("name").alias("name_a"))
+    right = cut.select("entity", every.alias("i"), F.col("own").alias("j"), F.col("name").alias("name_b"))
+    return left.join(right, ["entity", "i", "j"]).where("name_a < name_b").select("name_a", "name_b")

@@ -126,11 +126,11 @@ def test_neighbours_recall_and_cases(spark):
     stores = spark.createDataFrame([("a", 16), ("b", 16), ("c", 8)], "name string, dim int")
     use = ivfpq.usable_vectors(emb, stores)
     assert use.count() == len(rows)
-    config = ivfpq.IvfPqConfig(k=5, probes=6, list_size=16, block=16, query_block=32, sample=200)
+    config = ivfpq.IvfPqConfig(k=5, list_root=2.0, code_block=16, query_block=32, sample=400)
     got = {(r.store, r.id, r.neighbour) for r in ivfpq.neighbours(use, config).collect()}
     want = brute_neighbours(rows, 5, -1.0)
     assert len(got & want) >= 0.9 * len(want) and len(got) <= len(want)
-    close = ivfpq.IvfPqConfig(k=5, min_cosine=0.9, probes=6, list_size=16, block=16, query_block=32)
+    close = ivfpq.IvfPqConfig(k=5, min_cosine=0.9, list_root=2.0, code_block=16, query_block=32)
     got = {(r.chunk_a, r.chunk_b) for r in ivfpq.similar_pairs(ivfpq.neighbours(use, close)).collect()}
     want = {(min(i, j), max(i, j)) for _, i, j in brute_neighbours(rows, 5, 0.9)}
     assert len(got & want) >= 0.97 * len(want) and got <= want
@@ -275,3 +275,28 @@ def test_blocks_of_any_size_keep_all_pairs(spark):
             by.setdefault(d, set()).add(s)
     near = {tuple(sorted((a, b))) for group in by.values() for a in group for b in group if a < b and nv.alike(f"{a}iletapon", f"{b}iletapon")}
     assert {(f"{a}iletapon", f"{b}iletapon") for a, b in near} <= got and len(got) < 20 * len(near) + 10
+
+
+def test_search_effort_is_measured():
+    # tight groups need few lists, noise needs many
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 24))
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    tight, noise = unit(np.repeat(centres, 20, axis=0) + 0.02 * rng.normal(size=(1200, 24))), unit(rng.normal(size=(1200, 24)))
+    stores = np.zeros(1200, dtype=int)
+    config = ivfpq.IvfPqConfig(k=5, least_probes=2)
+    few, many = (ivfpq.fit(x, stores, 64, config) for x in (tight, noise))
+    assert few.searched.shape[1] < 12 < many.searched.shape[1] <= 64
+    for q, x in ((few, tight), (many, noise)):
+        filed = q.nearest(x)
+        codes = q.codes(x, filed)
+        hit = 0
+        for i in range(0, 1200, 12):
+            exact = (x @ x[i]).astype(float)
+            exact[i] = -9
+            top = set(np.argsort(-exact)[:5].tolist())
+            near = np.flatnonzero(np.isin(filed, q.searched[filed[i]]))
+            said = q.scores(x[i : i + 1], filed[near], codes[near])[0]
+            hit += len(top & set(near[np.argsort(-said)[: q.shortlist + 1]].tolist()))
+        assert hit >= 0.94 * 500
+        assert all(h in lists for at, homes in enumerate(q.homes) for h in homes for lists in [range(len(q.searched))] if at in q.searched[h])

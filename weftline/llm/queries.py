@@ -32,7 +32,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ivfpq.usable_vectors(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "stores"))
-    return ivfpq.similar_pairs(ivfpq.neighbours(vectors, ivfpq.IvfPqConfig(k=5, min_cosine=0.9)), 0.9)
+    return ivfpq.similar_pairs(ivfpq.neighbours(vectors, ivfpq.IvfPqConfig(k=5, min_cosine=0.9, recall=0.995)), 0.9)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

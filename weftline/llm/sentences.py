@@ -18,8 +18,8 @@ Commas, semicolons, colons and ellipses end none. Places count Unicode code
 points, from 0, end exclusive, without surrounding white space.
 
 Defined results: null, empty and blank texts give no units; null ids are left
-out; repeated rows count once. Texts of any length are read whole. An empty
-table gives no units. Extra columns are dropped.
+out; repeated rows count once. Texts of any length are read whole; of a word of
+more than 200 letters the last 200 tell what it is. An empty table gives no units. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -65,10 +65,18 @@ _SOFT = frozenset(".!?")
 _MARKS = _HARD | _SOFT
 _ELLIPSIS = regex.compile(r"\.(?:[^\S\n]?\.)+|…+|⋯+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’_-][\p{L}\p{M}\p{N}]+)*")
-_DOTTED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.])([\p{L}\p{M}]++(?:\.[\p{L}\p{M}]++)*+)\.(?!\.)(?=([\s\"'”’»)\]]*)(.)?)", regex.S)
+# the word before a period, matched backwards from it
+_DOTTED = regex.compile(r"(?r)(?<![\p{L}\p{M}\p{N}.])[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+){0,40}")
+_GAP = regex.compile(r"[\s\"'”’»)\]]*")
 _ORDINAL = regex.compile(r"(?<!\S)\d{1,3}\.\s+(\p{Lu}[\p{L}\p{M}]*)")
-_TAIL = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.'’_-]*$")
-_PLACE = regex.compile(r"[.!?。！？｡।؟۔॥]+|(?<=[฀-๿])\s+(?=[฀-๿])")
+_ALNUM = regex.compile(r"[\p{L}\p{M}\p{N}]")
+# what makes a word go on after its end, or begin before its begin
+_JOINED = regex.compile(r"[.'’_-]?[\p{L}\p{M}\p{N}]")
+_JOINED_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}][.'’_-]?")
+_TAIL = regex.compile(r"(?r)[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.'’_-]{0,199}")
+_PLACE = regex.compile(r"[.!?。！？｡।؟۔॥]+")
+_THAI_PLACE = regex.compile(r"[.!?。！？｡।؟۔॥]+|(?<=[฀-๿])\s+(?=[฀-๿])")
+_SPACE = regex.compile(r"\s*")
 _PAIRED = regex.compile(r"[\"(\[{«“„‘「『（【《〈)\]}»”’」』）】》〉]")
 _CAMEL = regex.compile(r"\p{Ll}+\p{Lu}")
 _THAI = regex.compile(r"[฀-๿]")
@@ -77,7 +85,10 @@ _CONTINUES = regex.compile(r"[^\S\n]*(?:と|って|という|とか|は|が|を|
 
 def _is_upper(text: str, at: int) -> bool:
     """Whether a word that may begin a sentence begins here: capital, or a name like pgGraph."""
-    return at < len(text) and (text[at].isupper() or text[at].istitle() or bool(_CAMEL.match(text, at)))
+    if at >= len(text):
+        return False
+    c = text[at]
+    return bool(_CAMEL.match(text, at)) if c.islower() else c.isupper() or c.istitle()
 
 
 def _is_lower(text: str, at: int) -> bool:
@@ -121,14 +132,19 @@ def evidence(text: str, markdown: bool = True) -> dict[str, list[int]]:
         part = text[a:b].rstrip()
         if "." not in part:
             continue
-        quotes = None
-        for m in _DOTTED.finditer(part):
-            word, gap, after = m[1], m[2], m[3]
-            if after is None:
-                found[word][2] += not whole
-            elif not gap and after.isalnum():
+        quotes, at, size = None, part.find("."), len(part)
+        while at >= 0:
+            here, at = at, part.find(".", at + 1)
+            follows = part[here + 1] if here + 1 < size else ""
+            if follows == "." or follows.isalnum():
                 continue
-            elif _is_lower(part, m.start(3)) or after.isdigit() or after in ",;:،、":
+            m = _DOTTED.match(part, 0, here)
+            if m is None:
+                continue
+            word, head = m[0], _GAP.match(part, here + 1).end()
+            if head == size:
+                found[word][2] += not whole
+            elif _is_lower(part, head) or part[head].isdigit() or part[head] in ",;:،、":
                 found[word][0] += 1
             else:
                 if quotes is None:
@@ -140,14 +156,16 @@ def evidence(text: str, markdown: bool = True) -> dict[str, list[int]]:
         for word, slot in found.items():
             slot[3] = total[word]
     if ordinals:
-        for a, b, _ in spans:
-            first = True
-            for m in _WORD.finditer(text, a, b):
-                word = m[0]
-                if word in ordinals:
-                    slot = found["#" + word]
-                    slot[2 if first else 1] += 1
-                first = False
+        begins = [a for a, _, _ in spans]
+        for word in ordinals:
+            slot = found["#" + word]
+            at = text.find(word)
+            while at >= 0:
+                end = at + len(word)
+                if not _JOINED.match(text, end) and not _JOINED_BEFORE.match(text, 0, at):
+                    first = begins[max(0, bisect_right(begins, at) - 1)]
+                    slot[1 if _ALNUM.search(text, first, at) else 2] += 1
+                at = text.find(word, end)
     return dict(found)
 
 
@@ -267,7 +285,7 @@ def _ends(text: str, judge: Judge) -> list[int]:
     out: list[int] = []
     begin = done = 0
     size = len(text)
-    for m in _PLACE.finditer(text):
+    for m in (_THAI_PLACE if _THAI.search(text) else _PLACE).finditer(text):
         first, stop = m.span()
         if first < done:
             continue
@@ -275,7 +293,7 @@ def _ends(text: str, judge: Judge) -> list[int]:
             out.append(first)
             begin = stop
             continue
-        inside = [b for a, b in dots if a < stop and first < b]
+        inside = [b for a, b in dots if a < stop and first < b] if dots else None
         if inside:
             # marks after the dots of an ellipsis may still end
             first = max(inside)
@@ -299,9 +317,7 @@ def _ends(text: str, judge: Judge) -> list[int]:
             continue
         if stop < size and text[stop] in _MARKS:
             continue
-        after = stop
-        while after < size and text[after].isspace():
-            after += 1
+        after = _SPACE.match(text, stop).end()
         if after >= size:
             break
         if _is_end(text, judge, begin, first, marks, stop, after, closed):
@@ -322,7 +338,8 @@ def _is_end(text: str, judge: Judge, begin: int, first: int, marks: str, stop: i
     while head < len(text) and (text[head] in _OPENERS or text[head] in '"¿¡—–-') and text[head] not in "—–-":
         head += 1
     opened = head > after
-    upper, lower = _is_upper(text, head), _is_lower(text, head)
+    upper = _is_upper(text, head)
+    lower = not upper and head < len(text) and text[head].islower()
     if text[after] in "—–-,;:،؛、，；：":
         return False
     if closed is not None:
@@ -362,11 +379,8 @@ def _is_end(text: str, judge: Judge, begin: int, first: int, marks: str, stop: i
 
 
 def _before(text: str, at: int):
-    """The word that ends at a place, with inner periods."""
-    a = at
-    while a > 0 and not text[a - 1].isspace() and at - a < 200:
-        a -= 1
-    return _TAIL.search(text, a, at)
+    """The word that ends at a place, with inner periods; of one of more than 200 letters the last 200."""
+    return _TAIL.match(text, 0, at)
 
 
 def _number_ends(text: str, judge: Judge, begin: int, start: int, word: str, head: int, upper: bool, lower: bool, opened: bool) -> bool:

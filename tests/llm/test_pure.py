@@ -201,13 +201,17 @@ PROMPT = "List the facts stated in this passage:\n\nThe indexer logs the communi
     ],
 )
 def test_defects(response, defect):
-    assert pd_.judge(PROMPT, response, pd_.seed_words()) == defect
+    assert pd_.judge(PROMPT, response, pd_.seed_words()) == (defect, None)
+
+
+def test_thai_endings_do_not_depend_on_white_space():
+    assert pd_.judge(None, "ดัชนีสร้างรายการชื่อเสมอ", {}) == pd_.judge(None, "ดัชนีสร้างรายการชื่อเสมอ\n\u00a0", {}) == ("truncated", "ดัชนีสร้างรายการชื่อเสมอ"[-6:])
 
 
 def test_defects_without_prompt_and_long():
-    assert pd_.judge(None, "Short answer.", pd_.seed_words()) is None
+    assert pd_.judge(None, "Short answer.", pd_.seed_words()) == (None, None)
     long = "The indexer logs odd ranges. " * 3_000
-    assert pd_.judge("Tell:\n" + long, long, pd_.seed_words()) == "copy"
+    assert pd_.judge("Tell:\n" + long, long, pd_.seed_words()) == ("copy", None)
 
 
 @pytest.mark.parametrize(

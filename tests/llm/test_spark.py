@@ -82,6 +82,13 @@ def test_pair_defects(spark):
     replies = spark.createDataFrame(rows, "reply_id long, kind string, chunk_id long, community_id long, response string").withColumn("key", F.lit(1)).withColumn("ends", F.lit(2))
     assert {(r.reply_id, r.defect) for r in pdef.pair_defects(units, replies).collect()} == {(2, "empty"), (3, "copy"), (4, "refusal"), (6, "empty")}
     assert pdef.pair_defects(units.limit(0), replies.limit(0)).count() == 0
+    # a unit of very many replies is paired in parts, with the same result
+    many = spark.createDataFrame([(100 + i, "extract", 1, None, f"The indexer (software) -[keeps]-> tree {i}") for i in range(60)], "reply_id long, kind string, chunk_id long, community_id long, response string")
+    parts = [{tuple(r) for r in pdef.pair_replies(units, many.unionByName(replies.select(many.columns)), hot).collect()} for hot in (5, 10_000)]
+    assert parts[0] == parts[1] and len(parts[0]) == 66
+    thai = units.limit(1).withColumn("user_prompt", F.lit("ส่งกลับ: ดัชนีสร้างรายการชื่อเสมอ ระบบเก็บข้อความไว้"))
+    said = spark.createDataFrame([(1, "extract", 1, None, "ระบบสร้างรายการชื่อเสมอ\n"), (2, "extract", 1, None, "ระบบสร้างรายการชื่")], "reply_id long, kind string, chunk_id long, community_id long, response string")
+    assert {tuple(r) for r in pdef.pair_defects(thai, said).collect()} == {(2, "truncated")}
 
 
 def test_split_spans(spark):

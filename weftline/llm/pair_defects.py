@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.session import frame, parallelism, unchunked
+from weftline.session import frame, parallelism, stage
 
 #: Stopwords kept of each language, at most.
 STOPWORDS = 2_000
@@ -55,6 +55,9 @@ COPIED_OF_RESPONSE, COPIED_OF_PASSAGE = 0.85, 0.6
 #: Letters at the end of a Thai sentence that are compared.
 THAI_ENDING = 6
 
+#: Replies of a unit from which they, and its prompt, go to several partitions.
+HOT_REPLIES = 10_000
+
 #: Phrases by which a writer declines a task, in lower case without accents.
 REFUSALS = (
     "i can't help", "i cannot help", "i can not help", "i can't assist", "i cannot assist", "i can't comply", "i cannot comply", "i can't do that", "i cannot do that",
@@ -225,18 +228,21 @@ def is_copy(prompt: str, response: str) -> bool:
     return covered(passage, text, least) >= COPIED_OF_PASSAGE * len(passage)
 
 
+@lru_cache(maxsize=200_000)
+def _script_of(c: str) -> str | None:
+    """The language whose script a character is of, if only one has it."""
+    return next((language for language, script in _SCRIPTS if script.match(c)), None)
+
+
 def votes(text: str, words: dict[str, str]) -> Counter:
     """Votes of a text for languages: letters of scripts, stopwords in Latin letters."""
     found: Counter = Counter()
-    han = 0
-    for language, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if language == "zh":
-            han = n
-        elif n:
-            found[language] += n
-    if han:
-        found["ja" if found["ja"] * 20 > han else "zh"] += han
+    if not text.isascii():
+        for c, n in Counter(text).items():
+            if c > "\x7f" and (language := _script_of(c)):
+                found[language] += n
+        if han := found.pop("zh", 0):
+            found["ja" if found["ja"] * 20 > han else "zh"] += han
     for word in _LATIN.findall(text):
         if language := words.get(word.casefold()):
             found[language] += 4 if len(word) > 1 else 1
@@ -318,8 +324,8 @@ def thai_ending(text: str) -> str | None:
     return text[-THAI_ENDING:] if text and "฀" <= text[-1] <= "๿" else None
 
 
-def is_truncated(response: str, thai_ends: bool | None = None) -> bool:
-    """thai_ends: whether the last letters of a Thai response end a sentence elsewhere, if that is known."""
+def is_truncated(response: str) -> bool | str:
+    """Whether a response stops inside something; for Thai prose its last letters, if these decide on it."""
     text = response.rstrip()
     if text.count("```") % 2:
         return True
@@ -336,8 +342,8 @@ def is_truncated(response: str, thai_ends: bool | None = None) -> bool:
     last = lines[-1].rstrip()
     if _ENDED.search(last):
         return False
-    if thai_ending(last) is not None:
-        return thai_ends is False
+    if (ending := thai_ending(last)) is not None:
+        return ending
     if re.match(r"^\S.*\([\w -]+\)$", last):
         # a typed name or the head of a triple line
         return False
@@ -349,8 +355,8 @@ def _cut_short(body: str) -> bool:
     return "(" in body and ")" not in body or body.rstrip().endswith(("-", ",", "(", "["))
 
 
-def learned_words(prompts: DataFrame, most: int = STOPWORDS) -> dict[str, str]:
-    """Word -> language for the most frequent words of each seed language in all prompts."""
+def prompt_facts(prompts: DataFrame) -> DataFrame:
+    """(language, word, n): how often words of each seed language occur in all prompts; and the endings of Thai sentences, language `ending`."""
     seeds = seed_words()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,68 +368,77 @@ def learned_words(prompts: DataFrame, most: int = STOPWORDS) -> dict[str, str]:
                 if language in SEEDS:
                     # words within a sentence only: capitals may be names
                     count.update((language, w) for w in _LATIN.findall(text) if w == w.casefold())
+                if not prompt.isascii():
+                    count.update(("ending", e) for x in prompt.split() if (e := thai_ending(x)))
             yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["language", "word", "n"])
 
-    counts = prompts.select("user_prompt").where("user_prompt is not null").mapInPandas(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    return prompts.select("user_prompt").where("user_prompt is not null").mapInPandas(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+
+
+def learned_words(facts: DataFrame, most: int = STOPWORDS) -> dict[str, str]:
+    """Word -> language for the most frequent words of each seed language in all prompts."""
+    counts = facts.where("language <> 'ending'")
     share = counts.withColumn("all", F.sum("n").over(Window.partitionBy("word"))).where((F.col("n") >= 0.9 * F.col("all")) & (F.col("n") >= 3))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
     rows = share.withColumn("k", rank).where(F.col("k") <= most).select("word", "language").collect()
-    return seeds | {r["word"]: r["language"] for r in rows}
+    return seed_words() | {r["word"]: r["language"] for r in rows}
 
 
-def thai_sentence_ends(prompts: DataFrame) -> DataFrame:
-    """(ending) of the Thai sentences of all prompts, each once."""
+def pair_replies(units: DataFrame, replies: DataFrame, hot_replies: int = HOT_REPLIES) -> DataFrame:
+    """(reply_id, user_prompt, response) of each reply, with the prompt of its unit if it has one.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = {e for p in batch["user_prompt"] for x in re.split(r"\s+", p) if (e := thai_ending(x))}
-            yield frame(ending=sorted(found))
-
-    return prompts.select("user_prompt").where(F.col("user_prompt").rlike("[฀-๿]")).mapInPandas(run, "ending string").distinct()
-
-
-def pair_replies(units: DataFrame, replies: DataFrame) -> DataFrame:
-    """(reply_id, kind, user_prompt, response) of each reply, with the prompt of its unit if it has one."""
+    Both texts are sent once, to as many partitions as there are places to work.
+    A unit of very many replies is sent to several of them; there are a thousand
+    such units at most. Replies without a key stay where they are.
+    """
+    width = parallelism(units.sparkSession)
     key = F.when(F.col("kind") == "extract", F.col("chunk_id")).when(F.col("kind") == "summarize", F.col("community_id"))
-    asked = units.select("kind", key.alias("key"), "unit_id", "user_prompt").where("key is not null").groupBy("kind", "key").agg(F.min_by("user_prompt", "unit_id").alias("user_prompt"))
     given = replies.select("reply_id", "kind", key.alias("key"), "response").where("reply_id is not null")
-    return given.join(asked, ["kind", "key"], "left").select("reply_id", "kind", "user_prompt", "response")
-
-
-def judge(prompt: str | None, response: str | None, words: dict[str, str], thai_ends: bool | None = None) -> str | None:
-    """The defect of a pair, or None."""
+    counts = stage(given.where("key is not null").groupBy("kind", "key").count())
+    limit = max(hot_replies, (counts.agg(F.sum("count")).first()[0] or 0) // 1000)
+    hot = F.broadcast(counts.where(F.col("count") > limit).select("kind", "key", F.lit(True).alias("hot")))
+    asked = units.select("kind", key.alias("key"), "unit_id", "user_prompt").where("key is not null").join(hot, ["kind", "key"], "left")
+    asked = asked.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))))
+    asked = asked.repartition(width, "kind", "key", "salt").groupBy("kind", "key", "salt").agg(F.min_by("user_prompt", "unit_id").alias("user_prompt"))
+    keyed = given.where("key is not null").join(hot, ["kind", "key"], "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("reply_id"), F.lit(width)).cast("int")).otherwise(F.lit(0)))
+    paired = keyed.repartition(width, "kind", "key", "salt").join(asked, ["kind", "key", "salt"], "left").select("reply_id", "user_prompt", "response")
+    return paired.unionByName(given.where("key is null").select("reply_id", F.lit(None).cast("string").alias("user_prompt"), "response"))
+
+
+def judge(prompt: str | None, response: str | None, words: dict[str, str]) -> tuple[str | None, str | None]:
+    """(defect or None, ending): with an ending, the defect `truncated` holds only if no sentence of a prompt ends so."""
     if is_empty(response):
-        return "empty"
+        return "empty", None
     if is_refusal(response):
-        return "refusal"
+        return "refusal", None
     if prompt:
         if is_copy(prompt, response):
-            return "copy"
+            return "copy", None
         if is_wrong_language(prompt, response, words):
-            return "wrong_language"
-    return "truncated" if is_truncated(response, thai_ends) else None
+            return "wrong_language", None
+    cut = is_truncated(response)
+    return ("truncated" if cut else None), (cut if isinstance(cut, str) else None)
 
 
 def pair_defects(units: DataFrame, replies: DataFrame) -> DataFrame:
     """(reply_id, defect) of each defective reply."""
     spark = units.sparkSession
-    sent = spark.sparkContext.broadcast(learned_words(units))
-    pairs = pair_replies(units, replies)
-    last = F.substring(F.rtrim(F.col("response")), -THAI_ENDING, THAI_ENDING)
-    pairs = pairs.withColumn("ending", F.when(F.col("response").rlike("[฀-๿]\\s*$"), last))
-    ends = thai_sentence_ends(units).withColumn("ends", F.lit(True))
-    pairs = pairs.join(ends, "ending", "left").select("reply_id", "user_prompt", "response", F.when(F.col("ending").isNotNull(), F.coalesce("ends", F.lit(False))).alias("ends"))
+    facts = stage(prompt_facts(units))
+    sent = spark.sparkContext.broadcast(learned_words(facts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = sent.value
         for batch in batches:
-            found = [judge(p, r, words, None if e is None else bool(e)) for p, r, e in zip(batch["user_prompt"], batch["response"], batch["ends"])]
-            out = frame(reply_id=batch["reply_id"], defect=found)
-            yield unchunked(out[out["defect"].notna()])
-
-    # judging is work for the processors, not for the disk: small partitions joined for their size would leave them idle
-    spread = pairs.repartition(parallelism(spark), "reply_id")
-    found = spread.mapInPandas(run, "reply_id bigint, defect string")
+            found = [(i, *judge(p, r, words)) for i, p, r in zip(batch["reply_id"], batch["user_prompt"], batch["response"])]
+            found = [f for f in found if f[1]]
+            yield frame(reply_id=[f[0] for f in found], defect=[f[1] for f in found], ending=[f[2] for f in found])
+
+    found = stage(pair_replies(units, replies).mapInPandas(run, "reply_id bigint, defect string, ending string"))
+    # only Thai endings and the ids of their replies are sent to be looked up
+    seen = facts.where("language = 'ending'").select(F.col("word").alias("ending"))
+    cut = found.where("ending is not null").join(seen, "ending", "left_anti").select("reply_id", "defect")
+    found = found.where("ending is null").select("reply_id", "defect").unionByName(cut)
     # replies with one id are repeats; should they differ, the defect that is named first holds
     order = F.expr("array_position(array('empty', 'refusal', 'copy', 'wrong_language', 'truncated'), defect)")
     return found.groupBy("reply_id").agg(F.min_by("defect", order).alias("defect"))

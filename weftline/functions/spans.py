@@ -218,6 +218,23 @@ def code_spans_auto(text: str | None, path: str | None, max_bytes: int = 2000) -
     return "lines", line_spans(text, max_bytes)
 
 
+def span_status(text: Column, expected: Column, fingerprint: Column) -> Column:
+    """verify_span for columns: the text found at a span (null if there is none), its fingerprint and the one expected."""
+    return F.when(text.isNull(), "out_of_range").when(fingerprint == expected, "ok").otherwise("fingerprint_mismatch")
+
+
+def window_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2000) -> DataFrame:
+    """(key, index, text): the overlapping windows of each text."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield frame(**{key: batch[key]}, parts=[split_with_overlap(t, most) if t else [] for t in batch[text]])
+
+    found = docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, parts array<string>")
+    return found.select(key, F.posexplode("parts").alias("index", "text"))
+
+
 def verify_span(span: dict | None, expected: str) -> str:
     """ok, out_of_range or fingerprint_mismatch."""
     return "out_of_range" if span is None else "ok" if span["fingerprint"] == expected else "fingerprint_mismatch"

@@ -15,6 +15,10 @@ def limited(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None or limit < 0 else rows.limit(limit)
 
 
+def list_stores(stores: DataFrame) -> DataFrame:
+    return stores.orderBy("name")
+
+
 def list_chunks(chunks: DataFrame, store: str) -> DataFrame:
     return chunks.where(F.col("store") == store).orderBy("id")
 
@@ -38,6 +42,11 @@ def entity_by_name(entities: DataFrame, store: str, name: str) -> dict:
     return _one(entities.where((F.col("store") == store) & (F.col("name") == name)), name)
 
 
+def entities_by_name(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """The entities that a table of (store, name) names, exactly; unknown names give nothing."""
+    return entities.join(names.select("store", "name").distinct(), ["store", "name"], "left_semi")
+
+
 def entity_by_id(entities: DataFrame, id_: int) -> dict:
     return _one(entities.where(F.col("id") == id_), id_)
 
@@ -72,12 +81,14 @@ def list_communities(communities: DataFrame, store: str) -> DataFrame:
     return communities.where(F.col("store") == store).orderBy("level", "id")
 
 
-def child_communities(communities: DataFrame, parent: int) -> DataFrame:
-    return communities.where(F.col("parent_id") == parent).orderBy("id")
+def child_communities(communities: DataFrame, parents: DataFrame) -> DataFrame:
+    """The communities whose parent is among the ids of a table (id)."""
+    return communities.join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
 
 
-def chunks_of_entity(chunk_entities: DataFrame, entity: int) -> DataFrame:
-    return chunk_entities.where(F.col("entity_id") == entity).select("chunk_id")
+def chunks_of_entities(chunk_entities: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, chunk_id) of the entities of a table (id)."""
+    return chunk_entities.join(entities.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").select("entity_id", "chunk_id")
 
 
 def log_view(chunks: DataFrame, store: str, limit: int) -> DataFrame:

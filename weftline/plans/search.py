@@ -47,7 +47,7 @@ def queries():
     @add
     def mean_pool_(v):
         pooled = mean_pool(_all(v), "label", "embedding")
-        return pooled.select("label", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last"))
+        return pooled.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
     q["mean_pool"] = q.pop("mean_pool_")
 
@@ -83,7 +83,8 @@ def queries():
     def global_contexts(v):
         members = members_of_communities(v.entities, v.entity_communities).where("name is not null").select("community_id", "id", "name")
         out = retrieval.global_contexts(v.communities, members, v.relations.where("relation is not null"), v.chunk_entities, v.chunks)
-        return out.select("store", "level", "community_id", F.size("names").cast("bigint").alias("n_names"), F.size("relation_texts").cast("bigint").alias("n_relations"), F.size("samples").cast("bigint").alias("n_samples"))
+        text = lambda c: F.sha2(F.array_join(c, "\n"), 256).alias(c)
+        return out.select("store", "level", "community_id", "summary", text("names"), text("relation_texts"), text("samples"))
 
     return q
 
@@ -119,8 +120,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE list_cosine_similarity(embedding, x) >= 0.1 ORDER BY list_cosine_similarity(embedding, x) DESC, entity_id LIMIT 20""",
         "mean_pool": """
             WITH u AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
-            m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS norm, max(pos) AS last FROM m GROUP BY 1)
-            SELECT label, round(max(CASE WHEN pos = 1 THEN x / norm END), 6) AS first, round(max(CASE WHEN pos = last THEN x / norm END), 6) AS last FROM m JOIN n USING (label) GROUP BY 1""",
+            m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY 1)
+            SELECT label, pos, round(x / norm, 6) AS x FROM m JOIN n USING (label)""",
         "bm25_term_stats": f"WITH {_bm25()} SELECT term, df FROM f",
         "bm25_topk_or": f"WITH {_bm25()}, r AS (SELECT id AS chunk_id, sum(score) AS score FROM s WHERE term IN ('the', 'synonym', 'list', 'rebuilds') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT chunk_id, round(score, 6) AS score FROM r",
         "bm25_topk_and": f"WITH {_bm25()}, r AS (SELECT id AS chunk_id, sum(score) AS score FROM s WHERE term IN ('synonym', 'list', 'rebuilds') GROUP BY 1 HAVING count(*) = 3 ORDER BY 2 DESC, 1 LIMIT 20) SELECT chunk_id, round(score, 6) AS score FROM r",
@@ -131,12 +132,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT fused.id AS chunk_id, source, round(rrf, 9) AS rrf, round(similarity, 6) AS similarity, round(lexical, 6) AS lexical FROM fused JOIN v_chunks ON v_chunks.id = fused.id""",
         "global_contexts": """
             WITH mem AS (SELECT community_id, id, name FROM v_entity_communities JOIN v_entities ON id = entity_id WHERE name IS NOT NULL),
-            sz AS (SELECT community_id, count(*) AS n FROM mem GROUP BY 1 HAVING n >= 2),
-            rel AS (SELECT h.community_id, count(DISTINCT h.name || ' -[' || relation || ']-> ' || t.name) AS n FROM v_relations JOIN mem h ON h.id = head_id JOIN mem t ON t.id = tail_id AND t.community_id = h.community_id GROUP BY 1),
+            sz AS (SELECT community_id, string_agg(name, chr(10) ORDER BY name) AS names FROM mem GROUP BY 1 HAVING count(*) >= 2),
+            rel AS (SELECT community_id, string_agg(x, chr(10) ORDER BY x) AS texts FROM (SELECT DISTINCT h.community_id, h.name || ' -[' || relation || ']-> ' || t.name AS x FROM v_relations JOIN mem h ON h.id = head_id JOIN mem t ON t.id = tail_id AND t.community_id = h.community_id WHERE relation IS NOT NULL) GROUP BY 1),
             fst AS (SELECT entity_id, min(chunk_id) AS chunk_id FROM v_chunk_entities GROUP BY 1),
-            pick AS (SELECT community_id, chunk_id FROM (SELECT community_id, chunk_id, row_number() OVER (PARTITION BY community_id ORDER BY name, mem.id) AS k FROM mem JOIN fst ON entity_id = mem.id) WHERE k <= 3),
-            smp AS (SELECT community_id, count(*) AS n FROM pick JOIN v_chunks ON v_chunks.id = chunk_id GROUP BY 1)
-            SELECT c.store, c.level, c.id AS community_id, sz.n AS n_names, coalesce(rel.n, 0) AS n_relations, coalesce(smp.n, 0) AS n_samples
+            pick AS (SELECT community_id, chunk_id, k FROM (SELECT community_id, chunk_id, row_number() OVER (PARTITION BY community_id ORDER BY name, mem.id) AS k FROM mem JOIN fst ON entity_id = mem.id) WHERE k <= 3),
+            smp AS (SELECT community_id, string_agg(CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END, chr(10) ORDER BY k) AS texts FROM pick JOIN v_chunks ON v_chunks.id = chunk_id GROUP BY 1)
+            SELECT c.store, c.level, c.id AS community_id, summary, sha256(sz.names) AS names, sha256(coalesce(rel.texts, '')) AS relation_texts, sha256(coalesce(smp.texts, '')) AS samples
             FROM v_communities c JOIN sz ON sz.community_id = c.id LEFT JOIN rel ON rel.community_id = c.id LEFT JOIN smp ON smp.community_id = c.id""",
     }
     return {name: with_views(body) for name, body in raw.items()}

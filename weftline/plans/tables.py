@@ -30,7 +30,7 @@ def queries():
 
     @add
     def list_stores(v):
-        return v.stores.select("name", "dim").orderBy("name")
+        return listing.list_stores(v.stores).select("name", "dim")
 
     @add
     def delete_store(v):
@@ -70,7 +70,7 @@ def queries():
     @add
     def entity_by_name(v):
         names = v.t("triples").select("store", F.col("head").alias("name")).distinct()
-        return v.entities.join(names, ["store", "name"], "left_semi").select("id", "store", "name")
+        return listing.entities_by_name(v.entities, names).select("id", "store", "name")
 
     @add
     def list_relations(v):
@@ -91,11 +91,11 @@ def queries():
 
     @add
     def child_communities(v):
-        return v.communities.where("parent_id is not null").select("parent_id", "id", "level")
+        return listing.child_communities(v.communities, v.communities).select("parent_id", "id", "level")
 
     @add
     def chunks_for_entity(v):
-        return v.chunk_entities.select("entity_id", "chunk_id")
+        return listing.chunks_of_entities(v.chunk_entities, v.entities.where(F.col("store") == STORE))
 
     @add
     def entities_for_chunk(v):
@@ -216,6 +216,20 @@ def queries():
         out = resolve.merge_entities({"entities": v.entities, "relations": v.relations, "chunk_entities": v.chunk_entities}, same_type_merges(v))
         return out["relations"].select("id", "head_id", "tail_id")
 
+    @add
+    def merge_history(v):
+        out = resolve.merge_entities({"entities": v.entities, "relations": v.relations, "chunk_entities": v.chunk_entities}, same_type_merges(v))
+        return out["entity_merges"].select("target_entity_id", "merged_entity_name")
+
+    @add
+    def synonyms_of(v):
+        return resolve.synonyms_of(resolve.remove_synonym(v.synonyms, "relies_on"), "depends_on")
+
+    @add
+    def upsert_type_synonyms(v):
+        new = v.t("vocab").where("kind = 'entity_type'").select(F.col("entry_id").alias("seq"), F.upper("canonical").alias("raw"), F.col("label").alias("canonical"))
+        return resolve.upsert_synonyms(v.type_synonyms, new, lower=True)
+
     @add
     def merge_links(v):
         return resolve.merge_entities({"entities": v.entities, "relations": v.relations, "chunk_entities": v.chunk_entities}, same_type_merges(v))["chunk_entities"]
@@ -228,7 +242,7 @@ def queries():
     @add
     def export_jsonl(v):
         tables = {"store": v.stores.select("name", "dim"), "chunk": v.chunks.drop("created_at"), "entity": v.entities, "relation": v.relations, "community": v.communities}
-        return export_lines(tables, STORE).select("ord", "id")
+        return export_lines(tables, STORE).select("ord", "id", F.sha2("json", 256).alias("json"))
 
     return q
 
@@ -264,8 +278,13 @@ def oracle_sql() -> dict[str, str]:
         "relations_for_entity": f"SELECT e.id AS entity_id, r.id, r.head_id, r.tail_id FROM v_relations r JOIN (SELECT id FROM v_entities WHERE {_S}) e ON r.head_id = e.id OR r.tail_id = e.id",
         "relations_by_canonical": f"SELECT id, relation, canonical_relation FROM v_relations WHERE {_S} AND (canonical_relation = 'depends_on' OR relation = 'depends_on')",
         "list_communities": f"SELECT id, level, parent_id FROM v_communities WHERE {_S}",
-        "child_communities": "SELECT parent_id, id, level FROM v_communities WHERE parent_id IS NOT NULL",
-        "chunks_for_entity": "SELECT entity_id, chunk_id FROM v_chunk_entities",
+        "child_communities": "SELECT parent_id, id, level FROM v_communities WHERE parent_id IN (SELECT id FROM v_communities)",
+        "chunks_for_entity": f"SELECT entity_id, chunk_id FROM v_chunk_entities WHERE entity_id IN (SELECT id FROM v_entities WHERE {_S})",
+        "merge_history": f"WITH {_MERGED} SELECT target AS target_entity_id, name AS merged_entity_name FROM m JOIN v_entities ON id = source",
+        "synonyms_of": "SELECT raw FROM v_synonyms WHERE canonical = 'depends_on' AND raw <> 'relies_on'",
+        "upsert_type_synonyms": """
+            WITH n AS (SELECT lower(canonical) AS raw, lower(arg_max(label, entry_id)) AS canonical FROM vocab WHERE kind = 'entity_type' GROUP BY 1)
+            SELECT raw, canonical FROM v_type_synonyms WHERE raw NOT IN (SELECT raw FROM n) UNION ALL SELECT raw, canonical FROM n""",
         "entities_for_chunk": "SELECT chunk_id, id, name FROM v_chunk_entities JOIN v_entities ON entity_id = id",
         "community_entities": "SELECT community_id, id, name FROM v_entity_communities JOIN v_entities ON entity_id = id",
         "entity_communities": "SELECT entity_id, id, level FROM v_entity_communities JOIN v_communities ON community_id = id",
@@ -317,7 +336,11 @@ def oracle_sql() -> dict[str, str]:
         "merge_links": f"WITH {_MERGED} SELECT DISTINCT chunk_id, coalesce(target, entity_id) AS entity_id FROM v_chunk_entities LEFT JOIN m ON source = entity_id",
         "add_chunks_ids": "SELECT id AS seq, (SELECT max(id) FROM v_chunks WHERE store = 'handbook') + row_number() OVER (ORDER BY id) AS id FROM v_chunks WHERE store = 'papers'",
         "export_jsonl": f"""
-            SELECT 0 AS ord, 0::BIGINT AS id UNION ALL SELECT 1, id FROM v_chunks WHERE {_S} UNION ALL SELECT 2, id FROM v_entities WHERE {_S} UNION ALL
-            SELECT 3, id FROM v_relations WHERE {_S} UNION ALL SELECT 4, id FROM v_communities WHERE {_S}""",
+            SELECT 0 AS ord, 0::BIGINT AS id, sha256(to_json({{'record': 'store', 'name': name, 'dim': dim}})::VARCHAR) AS json FROM stores WHERE name = 'handbook' UNION ALL
+            SELECT 1, id, sha256(to_json({{'record': 'chunk', 'id': id, 'store': store, 'content': content, 'source': source, 'metadata': NULL}})::VARCHAR) FROM v_chunks WHERE {_S} UNION ALL
+            SELECT 2, id, sha256(to_json({{'record': 'entity', 'id': id, 'store': store, 'name': name, 'entity_type': entity_type, 'properties': properties}})::VARCHAR) FROM v_entities WHERE {_S} UNION ALL
+            SELECT 3, id, sha256(to_json({{'record': 'relation', 'id': id, 'store': store, 'head_id': head_id, 'tail_id': tail_id, 'relation': relation, 'canonical_relation': canonical_relation, 'properties': properties}})::VARCHAR)
+            FROM v_relations WHERE {_S} UNION ALL
+            SELECT 4, id, sha256(to_json({{'record': 'community', 'id': id, 'store': store, 'level': level, 'parent_id': parent_id, 'summary': summary, 'modularity': modularity}})::VARCHAR) FROM v_communities WHERE {_S}""",
     }
     return {name: with_views(body) for name, body in raw.items()}

@@ -8,6 +8,15 @@ from weftline.functions import hashing, parsing, spans, text
 from weftline.plans.views import Views, with_views
 
 
+#: White space as both regular expression languages have it.
+_WHITE = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]+"
+
+
+def _joined(text: str):
+    """Hash of a source's spans put together in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", text))), lambda x: x[text]), ""), 256)
+
+
 def queries():
     q = {}
 
@@ -54,7 +63,8 @@ def queries():
 
     @add
     def json_values(v):
-        return v.entities.select("id", text.json_value(F.col("properties")).isNotNull().alias("is_json"))
+        value = text.json_value(F.col("properties"))
+        return v.entities.select("id", value.isNotNull().alias("is_json"), F.try_variant_get(value, "$.note", "string").alias("note"), F.try_variant_get(value, "$.weight", "double").alias("weight"))
 
     @add
     def sha256_fingerprint(v):
@@ -66,9 +76,9 @@ def queries():
 
     @add
     def line_spans(v):
-        # nothing is lost: the spans' bytes add up to the source's
+        # nothing is lost: the spans put together are the source
         found = spans.line_span_documents(v.t("documents"), max_bytes=500)
-        return found.groupBy("doc_id").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.max("line_end").cast("bigint").alias("lines"))
+        return found.groupBy("doc_id").agg(_joined("text").alias("text"), F.max("line_end").cast("bigint").alias("lines"))
 
     @add
     def line_span_rows(v):
@@ -78,6 +88,24 @@ def queries():
     def text_spans(v):
         return spans.chunk_documents(v.t("documents"))
 
+    @add
+    def text_span_cover(v):
+        # the spans put together are the text but for white space
+        found = spans.chunk_documents(v.t("documents"))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "")
+        return found.groupBy("doc_id").agg(F.sha2(F.regexp_replace(whole, _WHITE, ""), 256).alias("text"))
+
+    @add
+    def code_span_cover(v):
+        return spans.code_span_documents(v.t("documents").where("shape = 'code'")).groupBy("doc_id").agg(_joined("text").alias("text"))
+
+    @add
+    def window_spans(v):
+        # every window stands in its text and is within the limit; the first begins it
+        found = spans.window_documents(v.t("documents"), most=500).join(v.t("documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
+        good = F.col("whole").contains(F.col("text")) & (F.length("text") <= 500) & ((F.col("index") > 0) | F.startswith("whole", "text"))
+        return found.groupBy("doc_id").agg(F.bool_and(good).alias("good"))
+
     @add
     def code_spans(v):
         return spans.code_span_documents(v.t("documents").where("shape = 'code'"))
@@ -85,8 +113,8 @@ def queries():
     @add
     def verified_chunk(v):
         # a stale fingerprint in the table shows as a mismatch
-        s = v.t("chunk_spans").select("span_id", "text", "fingerprint").distinct().where("text is not null")
-        return s.select("span_id", F.when(hashing.sha256_fingerprint(F.col("text")) == F.col("fingerprint"), "ok").otherwise("fingerprint_mismatch").alias("status"))
+        s = v.t("chunk_spans").select("span_id", "text", "fingerprint").distinct()
+        return s.select("span_id", spans.span_status(F.col("text"), F.col("fingerprint"), hashing.sha256_fingerprint(F.col("text"))).alias("status"))
 
     @add
     def sed_ranges(v):
@@ -121,7 +149,9 @@ def oracle_sql() -> dict[str, str]:
                 AND len(json_extract(j, '$.entities[*].relation')) = coalesce(json_array_length(j, '$.entities'), 0) AND len(json_extract(j, '$.entities[*].tail')) = coalesce(json_array_length(j, '$.entities'), 0) AS ok FROM o)
             SELECT m.seq, (CASE WHEN isj THEN CASE WHEN ok THEN n_items ELSE 0 END ELSE coalesce(n, 0) END)::BIGINT AS n_triples,
                 (CASE WHEN isj THEN CASE WHEN ok THEN 0 ELSE 1 END ELSE coalesce(total - n, 0) END)::BIGINT AS malformed FROM m LEFT JOIN g ON g.seq = m.seq""",
-        "json_values": "SELECT id, coalesce(json_valid(properties), false) AS is_json FROM v_entities",
+        "json_values": """
+            SELECT id, coalesce(json_valid(properties), false) AS is_json, CASE WHEN json_valid(properties) THEN json_extract_string(properties, '$.note') END AS note,
+                CASE WHEN json_valid(properties) THEN try_cast(json_extract_string(properties, '$.weight') AS DOUBLE) END AS weight FROM v_entities""",
         "strategy_route": "SELECT seq, CASE WHEN lower(coalesce(model, '')) LIKE '%nemotron%' THEN 'json' ELSE 'lines' END AS strategy FROM v_replies",
         "lang_detect": """
             SELECT doc_id, CASE lower(list_last(string_split(origin_path, '.'))) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript'
@@ -133,8 +163,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT span_id, CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN source || '#chunk' || (span_index + 1) ELSE source END AS label FROM s""",
         "previews": "SELECT id, replace(substr(content, 1, 48), chr(10), '\\n') AS preview FROM v_chunks",
         "sha256_fingerprint": "SELECT id, 'sha256:' || sha256(content) AS fingerprint FROM v_chunks",
-        "line_spans": "SELECT doc_id, strlen(text)::BIGINT AS bytes, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS lines FROM documents WHERE text IS NOT NULL AND text <> ''",
-        "verified_chunk": "SELECT DISTINCT span_id, CASE WHEN 'sha256:' || sha256(text) = fingerprint THEN 'ok' ELSE 'fingerprint_mismatch' END AS status FROM chunk_spans WHERE text IS NOT NULL",
+        "line_spans": "SELECT doc_id, sha256(text) AS text, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS lines FROM documents WHERE text IS NOT NULL AND text <> ''",
+        "text_span_cover": f"SELECT doc_id, sha256(regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g')) AS text FROM documents WHERE regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g') <> ''",
+        "code_span_cover": "SELECT doc_id, sha256(text) AS text FROM documents WHERE shape = 'code' AND text <> ''",
+        "window_spans": f"SELECT doc_id, true AS good FROM documents WHERE regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g') <> ''",
+        "verified_chunk": "SELECT DISTINCT span_id, CASE WHEN text IS NULL THEN 'out_of_range' WHEN 'sha256:' || sha256(text) = fingerprint THEN 'ok' ELSE 'fingerprint_mismatch' END AS status FROM chunk_spans",
         "sed_ranges": "SELECT DISTINCT span_id, line_start || ',' || line_end || 'p' AS range FROM chunk_spans",
     }
     return {name: with_views(body) for name, body in raw.items()}

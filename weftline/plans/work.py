@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from weftline.operators import capsules, pipeline
 from weftline.operators.aggregates import history
 from weftline.operators.joins import members_of_communities
+from weftline.plans.tables import _FOLD
+from weftline.plans.texts import _LINES
 from weftline.plans.views import Views, with_views
 
 
@@ -77,7 +79,7 @@ def queries():
     @add
     def pipeline_status(v):
         status = pipeline.pipeline_status(v.chunks, v.extractions, v.entities, v.entity_embeddings, v.entity_communities, v.communities, v.stores)
-        return status.select("store", "phase", "total", "done", "pending", "blocked", "ready")
+        return status.select("store", "phase", "total", "done", "pending", "blocked", "ready", "blocked_by", "guidance")
 
     @add
     def next_step(v):
@@ -108,7 +110,7 @@ def queries():
 
     @add
     def capsule_fingerprint(v):
-        return capsules.capsule_references(_capsules(v)).select("capsule_id", "uri", F.length("content_fingerprint").cast("bigint").alias("n"))
+        return capsules.capsule_references(_capsules(v)).select("capsule_id", "uri", "content_fingerprint")
 
     return q
 
@@ -128,12 +130,36 @@ _STATUS = """
 """
 
 
+_TRIM = "regexp_replace({0}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')"
+#: The triples of each extraction reply: lines, or the objects of a JSON reply of which all are whole.
+_REPLIES = f"""{_LINES},
+    b AS (SELECT seq, chunk_id, regexp_matches(trim(coalesce(response, '')), '^(```|\\{{)') AS isj, trim(regexp_replace(regexp_replace(trim(response), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS j
+          FROM v_replies WHERE kind = 'extract' AND chunk_id IS NOT NULL),
+    o AS (SELECT seq, j, coalesce(json_array_length(j, '$.entities'), 0)::BIGINT AS n FROM b WHERE isj AND starts_with(j, '{{') AND json_valid(j)),
+    items AS (SELECT seq, i AS pos, json_extract(j, '$.entities[' || i || ']') AS t FROM (SELECT seq, j, unnest(range(n)) AS i FROM o)),
+    whole AS (SELECT seq FROM items GROUP BY 1 HAVING bool_and(coalesce(t->>'head', t->>'relation', t->>'tail') IS NOT NULL AND t->>'head' IS NOT NULL AND t->>'relation' IS NOT NULL AND t->>'tail' IS NOT NULL)),
+    found AS (
+        SELECT seq AS rseq, pos, head, head_type, relation, tail, tail_type FROM e WHERE head <> '' AND relation <> '' AND tail <> '' AND seq IN (SELECT seq FROM b WHERE NOT isj) UNION ALL
+        SELECT seq, pos, t->>'head', t->>'head_type', t->>'relation', t->>'tail', t->>'tail_type' FROM items WHERE seq IN (SELECT seq FROM whole))"""
+
+
 def oracle_sql() -> dict[str, str]:
     raw = {
         "plan_extract_units": """
             WITH p AS (SELECT * FROM v_chunks WHERE id NOT IN (SELECT chunk_id FROM v_extractions))
             SELECT 'extract:chunk:' || id AS unit_id, id AS chunk_id, 'm' AS model,
                 sha256('Passage ' || row_number() OVER (PARTITION BY store ORDER BY id) || ' of ' || count(*) OVER (PARTITION BY store) || ':' || chr(10) || chr(10) || content) AS prompt FROM p""",
+        "apply_extract": f"""
+            WITH {_REPLIES}, n AS (SELECT rseq, count(*) AS n FROM found GROUP BY 1),
+            last AS (SELECT chunk_id, max(seq) AS seq FROM v_replies WHERE kind = 'extract' AND chunk_id IS NOT NULL GROUP BY 1)
+            SELECT r.chunk_id, r.model, coalesce(n, 0) AS triple_count FROM v_replies r JOIN last USING (chunk_id, seq) LEFT JOIN n ON rseq = r.seq WHERE r.kind = 'extract'""",
+        "apply_extract_entities": f"""
+            WITH {_REPLIES},
+            placed AS (SELECT c.store, f.*, row_number() OVER (ORDER BY rseq, pos) AS place FROM found f JOIN v_replies r ON r.seq = rseq JOIN v_chunks c ON c.id = r.chunk_id),
+            w AS (SELECT * FROM placed WHERE trim(head) <> '' AND trim(tail) <> '' AND trim(relation) <> ''),
+            m AS (SELECT store, place * 2 AS seq, head AS name, head_type AS t FROM w UNION ALL SELECT store, place * 2 + 1, tail, tail_type FROM w)
+            SELECT min(seq) AS id, store, arg_min({_TRIM.format('name')}, seq) AS name, arg_max(t, CASE WHEN t IS NOT NULL THEN seq END) AS entity_type, NULL::VARCHAR AS properties
+            FROM m WHERE {_FOLD.format('name')} <> '' GROUP BY store, {_FOLD.format('name')}""",
         "plan_summarize_units": """
             WITH ready AS (SELECT * FROM v_communities c WHERE summary IS NULL AND NOT EXISTS (SELECT 1 FROM v_communities k WHERE k.parent_id = c.id AND k.summary IS NULL)),
             n AS (SELECT community_id, string_agg(CASE WHEN coalesce(entity_type, '') = '' THEN name ELSE name || ' (' || entity_type || ')' END, chr(10)
@@ -148,9 +174,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, coalesce(s, summary) AS summary FROM v_communities LEFT JOIN r ON community_id = id""",
         "plan_embed": "SELECT id AS entity_id, CASE WHEN coalesce(entity_type, '') = '' THEN name ELSE name || ' (' || entity_type || ')' END AS text FROM v_entities WHERE id NOT IN (SELECT entity_id FROM v_entity_embeddings)",
         "pipeline_status": _STATUS + """
-            SELECT store, 'extract' AS phase, c AS total, c - todo AS done, todo AS pending, 0::BIGINT AS blocked, todo > 0 AS ready FROM s UNION ALL
-            SELECT store, 'embed', e, e - bare, bare, 0, bare > 0 FROM s UNION ALL SELECT store, 'communities', e, e - loose, loose, 0, loose > 0 FROM s UNION ALL
-            SELECT store, 'summarize', g, w, nx, g - w - nx, nx > 0 FROM s""",
+            SELECT store, 'extract' AS phase, c AS total, c - todo AS done, todo AS pending, 0::BIGINT AS blocked, todo > 0 AS ready, NULL AS blocked_by,
+                CASE WHEN c = 0 THEN 'no chunks: add documents' WHEN todo > 0 THEN todo || ' chunks to extract' ELSE 'every chunk is extracted' END AS guidance FROM s UNION ALL
+            SELECT store, 'embed', e, e - bare, bare, 0, bare > 0, CASE WHEN e = 0 THEN 'extract' END,
+                CASE WHEN e = 0 THEN 'no entities: extract first' WHEN bare > 0 THEN bare || ' entities to embed' ELSE 'every entity is embedded' END FROM s UNION ALL
+            SELECT store, 'communities', e, e - loose, loose, 0, loose > 0, CASE WHEN e = 0 THEN 'extract' END,
+                CASE WHEN e = 0 THEN 'no entities: extract first' WHEN loose > 0 THEN loose || ' entities in no community' ELSE 'every entity is in a community' END FROM s UNION ALL
+            SELECT store, 'summarize', g, w, nx, g - w - nx, nx > 0, CASE WHEN g = 0 THEN 'communities' END,
+                CASE WHEN g = 0 THEN 'no communities: detect them first' WHEN nx > 0 THEN nx || ' communities to summarise' WHEN g - w > 0 THEN (g - w) || ' communities wait for their children'
+                ELSE 'every community is summarised' END FROM s""",
         "next_step": _STATUS + """
             SELECT store, CASE WHEN todo > 0 THEN todo || ' chunks to extract' WHEN bare > 0 THEN bare || ' entities to embed' WHEN loose > 0 THEN loose || ' entities in no community'
                 WHEN nx > 0 THEN nx || ' communities to summarise' ELSE 'nothing is pending' END AS next FROM s""",
@@ -162,7 +194,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'community-' || id AS capsule_id, CASE WHEN NOT regexp_matches(coalesce(summary, ' '), '[^\s\pZ]') THEN 'empty_text:purpose'
                 WHEN parent_id IS NOT NULL AND parent_id <> id THEN 'dangling_evidence:verified_state' END AS error FROM v_communities""",
         "capsule_fingerprint": r"""
-            SELECT 'community-' || id AS capsule_id, 'weftline://capsules/v1/project/community-' || id AS uri, 71::BIGINT AS n FROM v_communities
+            SELECT 'community-' || id AS capsule_id, 'weftline://capsules/v1/project/community-' || id AS uri, 'sha256:' || sha256(
+                '{"schema_version":1,"capsule_id":"community-' || id || '","project":{"project_id":"' || store || '","display_name":"' || store || '","locations":[]},"purpose":' || to_json(summary)::VARCHAR ||
+                ',"verified_state":[{"statement":"it is so","evidence":["ev-' || id || '"]}],"decisions":[],"open_threads":[],"commitments":[],"next_segment":{"title":"next","entry_point":"next","first_action":"next"},' ||
+                '"evidence":[{"evidence_id":"ev-' || id || '","uri":"file://facts","observed_at":"2026-01-01T00:00:00Z"}],"freshness":{"generated_at":"2026-01-01T00:00:00Z","source_fingerprint":"sha256:' || sha256(store) ||
+                '","input_fingerprints":[]}}') AS content_fingerprint FROM v_communities
             WHERE regexp_matches(coalesce(summary, ' '), '[^\s\pZ]') AND (parent_id IS NULL OR parent_id = id)""",
     }
     return {name: with_views(body) for name, body in raw.items()}

@@ -20,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import listing
 from weftline.operators.numbering import with_ids
 from weftline.schema import LINKS, OWNED, TABLES, empty, migrate
 
@@ -166,7 +167,7 @@ class Catalog:
     # stores
 
     def list_stores(self) -> DataFrame:
-        return self.read("stores").orderBy("name")
+        return listing.list_stores(self.read("stores"))
 
     def get_store(self, name: str) -> dict:
         found = self.read("stores").where(F.col("name") == name).limit(1).collect()

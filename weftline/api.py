@@ -180,7 +180,7 @@ class Store:
 
     def find_merge_candidates(self, threshold: float = 0.85) -> DataFrame:
         vectors = joins.entity_vectors(self._own("entities"), self.catalog.read("entity_embeddings")).select("store", F.col("entity_id").alias("id"), "embedding")
-        return similarity.merge_candidates(vectors, threshold).orderBy(F.desc("score"), "a", "b")
+        return similarity.merge_candidates(vectors, threshold, self._own("entities").select("id", "name")).orderBy(F.desc("score"), "a", "b")
 
     def merge(self, target: int, source: int) -> None:
         since = self.catalog.state()[0]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import stage, unchunked
 
-#: Pivots, and vectors of one task's block.
-PIVOTS, BLOCK = 64, 2048
+#: Pivots, at least and at most (about a root of the vectors between), and vectors of one task's block.
+LEAST_PIVOTS, MOST_PIVOTS, BLOCK = 16, 1024, 2048
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -38,13 +38,15 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
     spark = vectors.sparkSession
     members = stage(copy_classes(vectors))
     base = stage(vectors.join(members.where("id = rep").select("store", "id"), ["store", "id"], "left_semi").select("store", "id", "embedding"))
-    dims = [r[0] for r in base.select(F.size("embedding")).distinct().limit(1001).collect()]
+    dims = base.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).limit(1001).collect()
     if len(dims) > 1000:
         raise ValueError("more than 1000 dimensions in one table")
     pivots = {}
-    for dim in dims:
-        some = base.where(F.size("embedding") == dim).orderBy(F.xxhash64("id")).limit(PIVOTS).toPandas()
-        pivots[dim] = _unit(some["embedding"])
+    for dim, n in dims:
+        count = max(LEAST_PIVOTS, min(MOST_PIVOTS, int(n**0.5)))
+        some = base.where(F.size("embedding") == dim).orderBy(F.xxhash64("id"), "store", "id").limit(count).toPandas()
+        p = _unit(some["embedding"])
+        pivots[dim] = p, np.sqrt(((p**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * p @ p.T).clip(0))
     sent = spark.sparkContext.broadcast(pivots)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
@@ -52,11 +54,11 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
         for batch in batches:
             out = []
             for dim, rows in batch.groupby(batch["embedding"].map(len)):
-                p = sent.value[dim]
+                p, gaps = sent.value[dim]
                 x = _unit(rows["embedding"])
                 d2 = ((x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T).clip(0)
                 home = d2.argmin(1)
-                gap = np.sqrt(((p[home][:, None, :] - p[None, :, :]) ** 2).sum(2))
+                gap = gaps[home]
                 # distance to the plane between the home pivot and another one
                 plane = np.divide(d2 - d2[np.arange(len(x)), home][:, None], 2 * gap, out=np.zeros_like(d2), where=gap > 0)
                 near = plane <= reach
@@ -87,9 +89,11 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
     return met.groupBy("store", "a", "b").agg(F.max("score").alias("score")), members
 
 
-def merge_candidates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+def merge_candidates(vectors: DataFrame, threshold: float = 0.85, names: DataFrame | None = None) -> DataFrame:
     """(store, a, b, score) of all pairs of entity vectors (store, id, embedding) at least threshold similar, a < b.
 
+    With names (id, name), also name_a and name_b.
+
     Vectors are compared once for all their copies; every pair of copies and
     every pair of a copy with what its vector is similar to is a row of its own.
     """
@@ -107,4 +111,7 @@ def merge_candidates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     left = own.select("store", "rep", "part", F.col("id").alias("a"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     right = own.select("store", "rep", F.col("part").alias("other"), F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     inside = left.join(right, ["store", "rep", "part", "other"]).where("a < b").select("store", "a", "b", "score")
-    return across.unionByName(inside)
+    found = across.unionByName(inside)
+    if names is None:
+        return found
+    return found.join(names.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a", "left").join(names.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b", "left").select("store", "a", "name_a", "b", "name_b", "score")

@@ -109,6 +109,15 @@ def queries():
         return merge_candidates(vectors, 0.35).select("a", "b", F.round("score", 6).alias("score"))
 
     q["merge_candidates"] = q.pop("merge_candidates_")
+
+    @add
+    def merge_candidate_names(v):
+        # chunk vectors in the place of entity vectors, each also under a second id: copies among them, the real threshold
+        rows = v.vectors.groupBy("store", "chunk_id").agg(F.min("embedding").alias("embedding"))
+        twice = rows.select("store", F.explode(F.array((F.col("chunk_id") * 2), F.col("chunk_id") * 2 + 1)).alias("id"), "embedding")
+        names = twice.select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+        return merge_candidates(twice, 0.85, names).select("a", "b", "name_a", "name_b", F.round("score", 4).alias("score"))
+
     return q
 
 
@@ -154,5 +163,10 @@ def oracle_sql() -> dict[str, str]:
         "merge_candidates": """
             SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
             WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35""",
+        "merge_candidate_names": """
+            WITH one AS (SELECT store, chunk_id, min(embedding) AS x FROM v_vectors GROUP BY 1, 2),
+            w AS (SELECT store, chunk_id * 2 + k AS id, x FROM one, (SELECT unnest([0, 1]) AS k) WHERE len(list_filter(x, lambda t: t <> 0)) > 0)
+            SELECT a.id AS a, b.id AS b, 'n' || a.id AS name_a, 'n' || b.id AS name_b, round(list_cosine_similarity(a.x, b.x), 4) AS score
+            FROM w a JOIN w b ON a.store = b.store AND a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.85""",
     }
     return {name: with_views(body) for name, body in raw.items()}

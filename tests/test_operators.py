@@ -188,15 +188,21 @@ def test_merge_candidates_hold_all_pairs_of_copies(spark):
     assert len(got) == len(set(got)) and set(got) == want and len([g for g in got if g[0] == "t"]) == 13 * 12 // 2
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     docs = spark.createDataFrame([(1, "rust rust rust"), (2, "rust and safe-push"), (3, "other words here")], "chunk_id long, content string")
-    index = retrieval.Bm25Index(docs).persist()
+    index = retrieval.Bm25Index(docs)
+    kept = retrieval.Bm25Index.load(spark, str(tmp_path)) if retrieval.Bm25Index(docs).save(str(tmp_path)) else None
+    for query in ("rust", "safe-push other", "(rust OR other) NOT safe-push", "none", ""):
+        assert [tuple(r) for r in kept.search(query, 5).collect()] == [tuple(r) for r in index.search(query, 5).collect()]
+    assert {(r.term, r.df) for r in kept.frequencies.collect()} >= {("rust", 2), ("words", 1)}
+    source = lambda vector, k: spark.createDataFrame([(2, 0.5)], "chunk_id long, score double")
+    mixed = retrieval.hybrid_recall(source, kept, docs.selectExpr("chunk_id as id", "content", "'s' as source"), [1.0], "other", 5).collect()
+    assert {(r.chunk_id, r.similarity is None, r.lexical is None) for r in mixed} == {(2, False, True), (3, True, False)}
     assert [r.chunk_id for r in index.search("rust", 5).collect()] == [1, 2]
     assert [r.chunk_id for r in index.search("safe-push other", 5).collect()] == [3, 2] or {r.chunk_id for r in index.search("safe-push other", 5).collect()} == {2, 3}
     assert [r.chunk_id for r in index.search("rust AND safe-push", 5).collect()] == [2]
     assert [r.chunk_id for r in index.search("rust NOT safe-push", 5).collect()] == [1]
     assert index.search("", 5).count() == 0 and index.search("missing", 5).count() == 0
-    index.unpersist()
     assert retrieval.Bm25Index(docs.limit(0)).search("rust", 5).count() == 0
 
 

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.vectors import cosine
-
 K1, B, RRF_K = 1.2, 0.75, 60
 
+#: Parts by hash of the term into which a kept index is cut.
+TERM_PARTS = 64
+
+#: Gives (key, score) of the vectors most similar to a query vector: anything that can stand in for the exact search.
+VectorSource = Callable[[list[float], int], DataFrame]
+
 
 class DimensionMismatch(ValueError):
     pass
@@ -20,15 +28,37 @@ class DimensionMismatch(ValueError):
 def vector_top_k(vectors: DataFrame, query: list[float], k: int, dim: int | None = None, key: str = "chunk_id") -> DataFrame:
     """(key, score): the k vectors most similar to a query vector; ties to the lesser key.
 
-    With dim, a query or stored vector of another dimension raises.
+    With dim, a query or stored vector of another dimension raises. The cosine is
+    0 for a zero vector and one of another length; null vectors are left out.
+    Scores are products of whole Arrow batches, and each task hands on its k best.
     """
-    rows = vectors
-    if dim is not None:
-        if len(query) != dim:
-            raise DimensionMismatch(f"query has {len(query)} dimensions, the store {dim}")
-        rows = rows.withColumn("embedding", F.when(F.size("embedding") != dim, F.raise_error(F.lit(f"a stored vector lacks {dim} dimensions"))).otherwise(F.col("embedding")))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(key, cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), key).limit(max(0, k))
+    if dim is not None and len(query) != dim:
+        raise DimensionMismatch(f"query has {len(query)} dimensions, the store {dim}")
+    k, q = max(0, k), np.asarray(query, dtype=np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            rows = batch.column("embedding")
+            sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+            if dim is not None and (sizes != dim).any():
+                raise DimensionMismatch(f"a stored vector lacks {dim} dimensions")
+            found = np.zeros(len(sizes))
+            fit = np.flatnonzero(sizes == len(q))
+            if len(fit) and len(q):
+                x = rows.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+                norms = np.sqrt((x * x).sum(1)) * norm
+                found[fit] = np.divide(x @ q, norms, out=np.zeros(len(x)), where=norms != 0)
+            part = pa.table({key: batch.column(key), "score": found})
+            best = part if best is None else pa.concat_tables([best, part])
+            best = best.take(pc.sort_indices(best, sort_keys=[("score", "descending"), (key, "ascending")])[:k])
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    rows = vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    scored = rows.mapInArrow(score, f"`{key}` {vectors.schema[key].dataType.simpleString()}, score double")
+    return scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def tokens(text: Column) -> Column:
@@ -37,30 +67,65 @@ def tokens(text: Column) -> Column:
 
 
 class Bm25Index:
-    """Postings, document lengths and frequencies of a table of texts."""
+    """Term frequencies and lengths of a table of texts.
+
+    Made from texts it reads them for each query, keeps only the query's terms and
+    sends only what holds one of them. Saved, it is a table of postings in parts
+    by hash of the term, of which a query reads its own terms' parts.
+    """
 
     def __init__(self, docs: DataFrame, key: str = "chunk_id", text: str = "content"):
-        words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
-        self.key = key
-        self.lengths = words.select("id", F.size("words").alias("length"))
-        self.postings = words.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        self.corpus = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-        self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-
-    def persist(self) -> Bm25Index:
-        """Keep the postings for further queries of this snapshot."""
-        self.postings, self.lengths = self.postings.persist(), self.lengths.persist()
+        self.key, self.saved = key, None
+        self.words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
+        self.corpus = self.words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(id, term, tf, length) of all terms."""
+        if self.saved is not None:
+            return self.saved
+        rows = self.words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+        return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def save(self, path: str) -> Bm25Index:
+        """Write the postings under a path and search there from now on."""
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(TERM_PARTS)).cast("int")
+        rows = self.postings.withColumn("part", part("term"))
+        rows.repartition(TERM_PARTS, "part", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        self.corpus.withColumn("key", F.lit(self.key)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+        return self._opened(rows.sparkSession, path)
+
+    def _opened(self, spark: SparkSession, path: str) -> Bm25Index:
+        self.saved = spark.read.parquet(f"{path}/postings")
+        self.corpus = spark.read.parquet(f"{path}/corpus").select("n", "mean_length")
         return self
 
-    def unpersist(self) -> None:
-        self.postings.unpersist()
-        self.lengths.unpersist()
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
+        index = cls.__new__(cls)
+        index.key, index.words = spark.read.parquet(f"{path}/corpus").first()["key"], None
+        return index._opened(spark, path)
+
+    def matching(self, terms: list[str]) -> DataFrame:
+        """(id, term, tf, length) of the query's terms."""
+        if self.saved is not None:
+            parts = self.saved.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")).collect()
+            return self.saved.where(F.col("part").isin(sorted({p[0] for p in parts})) & F.col("term").isin(terms)).select("id", "term", "tf", "length")
+        wanted = F.array(*[F.lit(t) for t in terms])
+        hits = self.words.select("id", F.size("words").alias("length"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("hits")).where(F.size("hits") > 0)
+        # a document's terms are counted where it is read: nothing is sent for it
+        each = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda w: w == t)).cast("bigint").alias("tf")))
+        return hits.select("id", "length", F.explode(each).alias("t")).select("id", "t.term", "t.tf", "length")
 
     def scores(self, terms: list[str]) -> DataFrame:
-        """(id, term, score) of the query's terms. Only the query's postings are read and counted."""
-        mine = self.postings.where(F.col("term").isin(terms))
+        """(id, term, score) of the query's terms."""
+        mine = self.matching(terms)
         df = mine.groupBy("term").agg(F.count("*").alias("df"))
-        joined = mine.join(F.broadcast(df), "term").join(self.lengths, "id").crossJoin(F.broadcast(self.corpus))
+        joined = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.corpus))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
         return joined.select("id", "term", (idf * tf).alias("score"))
@@ -69,7 +134,7 @@ class Bm25Index:
         """(key, score): the best texts for a query of words, or of AND, OR, NOT and brackets."""
         tree = parse_query(query)
         if tree is None:
-            return self.lengths.select(F.col("id").alias(self.key), F.lit(0.0).alias("score")).limit(0)
+            return self.matching([""]).select(F.col("id").alias(self.key), F.lit(0.0).alias("score")).limit(0)
         wanted = sorted(terms_of(tree))
         found = self.scores(wanted).groupBy("id").agg(F.collect_set("term").alias("has"), F.sum("score").alias("all_score"), F.map_from_entries(F.collect_list(F.struct("term", "score"))).alias("by"))
         keep = found.where(matches(tree, F.col("has")))
@@ -171,10 +236,14 @@ def reciprocal_rank_fusion(lanes: dict[str, DataFrame], key: str = "chunk_id", k
     return out.groupBy(key).agg(F.sum("part").alias("rrf"), *[F.max(n).alias(n) for n in lanes])
 
 
-def hybrid_recall(vectors: DataFrame, index: Bm25Index, chunks: DataFrame, query_vector: list[float], query: str, top: int, dim: int | None = None) -> DataFrame:
-    """(chunk_id, content, source, rrf, similarity, lexical): the best chunks by both lanes, each lane's score if it has one."""
+def hybrid_recall(vectors: DataFrame | VectorSource, index: Bm25Index, chunks: DataFrame, query_vector: list[float], query: str, top: int, dim: int | None = None) -> DataFrame:
+    """(chunk_id, content, source, rrf, similarity, lexical): the best chunks by both lanes, each lane's score if it has one.
+
+    vectors: (chunk_id, embedding), or a function that gives the candidates of a query vector.
+    """
     pool = max(top, 5) * 4
-    lanes = {"similarity": vector_top_k(vectors, query_vector, pool, dim), "lexical": index.search(query, pool)}
+    near = vector_top_k(vectors, query_vector, pool, dim) if isinstance(vectors, DataFrame) else vectors(query_vector, pool)
+    lanes = {"similarity": near, "lexical": index.search(query, pool)}
     fused = reciprocal_rank_fusion(lanes).orderBy(F.desc("rrf"), "chunk_id").limit(top)
     return chunks.select(F.col("id").alias("chunk_id"), "content", "source").join(F.broadcast(fused), "chunk_id").orderBy(F.desc("rrf"), "chunk_id")
 

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import embed_text, fold_key
 from weftline.functions.vocabulary import standard_synonyms, standard_types
-from weftline.operators import aggregates, graph, joins, leiden, listing, pipeline, resolve, retrieval, similarity
+from weftline.operators import aggregates, formatting, graph, joins, leiden, listing, pipeline, resolve, retrieval, similarity
 from weftline.operators.numbering import with_ids
+from weftline.operators.strategies import Strategy
 from weftline.session import stage
 from weftline.sources.catalog import Catalog, StoreNotFound, upsert
-from weftline.sources.ingest import Embedder, HashEmbedder, document_chunks, embed_column
+from weftline.sources.ingest import ChatClient, Embedder, HashEmbedder, ask_models, document_chunks, embed_column, extract_with_reflection
 from weftline.sources.jsonl import export_lines
 
 
 class Store:
     """A named store. Every call works on the newest commit; a call's writes become visible together."""
 
-    def __init__(self, catalog: Catalog, name: str = "default", embedder: Embedder | None = None, create: bool = True):
-        self.catalog, self.name, self.embedder = catalog, name, embedder or HashEmbedder()
+    def __init__(self, catalog: Catalog, name: str = "default", embedder: Embedder | None = None, create: bool = True, vector_source: retrieval.VectorSource | None = None):
+        self.catalog, self.name, self.embedder, self.vector_source = catalog, name, embedder or HashEmbedder(), vector_source
         self._index: tuple[str | None, retrieval.Bm25Index] | None = None
         try:
             self.dim = catalog.get_store(name)["dim"]
@@ -98,16 +101,21 @@ class Store:
     # searching
 
     def _lexical(self) -> retrieval.Bm25Index:
-        version = self.catalog.version("chunks")
+        """The lexical index of the store's chunks; it is kept beside the tables, under what the chunks consist of."""
+        version = self.catalog.version("chunks") or ""
         if self._index is None or self._index[0] != version:
-            if self._index is not None:
-                self._index[1].unpersist()
-            self._index = (version, retrieval.Bm25Index(self._own("chunks").select(F.col("id").alias("chunk_id"), "content")).persist())
+            key = hashlib.sha256(f"{self.name}\n{version}".encode()).hexdigest()
+            path = f"{self.catalog.root}/_lexical/{key}"
+            if self.catalog.exists(f"{path}/corpus/_SUCCESS"):
+                index = retrieval.Bm25Index.load(self.catalog.spark, path)
+            else:
+                index = retrieval.Bm25Index(self._own("chunks").select(F.col("id").alias("chunk_id"), "content")).save(path)
+            self._index = (version, index)
         return self._index[1]
 
     def search(self, query: str, top: int = 10, expand: int = 0) -> DataFrame:
         """Hybrid recall; with expand, also chunks that share entities (1) or are reached over relations (more)."""
-        vectors = joins.chunk_vectors(self._own("chunks"), self.catalog.read("chunk_embeddings"))
+        vectors = self.vector_source or joins.chunk_vectors(self._own("chunks"), self.catalog.read("chunk_embeddings"))
         hits = retrieval.hybrid_recall(vectors, self._lexical(), self._own("chunks"), self.embedder.embed([query])[0], query, top, self.dim)
         if not expand:
             return hits
@@ -117,17 +125,22 @@ class Store:
         grown = self._own("chunks").join(more, F.col("id") == F.col("chunk_id")).select("chunk_id", "content", "source")
         return hits.unionByName(grown, allowMissingColumns=True)
 
+    def search_text(self, query: str, top: int = 10, expand: int = 0) -> str:
+        """The hits of a search as text, best first."""
+        rows = formatting.format_hits(self.search(query, top, expand)).orderBy("place").collect()
+        return "## Search results\n\n" + "\n".join(r["text"] for r in rows)
+
     def query_global(self, min_entities: int = 2, max_communities: int | None = None) -> DataFrame:
         members = joins.members_of_communities(self._own("entities"), self.catalog.read("entity_communities")).select("community_id", "id", "name")
         return retrieval.global_contexts(self._own("communities"), members, self._own("relations"), self.catalog.read("chunk_entities"), self._own("chunks"), min_entities, max_communities)
 
     # working
 
-    def plan(self, phase: str, model: str = "model", limit: int | None = None) -> DataFrame:
-        """Work units of a phase: extract, summarize or embed."""
+    def plan(self, phase: str, model: str = "model", limit: int | None = None, strategy: Strategy | None = None) -> DataFrame:
+        """Work units of a phase: extract, summarize or embed. Extraction is asked for in the strategy's form, or that which suits the model."""
         c = self.catalog
         if phase == "extract":
-            return pipeline.plan_extract(self._own("chunks"), c.read("extractions"), model, limit)
+            return pipeline.plan_extract(self._own("chunks"), c.read("extractions"), model, limit, strategy)
         if phase == "summarize":
             members = joins.members_of_communities(self._own("entities"), c.read("entity_communities")).select("community_id", "name", "entity_type")
             return pipeline.plan_summarize(self._own("communities"), members, model, limit)
@@ -135,22 +148,49 @@ class Store:
             return pipeline.plan_embed(self._own("entities"), c.read("entity_embeddings"), limit)
         raise ValueError(f"unknown phase {phase}")
 
-    def apply(self, phase: str, replies: DataFrame) -> None:
-        """Apply replies: extract (chunk_id, model, response, received_at), summarize (community_id, response, received_at), embed (entity_id, embedding)."""
+    def apply(self, phase: str, replies: DataFrame, strategy: Strategy | str | None = None) -> int:
+        """Apply replies: extract (chunk_id, model, response, received_at), summarize (community_id, response, received_at), embed (entity_id, embedding).
+
+        Returns how many relations came of them. Chunks that are done are left as they are.
+        """
         from weftline.streaming.apply import apply_batch, apply_summary_batch
 
         if phase == "extract":
-            apply_batch(self.catalog, replies)
+            return apply_batch(self.catalog, replies, strategy=strategy)
         elif phase == "summarize":
             apply_summary_batch(self.catalog, replies, 0)
         elif phase == "embed":
             self.catalog.set_embeddings("entity_embeddings", "entity_id", replies, self.dim)
         else:
             raise ValueError(f"unknown phase {phase}")
-
-    def embed_entities(self) -> None:
-        units = self.plan("embed").select("entity_id", "text")
-        self.apply("embed", stage(embed_column(units, "entity_id", "text", self.embedder)))
+        return 0
+
+    def extract_all(self, client: ChatClient, model: str = "model", rounds: int = 0, limit: int | None = None) -> int:
+        """Ask a model about every chunk that is not extracted yet, with up to `rounds` reflections each, and apply its replies; returns how many relations came of them.
+
+        Chunks about which the model fails stay to be done.
+        """
+        units = stage(self.plan("extract", model, limit))
+        replies = extract_with_reflection(units, client, rounds) if rounds else ask_models(units, client)
+        return self.apply("extract", stage(replies.select("chunk_id", "model", "response").withColumn("received_at", F.current_timestamp())), "model")
+
+    def summarize_all(self, client: ChatClient, model: str = "model") -> int:
+        """Ask a model for every summary, from the leaves up; returns how many levels that took."""
+        levels = 0
+        while not (units := stage(self.plan("summarize", model))).isEmpty():
+            replies = stage(ask_models(units, client).select("community_id", "response").withColumn("received_at", F.current_timestamp()))
+            if replies.isEmpty():
+                break
+            self.apply("summarize", replies)
+            levels += 1
+        return levels
+
+    def embed_entities(self, limit: int | None = None) -> int:
+        """Embed the entities that lack a vector; returns how many."""
+        units = self.plan("embed", limit=limit).select("entity_id", "text")
+        made = stage(embed_column(units, "entity_id", "text", self.embedder))
+        self.apply("embed", made)
+        return made.count()
 
     def detect_communities(self, hierarchical: bool = False, clear: bool = True) -> None:
         """Cluster the store's entities and keep the communities; clear drops earlier ones."""
@@ -172,6 +212,28 @@ class Store:
         joined = self.catalog.read("entity_communities").join(gone, "community_id", "left_anti").select("entity_id", "community_id").unionByName(links)
         self.catalog.commit(replace={"entity_communities": joined, "communities": kept.unionByName(rows)}, since=since)
 
+    def preview_communities(self, **options) -> DataFrame:
+        """(community, size, ids, names, types) as they would be found now; nothing is kept."""
+        nodes = self._own("entities").select("store", F.col("id").alias("node"))
+        found = leiden.detect(graph.fold_edges(self._own("relations")), nodes, **options)
+        named = found.join(self._own("entities").select(F.col("id").alias("node"), "name", "entity_type"), "node")
+        sorted_ = F.array_sort(F.collect_list(F.struct(F.col("node").alias("id"), "name", F.col("entity_type").alias("type"))))
+        groups = named.groupBy("community").agg(F.count("*").alias("size"), sorted_.alias("m"))
+        return groups.select("community", "size", *[F.col(f"m.{a}").alias(b) for a, b in (("id", "ids"), ("name", "names"), ("type", "types"))]).orderBy(F.desc("size"), "community")
+
+    def community(self, id_: int) -> dict:
+        """One community: its record, its children's ids and its members; raises NotFound."""
+        record = listing._one(self._own("communities").where(F.col("id") == id_), id_)
+        one = self.catalog.spark.createDataFrame([(id_,)], "id long")
+        children = listing.child_communities(self._own("communities"), one).select("id").orderBy("id").collect()
+        members = joins.members_of_communities(self._own("entities"), self.catalog.read("entity_communities").where(F.col("community_id") == id_)).orderBy("id").collect()
+        return record | {"children": [r["id"] for r in children], "entity_count": len(members), "entities": [{"id": r["id"], "name": r["name"], "type": r["entity_type"]} for r in members]}
+
+    def community_contexts(self) -> DataFrame:
+        """(community_id, text) to summarise each community by: its members with their relations inside it."""
+        members = joins.members_of_communities(self._own("entities"), self.catalog.read("entity_communities"))
+        return formatting.community_contexts(members, self._own("relations"))
+
     def update_summary(self, community: int, summary: str) -> None:
         rows = self.catalog.read("communities")
         self.catalog.write("communities", rows.withColumn("summary", F.when(F.col("id") == community, F.lit(summary)).otherwise(F.col("summary"))))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +61,48 @@ def json_reply(response: Column) -> Column:
     return F.when(good, F.coalesce(parsed["entities"], F.array().cast("array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string,properties:string>>")))
 
 
+#: Parts of the names of models that answer better in JSON.
+JSON_MODELS = ("nemotron",)
+
+
 def wants_json(model: Column) -> Column:
     """Whether replies of a model come as JSON rather than as triple lines."""
-    return F.lower(F.coalesce(model, F.lit(""))).contains("nemotron")
+    name = F.lower(F.coalesce(model, F.lit("")))
+    return reduce(lambda a, b: a | b, [name.contains(part) for part in JSON_MODELS])
+
+
+def python_triples(response: str | None, as_json: bool) -> tuple[list[tuple], int]:
+    """parse_replies for one reply in Python: ((head, head_type, relation, tail, tail_type) of each triple, how many were malformed)."""
+    text = response or ""
+    if as_json:
+        bare = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip(" ")))
+        try:
+            found = json.loads(bare)
+            items = found.get("entities") or [] if isinstance(found, dict) else None
+            rows = [tuple(None if item.get(k) is None else str(item[k]) for k in ("head", "head_type", "relation", "tail", "tail_type")) for item in items]
+        except (ValueError, TypeError, AttributeError):
+            return [], 1
+        return ([], 1) if any(None in (r[0], r[2], r[3]) for r in rows) else (rows, 0)
+    rows, malformed = [], 0
+    for line in (x.strip() for x in text.split("\n")):
+        if not line or line.startswith(("#", "//", "Example")):
+            continue
+        left, arrow, right = line.partition("]->")
+        head, mark, relation = left.partition("-[")
+        (head, head_type), (tail, tail_type) = _node(head), _node(right)
+        if arrow and mark and head and relation.strip(" ") and tail:
+            rows.append((head, head_type, relation.strip(" "), tail, tail_type))
+        else:
+            malformed += 1
+    return rows, malformed
+
+
+def _node(text: str) -> tuple[str, str | None]:
+    text = text.strip()
+    if text.endswith(")") and "(" in text:
+        name, _, kind = text[:-1].rpartition("(")
+        return name.strip(" "), kind.strip(" ") or None
+    return text, None
 
 
 def parse_replies(replies: DataFrame, as_json: Column | None = None) -> DataFrame:

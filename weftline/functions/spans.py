@@ -289,3 +289,35 @@ def line_span_documents(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 def code_span_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "origin_path", max_bytes: int = 1000) -> DataFrame:
     return _explode_spans(docs.select(key, text, path), key, text, lambda value, p: code_spans_auto(value, p, max_bytes)[1])
+
+
+class ChunkError(ValueError):
+    """An unknown language, a source that cannot be parsed, or a chunk that is not there."""
+
+
+def cut_source(text: str, path: str = "", size: int = 2000, slack: int = 200, markdown: bool | None = None, lines: bool = False, code: bool = False, language: str | None = None, nth: int | None = None, expand: int = 0) -> list[dict]:
+    """The spans of one source as a caller wants them.
+
+    Whole lines come before code, code before text: lines cuts between lines; a
+    language, or code with that of the path, cuts between items. Without markdown
+    the path's ending tells. nth picks one span of all, and only then is what is
+    left widened by `expand` lines at both ends (narrowed, if below 0).
+    """
+    if lines:
+        found = line_spans(text, size)
+    elif language is not None:
+        name = EXTENSIONS.get(language.lower(), language.lower())
+        if name not in EXTENSIONS.values():
+            raise ChunkError(f"unknown language {language}; known endings: {', '.join(sorted(EXTENSIONS))}")
+        found = code_spans(text, name, size)
+        if found is None:
+            raise ChunkError(f"the source cannot be parsed as {name}")
+    elif code:
+        found = code_spans_auto(text, path, size)[1]
+    else:
+        found = chunk_spans(text, size, slack, path.lower().endswith((".md", ".markdown")) if markdown is None else markdown)
+    if nth is not None:
+        if not 0 <= nth < len(found):
+            raise ChunkError(f"there is no chunk {nth}")
+        found = [found[nth]]
+    return [resize_span(text, s, expand, expand) for s in found] if expand else found

@@ -159,7 +159,7 @@ def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolera
     return nodes.select("store", "node").distinct().join(found, ["store", "node"], "left").select("store", "node", F.coalesce("community", "node").alias("community"))
 
 
-def detect_hierarchy(edges: DataFrame, nodes: DataFrame, min_size: int = 10, max_levels: int = 3, **options) -> DataFrame:
+def detect_hierarchy(edges: DataFrame, nodes: DataFrame, min_size: int = 10, max_levels: int = 10, **options) -> DataFrame:
     """(store, level, community, parent, node): communities, and within large ones their parts.
 
     A community of at least min_size nodes is detected again on its own edges, and

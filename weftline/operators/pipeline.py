@@ -4,36 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftline.functions.parsing import parse_replies
+from weftline.functions.parsing import parse_replies, wants_json
 from weftline.functions.text import embed_text
 from weftline.operators.joins import pending_chunks, pending_communities, unclustered_entities, unembedded_entities
 from weftline.operators.listing import limited
 from weftline.operators.numbering import numbered
 from weftline.operators.resolve import persist_triples
+from weftline.operators.strategies import Strategy, strategy_for
 
-SYSTEM = "Extract facts from the passage as lines of the form: head (type) -[relation]-> tail (type)."
-#: The schema a model that answers in JSON is asked for.
-JSON_SCHEMA = {
-    "type": "object",
-    "required": ["entities"],
-    "properties": {"entities": {"type": "array", "items": {"type": "object", "required": ["head", "head_type", "relation", "tail", "tail_type"], "properties": {k: {"type": "string"} for k in ("head", "head_type", "relation", "tail", "tail_type")}}}},
-}
 
+def plan_extract(chunks: DataFrame, extractions: DataFrame, model: str, limit: int | None = None, strategy: Strategy | None = None) -> DataFrame:
+    """(unit_id, kind, chunk_id, store, model, system_prompt, user_prompt, format) of chunks still to be extracted, by id.
 
-def plan_extract(chunks: DataFrame, extractions: DataFrame, model: str, limit: int | None = None) -> DataFrame:
-    """(unit_id, kind, chunk_id, model, system_prompt, user_prompt) of chunks still to be extracted, by id."""
+    The strategy is the one that suits the model unless one is given. Places in
+    a store are counted over ids alone, cut into ranges, so no store's texts meet
+    in one task and no window runs over a store.
+    """
+    strategy = strategy or strategy_for(model)
     pending = limited(pending_chunks(chunks, extractions).orderBy("id"), limit)
-    place = F.row_number().over(Window.partitionBy("store").orderBy("id"))
-    total = F.count("*").over(Window.partitionBy("store"))
-    prompt = F.concat(F.lit("Passage "), place.cast("string"), F.lit(" of "), total.cast("string"), F.lit(":\n\n"), F.col("content"))
-    return pending.select(F.concat(F.lit("extract:chunk:"), F.col("id").cast("string")).alias("unit_id"), F.lit("extract").alias("kind"), F.col("id").alias("chunk_id"), "store", F.lit(model).alias("model"), F.lit(SYSTEM).alias("system_prompt"), prompt.alias("user_prompt"))
+    order = numbered(pending.select(F.struct("store", "id").alias("order")), "order", "at").select(F.col("order.store").alias("store"), F.col("order.id").alias("id"), "at")
+    sizes = F.broadcast(order.groupBy("store").agg(F.min("at").alias("first"), F.count("*").alias("total")).withColumnRenamed("store", "_store"))
+    places = order.join(sizes, F.col("store").eqNullSafe(F.col("_store"))).select("id", (F.col("at") - F.col("first") + 1).alias("place"), "total")
+    rows = pending.join(places, "id")
+    unit = F.concat(F.lit("extract:chunk:"), F.col("id").cast("string")).alias("unit_id")
+    prompt = strategy.user_prompt(F.col("content"), F.col("place"), F.col("total"))
+    return rows.select(unit, F.lit("extract").alias("kind"), F.col("id").alias("chunk_id"), "store", F.lit(model).alias("model"), F.lit(strategy.system).alias("system_prompt"), prompt.alias("user_prompt"), F.lit(strategy.format).cast("string").alias("format"))
 
 
-def apply_extract(replies: DataFrame, chunks: DataFrame, extractions: DataFrame, synonyms: DataFrame, skip_done: bool = False) -> dict[str, DataFrame]:
+def apply_extract(replies: DataFrame, chunks: DataFrame, extractions: DataFrame, synonyms: DataFrame, skip_done: bool = False, strategy: Strategy | str | None = None) -> dict[str, DataFrame]:
     """Results of replies (seq, chunk_id, model, response): entities, relations, chunk_entities and extractions.
 
+    Replies are read in the strategy's form, with "model" in that which suits each
+    row's model, and without one in the form that each reply has.
+
     Ids are places among these replies: a relation's is the place of its triple,
     an entity's twice that of the triple it is first named in, plus 1 as its tail.
     Every reply is checkpointed, also without triples. Replaying adds relations
@@ -42,7 +46,8 @@ def apply_extract(replies: DataFrame, chunks: DataFrame, extractions: DataFrame,
     rows = replies.where("chunk_id is not null")
     if skip_done:
         rows = rows.join(extractions.select("chunk_id"), "chunk_id", "left_anti")
-    parsed = parse_replies(rows)
+    as_json = None if strategy is None else wants_json(F.col("model")) if strategy == "model" else F.lit(strategy.as_json)
+    parsed = parse_replies(rows, as_json)
     exploded = parsed.select("seq", "chunk_id", F.posexplode("triples").alias("pos", "t")).join(chunks.select(F.col("id").alias("chunk_id"), "store"), "chunk_id")
     # dense places of triples: replies in order, triples within a reply in order
     placed = numbered(exploded.select("store", F.struct("seq", "chunk_id", "pos").alias("order"), "chunk_id", "t.head", "t.head_type", "t.relation", "t.tail", "t.tail_type"), "order", "seq")
@@ -116,18 +121,3 @@ def next_step(status: DataFrame) -> DataFrame:
     """(store, next): the guidance of the first ready phase."""
     first = status.groupBy("store").agg(F.min_by("guidance", F.when(F.col("ready"), F.col("ord"))).alias("next"))
     return first.select("store", F.coalesce("next", F.lit("nothing is pending")).alias("next"))
-
-
-def reflect(ask, chunks: DataFrame, rounds: int = 2) -> DataFrame:
-    """(id, triples) after asking again for what was missed: at most `rounds` more times, and only where the last round found some.
-
-    ask(chunks with known array<struct>, round) gives (id, triples, more boolean).
-    """
-    state = chunks.select("id", "content", F.array().cast("array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>>").alias("known"), F.lit(True).alias("active"))
-    for round_ in range(rounds + 1):
-        found = ask(state.where("active"), round_).select("id", F.col("triples").alias("_t"), F.col("more").alias("_m"))
-        state = state.join(found, "id", "left").select(
-            "id", "content", F.when(F.col("_t").isNotNull(), F.concat("known", "_t")).otherwise(F.col("known")).alias("known"),
-            (F.coalesce("_m", F.lit(False)) & (F.size(F.coalesce("_t", F.array())) > 0)).alias("active"),
-        )
-    return state.select("id", F.col("known").alias("triples"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_key, trim_unicode
-from weftline.functions.vectors import cosine
 from weftline.operators.components import connected_components
+from weftline.operators.retrieval import vector_top_k
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:
@@ -133,6 +133,6 @@ def merge_history(log: DataFrame, target: int) -> DataFrame:
 
 def similar_entities(vectors: DataFrame, query: list[float], threshold: float, limit: int) -> DataFrame:
     """(entity_id, name, score) of vectors (entity_id, name, embedding) at least threshold similar to a query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("entity_id", "name", cosine(F.col("embedding"), q).alias("score")).where(F.col("score") >= threshold)
-    return scored.orderBy(F.desc("score"), "entity_id").limit(limit)
+    best = vector_top_k(vectors, query, limit, key="entity_id").where(F.col("score") >= threshold)
+    named = vectors.select("entity_id", "name").join(F.broadcast(best), "entity_id")
+    return named.select("entity_id", "name", "score").orderBy(F.desc("score"), "entity_id")

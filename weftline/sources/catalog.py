@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from weftline.operators import listing
 from weftline.operators.numbering import with_ids
 from weftline.schema import LINKS, OWNED, TABLES, empty, migrate
+from weftline.session import stage
 
 #: Parts of a table from which appending merges them.
 MANY_PARTS = 64
@@ -42,6 +43,10 @@ class DimensionMismatch(ValueError):
     pass
 
 
+class InvalidCapsule(ValueError):
+    """A capsule that fails its checks; the message names it and the first check."""
+
+
 class ConcurrentWrite(RuntimeError):
     """A table that was to be replaced has been changed by another writer meanwhile."""
 
@@ -61,6 +66,9 @@ class Catalog:
     def _fs(self):
         return self._fs_path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def exists(self, path: str) -> bool:
+        return self._fs().exists(self._fs_path(path))
+
     def _commits(self) -> list[int]:
         fs, at = self._fs(), self._fs_path(f"{self.root}/_commits")
         if not fs.exists(at):
@@ -217,6 +225,46 @@ class Catalog:
         else:
             self.commit(replace={table: upsert(old, new, [key])}, since=since)
 
+    # capsules
+
+    def put_capsules(self, capsules: DataFrame) -> DataFrame:
+        """Check and keep capsules; returns their references. One that is kept already is not kept again."""
+        from weftline.operators.capsules import capsule_error, capsule_references, put_capsules
+
+        faults = capsules.select("capsule_id", capsule_error().alias("error")).where("error is not null").limit(1).collect()
+        if faults:
+            raise InvalidCapsule(f"{faults[0]['capsule_id']}: {faults[0]['error']}")
+        since, old = self.state()[0], self.read("capsules")
+        references = stage(capsule_references(capsules))
+        keys = ["capsule_id", "content_fingerprint"]
+        new = put_capsules(old.limit(0), with_ids(references.drop("uri"), old, "capsule_id").select(*old.columns)).join(old.select(*keys), keys, "left_anti").select(*old.columns)
+        new = stage(new)
+        if not new.isEmpty():
+            self.commit(append={"capsules": new}, since=since)
+        return references.drop("body")
+
+    def capsule_body(self, capsule_id: str, fingerprint: str | None = None) -> str | None:
+        """The newest body of a capsule, or that with a fingerprint; checked against its fingerprint. None if there is none."""
+        from weftline.operators.capsules import verified_capsules
+
+        rows = verified_capsules(self.read("capsules").where(F.col("capsule_id") == capsule_id))
+        if fingerprint is not None:
+            rows = rows.where(F.col("content_fingerprint") == fingerprint)
+        found = rows.orderBy(F.desc("id")).limit(1).collect()
+        return found[0]["body"] if found else None
+
+    def capsule_history(self, capsule_id: str) -> DataFrame:
+        """All references of a capsule, newest first."""
+        from weftline.operators.aggregates import history
+
+        return history(self.read("capsules"), "capsule_id", capsule_id).drop("body")
+
+    def list_capsules(self, project: str | None = None) -> DataFrame:
+        """The newest reference of each capsule, of one project or of all."""
+        from weftline.operators.capsules import latest_capsules
+
+        return latest_capsules(self.read("capsules"), project).drop("body").orderBy("capsule_id")
+
     def info(self) -> dict:
         """The root, the commit and the number of parts of each table."""
         number, tables = self.state()

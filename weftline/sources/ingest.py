@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import json
+import sys
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.spans import chunk_documents, split_with_overlap
 from weftline.functions.text import source_label
+from weftline.operators.strategies import continuation_prompt, reflection_prompt, strategy_for
 from weftline.session import frame
 
 
@@ -29,14 +32,6 @@ class ChatClient(Protocol):
     def chat(self, system: str | None, user: str) -> str: ...
 
 
-class ExtractionStrategy(Protocol):
-    """How a model is asked for triples and how its response is read."""
-
-    def prompt(self, chunk: str, index: int, total: int) -> tuple[str | None, str]: ...
-
-    def parse(self, response: str) -> list[dict]: ...
-
-
 class HashEmbedder:
     """A deterministic embedder for tests: signed hashes of words."""
 
@@ -109,13 +104,65 @@ def document_chunks(docs: DataFrame, size: int = 2000, slack: int = 200) -> Data
     return spans.join(totals, "doc_id").join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "index", F.col("text").alias("content"), source_label(F.col("source"), F.col("index"), F.col("total")).alias("source"))
 
 
-def ask_models(units: DataFrame, client: ChatClient, now: Callable[[], str] | None = None) -> DataFrame:
-    """(unit_id, kind, chunk_id, community_id, model, response) of each work unit, asked in the workers."""
+def ask_models(units: DataFrame, client: ChatClient) -> DataFrame:
+    """(unit_id, kind, chunk_id, community_id, model, response) of each work unit that the model answers, asked in the workers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield frame(**{c: batch[c] for c in _UNIT}, response=[_ask(client, s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])])
+
+    return _whole_units(units).mapInPandas(run, _REPLY).where("response is not null")
+
+
+def extract_with_reflection(units: DataFrame, client: ChatClient, rounds: int = 2) -> DataFrame:
+    """Replies as of ask_models to extraction units, each asked again for what was missed.
+
+    After a round that found something the model is asked whether anything was
+    missed; if its answer holds a yes it is asked for the rest, at most `rounds`
+    times. What the rounds found is one reply, as triple lines. A passage's rounds
+    follow each other in one worker, and passages do not wait for each other.
+    """
+
+    def one(model: str, system: str | None, user: str) -> str | None:
+        strategy = strategy_for(model)
+        content = user.partition("\n\n")[2] or user
+        response = _ask(client, system, user)
+        if response is None:
+            return None
+        found = fresh = strategy.parse(response)
+        for _ in range(rounds):
+            if not fresh or "yes" not in (_ask(client, *reflection_prompt(content, found)) or "").lower():
+                break
+            fresh = strategy.parse(_ask(client, *continuation_prompt(content, found, strategy)) or "")
+            found = found + fresh
+        if not found:
+            return response
+        node = lambda name, kind: f"{name} ({kind})" if kind else name
+        lines = [f"{node(h, ht)} -[{r}]-> {node(t, tt)}" for h, ht, r, t, tt in found]
+        return "\n".join(lines) if not strategy.as_json else json.dumps({"entities": [dict(zip(("head", "head_type", "relation", "tail", "tail_type"), t)) for t in found]}, ensure_ascii=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["unit_id", "kind", "chunk_id", "community_id", "model"]].copy()
-            out["response"] = pd.Series([client.chat(s, u) for s, u in zip(batch["system_prompt"], batch["user_prompt"])], dtype=object)
-            yield out
+            yield frame(**{c: batch[c] for c in _UNIT}, response=[one(*x) for x in zip(batch["model"], batch["system_prompt"], batch["user_prompt"])])
+
+    return _whole_units(units).mapInPandas(run, _REPLY).where("response is not null")
+
+
+_UNIT = ["unit_id", "kind", "chunk_id", "community_id", "model"]
+_REPLY = "unit_id string, kind string, chunk_id bigint, community_id bigint, model string, response string"
+
+
+def _ask(client: ChatClient, system: str | None, user: str) -> str | None:
+    """The response, or None if the model fails: the unit stays pending."""
+    try:
+        return client.chat(system, user)
+    except Exception as err:
+        print(f"no response: {err}", file=sys.stderr)
+        return None
+
 
-    return units.mapInPandas(run, "unit_id string, kind string, chunk_id bigint, community_id bigint, model string, response string")
+def _whole_units(units: DataFrame) -> DataFrame:
+    """Units with every column that asking needs; ids without nulls in pandas would be floats, so absent ones are 0."""
+    has = lambda c, kind: F.col(c) if c in units.columns else F.lit(None).cast(kind)
+    ids = [F.coalesce(has(c, "bigint"), F.lit(0)).cast("bigint").alias(c) for c in ("chunk_id", "community_id")]
+    return units.select("unit_id", "kind", *ids, "model", has("system_prompt", "string").alias("system_prompt"), "user_prompt")

@@ -39,7 +39,12 @@ def write_units(units: DataFrame, path: str) -> None:
 
 def read_replies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Replies from JSON lines; blank lines are skipped, a bad line fails the whole read with its text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parse_replies(spark.read.text(path), schema)
+
+
+def parse_replies(lines: DataFrame, schema: str) -> DataFrame:
+    """read_replies for lines (value) that are there already."""
+    lines = lines.where(F.trim(F.regexp_replace("value", r"\s+$", "")) != "")
     parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("v"))
     checked = parsed.withColumn("r", F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 200)))).otherwise(F.col("r")))
     return checked.select("r.*")

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from weftline.functions.text import fold_key
 from weftline.operators.numbering import with_ids
 from weftline.operators.pipeline import apply_extract, apply_summarize
+from weftline.operators.strategies import Strategy
 from weftline.session import stage
 from weftline.sources.catalog import Catalog
 
 
-def apply_batch(catalog: Catalog, replies: DataFrame, batch_id: int = 0) -> int:
+def apply_batch(catalog: Catalog, replies: DataFrame, batch_id: int = 0, strategy: Strategy | str | None = None) -> int:
     """Apply one micro-batch of extraction replies (chunk_id, model, response, received_at); returns how many relations came of it.
 
     Entities, relations, links and checkpoints become visible in one commit, so a
@@ -31,7 +32,7 @@ def apply_batch(catalog: Catalog, replies: DataFrame, batch_id: int = 0) -> int:
     fresh_rows = stage(latest.join(done.select("chunk_id"), "chunk_id", "left_anti"))
     if fresh_rows.isEmpty():
         return 0
-    out = apply_extract(fresh_rows.withColumn("seq", F.col("chunk_id")), catalog.read("chunks"), done, catalog.read("relation_synonyms"))
+    out = apply_extract(fresh_rows.withColumn("seq", F.col("chunk_id")), catalog.read("chunks"), done, catalog.read("relation_synonyms"), strategy=strategy)
     old = catalog.read("entities")
     known = old.select("store", fold_key(F.col("name")).alias("key"), F.col("id").alias("known_id"), F.col("entity_type").alias("known_type"))
     named = stage(out["entities"].withColumn("key", fold_key(F.col("name"))).join(known, ["store", "key"], "left"))

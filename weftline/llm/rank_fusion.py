@@ -13,7 +13,8 @@ and the next.
 Scale: a group may hold a third of all rows. Groups above `hot_rows` are cut
 into ranges at percentiles of each score, so that no task sorts a whole group:
 equal values are counted first, a window numbers the values of one range, and
-the ranges' totals, a bounded number, give the offsets.
+the ranges' totals, a bounded number, give the offsets. A value that very many
+items share, and a missing one, is joined in parts.
 
 Defined results: repeated rows and several hits of one item in one group count
 once, with the highest value of each score; infinite scores rank as the
@@ -37,9 +38,12 @@ HOT_ROWS = 200_000
 #: Ranges of a hot group for each score.
 RANGES = 128
 
+#: Parts in which the items of one frequent value, or without a value, get their rank.
+SALTS = 32
+
 
 def _lane_ranks(items: DataFrame, hot: DataFrame, group: str, score: str) -> DataFrame:
-    """(group, score, rank): the middle rank of each value of one score in its group."""
+    """(group, score, n, rank): the middle rank of each value of one score in its group, and how many items have it."""
     counts = items.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.count("*").alias("n"))
     counts = counts.join(F.broadcast(hot.select(group, F.col(f"cuts_{score}").alias("cuts"))), group, "left")
     counts = counts.withColumn("range", F.coalesce(F.expr(f"size(filter(cuts, c -> c > `{score}`))"), F.lit(0))).withColumn(
@@ -50,7 +54,7 @@ def _lane_ranks(items: DataFrame, hot: DataFrame, group: str, score: str) -> Dat
     offsets = totals.select(group, "range", F.coalesce(F.sum("range_n").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(group, "range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("above", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, [group, "range"])
-    return ranked.select(group, score, (F.col("offset") + F.col("above") + (F.col("n") + 1) / 2).alias(f"rank_{score}"))
+    return ranked.select(group, score, "n", (F.col("offset") + F.col("above") + (F.col("n") + 1) / 2).alias(f"rank_{score}"))
 
 
 def weighted_median(ranks: list[Column], weights: list[float]) -> Column:
@@ -100,8 +104,13 @@ def median_rank(
         *[F.array_distinct(F.percentile_approx(s, steps, F.lit(1000))).alias(f"cuts_{s}") for s in scores]
     )
     ranked = items.join(sizes, group)
+    salts, none = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))
     for s in scores:
-        ranked = ranked.join(_lane_ranks(items, cuts, group, s), [group, s], "left")
+        # a value of very many items, of which there are 1000 at most, is joined in parts, and so are missing values
+        often = items.where(F.col(s).isNotNull()).groupBy(group, s).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(group, s, F.lit(True).alias("_often"))
+        lane = _lane_ranks(items, cuts, group, s).withColumn("_salt", F.explode(F.when(F.col("n") > limit, salts).otherwise(none))).drop("n")
+        spread = F.when(F.col("_often") | F.col(s).isNull(), F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        ranked = ranked.join(F.broadcast(often), [group, s], "left").withColumn("_salt", spread).join(lane, [group, s, "_salt"], "left").drop("_salt", "_often")
     ranks = [F.coalesce(F.col(f"rank_{s}"), F.col("n_items").cast("double")) for s in scores]
     ranked = ranked.select(group, item, "n_items", *[r.alias(f"rank_{s}") for r, s in zip(ranks, scores)])
     columns = [F.col(f"rank_{s}") for s in scores]

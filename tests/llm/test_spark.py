@@ -153,6 +153,13 @@ def test_map_values(spark):
     for limit in (50_000, 1):
         assert {tuple(r) for r in cv.map_values(records, vocab, limit).collect()} == want
     assert cv.map_values(records.limit(0), vocab).count() == 0
+    # very long labels and values give the same either way
+    long = "".join(random.Random(1).choice("abcdefghij") for _ in range(230))
+    words = vocab.unionByName(spark.createDataFrame([(9, "relation", long, long)], vocab.schema))
+    typed = spark.createDataFrame([(1, long[:100] + "x" + long[100:]), (2, long + "yzw"), (3, long * 5)], "id long, relation string")
+    cases = cv.value_records([("relation", typed, "id", "relation")], words)
+    for limit in (50_000, 1):
+        assert {tuple(r) for r in cv.map_values(cases, words, limit).collect()} == {("relation", 1, long), ("relation", 2, "unmatched"), ("relation", 3, "unmatched")}
     assert {r.canonical for r in cv.map_values(records, vocab.limit(0)).collect()} == {"unmatched"}
 
 

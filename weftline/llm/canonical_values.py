@@ -15,9 +15,10 @@ or `is`, a trailing remark in brackets. A value that folds to a label is that
 label; a value that is still a label before a word is taken away keeps it.
 
 Scale: the dictionary is sent to all tasks while the list has at most
-`broadcast_entries` labels; the records are then mapped where they lie,
-without a shuffle, so frequent values cause no skew. With a longer list the
-different values and the labels are joined on their deletions instead.
+`broadcast_entries` labels; the records are then mapped where they lie, so
+frequent values cause no skew, and only what was found is sent on, to count
+repeated rows once. With a longer list the different values and the labels are
+joined on their deletions instead, with the same results.
 
 Defined results: null and blank values and null ids are no cases; a value that
 is byte-equal to a canonical entry needs no mapping and is no case; repeated
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.session import unchunked
+from weftline.session import stage, unchunked
 
 UNMATCHED = "unmatched"
 
@@ -219,16 +220,19 @@ def _map_joined(cases: DataFrame, entries: DataFrame, records: DataFrame) -> Dat
                 out += [(field, text, key, canonical, uses_) for text in (deletions(key) if key else ())]
             yield pd.DataFrame(out, columns=["field_name", "text", "label", "canonical", "uses"])
 
+    filed = labels.select("field_name", "label", "canonical", "uses").mapInPandas(file, "field_name string, text string, label string, canonical string, uses bigint")
+    filed = stage(filed.groupBy("field_name", "text", "label").agg(F.min("canonical").alias("canonical"), F.sum("uses").alias("uses")))
+    longest = filed.agg(F.coalesce(F.max(F.length("label")), F.lit(0))).first()[0]
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for field, value in batch.itertuples(index=False):
                 for n, way in enumerate(readings(value)):
-                    out += [(field, value, text, way, n) for text in (deletions(way) if len(way) <= 200 else {way})]
+                    # a reading two letters longer than any label can be none of them
+                    out += [(field, value, text, way, n) for text in (deletions(way) if len(way) <= longest + 2 else ())]
             yield pd.DataFrame(out, columns=["field_name", "value", "text", "way", "n"])
 
-    filed = labels.select("field_name", "label", "canonical", "uses").mapInPandas(file, "field_name string, text string, label string, canonical string, uses bigint")
-    filed = filed.groupBy("field_name", "text", "label").agg(F.min("canonical").alias("canonical"), F.sum("uses").alias("uses"))
     values = cases.select("field_name", "value").distinct()
     asked = values.mapInPandas(ask, "field_name string, value string, text string, way string, n int")
     pairs = asked.join(filed, ["field_name", "text"]).select("field_name", "value", "way", "n", "label", "canonical", "uses").distinct()

@@ -81,6 +81,16 @@ def test_sainte_lague_equals_seat_by_seat(parties, seats):
     assert sm.sainte_lague(shares, seats, caps) == seats_by_hand(shares, seats, caps)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=8), st.integers(1, 12))
+def test_shards_have_the_shares_of_the_mixture(quotas, shards):
+    rows = sm.shard_quotas(quotas, shards)
+    assert [sum(r[i] for r in rows) for i in range(len(quotas))] == quotas and min(min(r) for r in rows) >= 0
+    assert max(map(sum, rows)) - min(map(sum, rows)) <= 1
+    for r in rows:
+        assert all(abs(q - sum(r) * quotas[i] / max(1, sum(quotas))) <= len(quotas) for i, q in enumerate(r))
+
+
 def test_shard_quotas_are_whole_and_even():
     rows = sm.shard_quotas([10, 3, 0], 4)
     assert [sum(r[i] for r in rows) for i in range(3)] == [10, 3, 0]

@@ -3,8 +3,9 @@
 Method: Sainte-Laguë apportionment. The mixture is made of blocks of equal
 token size. Each next block goes to the source with the highest quotient
 share / (2 * blocks so far + 1), as long as the source has tokens left within
-its cap of repetitions. The blocks of a source are then dealt over the output
-shards by the same rule, which gives whole-number quotas per shard. Within a
+its cap of repetitions. The output shards are filled one after the other by the
+same rule with the quotas as shares, which gives whole-number quotas per shard,
+so that every shard has the mixture's shares. Within a
 source, documents lie in a seeded random order; copy r of a document lies one
 whole pass later; block b holds the documents that begin in tokens
 [b * block, (b + 1) * block) of that order, and the first `quota` blocks of
@@ -19,7 +20,8 @@ Defined results: documents with a null source, a source without a target or a
 text without tokens are left out; a target source without documents gets 0
 blocks and its share is reported as missing; null or negative shares count as
 0; null or non-positive max_repeats count as 1. Repeated rows of one document
-id count once. Empty tables give an empty mixture and a report of zeros.
+id count once; should they differ, the least source and size hold. Empty tables
+give an empty mixture and a report of zeros.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from weftline.session import stage
 #: The mixture is apportioned on the driver, so the list of target sources must be this short.
 MAX_TARGETS = 10_000
 
-#: Tokens of one bin of the seeded order, about.
-BIN_TOKENS = 200_000
+#: Tokens of one bin of the seeded order, about, and most bins of a source; beyond that bins are larger.
+BIN_TOKENS, MOST_BINS = 200_000, 100_000
 
 
 def sainte_lague(shares: list[float], seats: int, caps: list[int]) -> list[int]:
@@ -80,11 +82,13 @@ def sainte_lague(shares: list[float], seats: int, caps: list[int]) -> list[int]:
 def shard_quotas(quotas: list[int], shards: int) -> list[list[int]]:
     """Whole-number quotas of each source for each shard; rows are shards.
 
-    Shard s gets the blocks between two cuts of every source's quota, cuts
-    rounded half up, so a source's quotas differ by one block at most.
+    The first s shards together are apportioned to the sources by their quotas;
+    as the rule never takes a seat back when there are more, shard s gets what
+    comes with its seats. All shards have the same size, give or take a block.
     """
-    cut = lambda q, s: (2 * q * s + shards) // (2 * shards)
-    return [[cut(q, s + 1) - cut(q, s) for q in quotas] for s in range(shards)]
+    total = sum(quotas)
+    upto = [sainte_lague([float(q) for q in quotas], total * s // shards, quotas) for s in range(shards + 1)]
+    return [[b - a for a, b in zip(upto[s], upto[s + 1])] for s in range(shards)]
 
 
 def mix_plan(supply: dict[str, int], targets: list[tuple[str, float, int]], block_tokens: int, total_tokens: int | None) -> list[dict]:
@@ -128,14 +132,15 @@ def mix_sources(
         raise ValueError(f"more than {MAX_TARGETS} target sources")
     names = spark.createDataFrame([(w[0],) for w in wanted], "source string")
     known = docs.select("doc_id", "source", "text").join(F.broadcast(names), "source", "left_semi")
-    sized = stage(count_tokens(known, ["doc_id", "source"], path=vocabulary).where("n_tokens > 0").dropDuplicates(["doc_id"]))
+    sized = count_tokens(known, ["doc_id", "source"], path=vocabulary).where("n_tokens > 0")
+    sized = stage(sized.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("doc_id", "r.*"))
     supply = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     plan = mix_plan(supply, wanted, block_tokens, total_tokens)
 
     quotas = shard_quotas([p["quota"] for p in plan], shards)
     # the first block of each shard of each source: a block's shard is found by counting the firsts up to it
     firsts = [[sum(quotas[s][i] for s in range(k)) for k in range(1, shards)] for i in range(len(plan))]
-    bins = [max(1, p["supply_tokens"] // BIN_TOKENS) for p in plan]
+    bins = [max(1, min(MOST_BINS, p["supply_tokens"] // BIN_TOKENS)) for p in plan]
     schema = "source string, supply bigint, quota bigint, copies int, bins bigint, firsts array<bigint>"
     per_source = spark.createDataFrame([(p["source"], p["supply_tokens"], p["quota"], p["max_repeats"], b, f) for p, b, f in zip(plan, bins, firsts)], schema)
 
@@ -146,8 +151,12 @@ def mix_sources(
     within = Window.partitionBy("source", "bin").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = order.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(starts, ["source", "bin"])
     rows = (
-        placed.withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-        .withColumn("block", F.expr("(copy * supply + bin_start + inside) div " + str(int(block_tokens))))
+        # only the copies that begin before the quota's last block ends
+        placed.withColumn("begin", F.expr("bin_start + inside"))
+        .withColumn("most", F.expr(f"least(copies, (quota * {int(block_tokens)} - begin + supply - 1) div supply)"))
+        .where("most > 0")
+        .withColumn("copy", F.explode(F.expr("sequence(0, cast(most as int) - 1)")))
+        .withColumn("block", F.expr(f"(copy * supply + begin) div {int(block_tokens)}"))
         .where("block < quota")
         .withColumn("shard", F.expr("size(filter(firsts, f -> f <= block))"))
         .select("doc_id", "source", "copy", "block", "shard", "n_tokens")

@@ -274,7 +274,7 @@ def test_graph_and_upward_tree(spark):
     assert {r.node for r in found.collect()} == set(names)
     kernel = leiden.leiden_kernel(list(range(1, 9)), [tuple(r) for r in edges.select("src", "dst", "weight").collect()])
     assert {r.node: r.community for r in found.where("node < 9").collect()} == kernel
-    spread = leiden.detect(edges, nodes, max_edges=2)
+    spread = leiden.detect(edges, nodes, part_edges=2)
     assert {r.node for r in spread.collect()} == set(names)
     tree = leiden.build_upward(rel, ents).collect()
     assert sum(r.level == 0 for r in tree) == 1 and all(r.parent is not None for r in tree if r.level)
@@ -282,13 +282,22 @@ def test_graph_and_upward_tree(spark):
     assert deep.where("level = 0").select("node").distinct().count() == 9
 
 
-def test_communities_do_not_depend_on_the_layout(spark):
+def test_communities_of_large_components(spark):
+    # planted groups, one store in one component; a hub with an edge to everyone in it
     rng = random.Random(3)
-    pairs = {tuple(sorted((30 * g + rng.randint(1, 30), 30 * (g if rng.random() < 0.9 else rng.randint(0, 4)) + rng.randint(1, 30)))) for g in range(5) for _ in range(150)}
-    edges = spark.createDataFrame([("s", a, b, float(rng.randint(1, 3))) for a, b in pairs if a != b], "store string, src long, dst long, weight double")
-    nodes = spark.createDataFrame([("s", i) for i in range(1, 151)], "store string, node long")
-    small, large = ({(r.node, r.community) for r in leiden.detect(edges, nodes, max_edges=limit).collect()} for limit in (10**6, 0))
-    assert small == large and 1 < len({c for _, c in small}) < 100
+    pairs = {tuple(sorted((30 * g + rng.randint(1, 30), 30 * (g if rng.random() < 0.9 else rng.randint(0, 4)) + rng.randint(1, 30)))) for g in range(5) for _ in range(150)} | {(0, i) for i in range(1, 151, 3)}
+    edges = spark.createDataFrame([("s", a, b, float(rng.randint(1, 3))) for a, b in pairs if a != b] + [("t", 1001, 1002, 1.0), ("t", 1002, 1003, 1.0)], "store string, src long, dst long, weight double")
+    nodes = spark.createDataFrame([("s", i) for i in range(151)] + [("t", i) for i in range(1001, 1005)], "store string, node long")
+    qualities = {}
+    for limit in (10**6, 200, 3):
+        found = leiden.detect(edges, nodes, part_edges=limit)
+        rows = {(r.store, r.node): r.community for r in found.collect()}
+        assert len(rows) == 155 and all(c == min(n for (_, n), d in rows.items() if d == c) for c in rows.values())
+        inside = graph.induced_subgraph(edges, found.select("node", "community"))
+        parts = {r.node: r.component for r in connected_components(inside).collect()}
+        assert all(parts.get(n, n) == c for (_, n), c in rows.items())
+        qualities[limit] = {r.store: r.q for r in graph.newman_modularity(edges, found.select("node", "community")).collect()}
+    assert all(q["s"] >= 0.9 * qualities[10**6]["s"] > 0.3 and q["t"] == qualities[10**6]["t"] for q in qualities.values()), qualities
 
 
 def test_expansion(spark):

@@ -1,25 +1,36 @@
 """Communities by modularity: local moving and splitting into connected parts.
 
-Local moving is sequential, so it runs in one task for each connected component
-of a store; the total weight of the store is a column, so that components do not
-depend on each other. The method is the same at every size; a component with
-more than `max_edges` edges only keeps its edges in flat arrays instead of dicts.
+Local moving is sequential, so a task gets one connected component of a store
+with at most `part_edges` edges; the total weight of the store is a column, so
+that components do not depend on each other. A larger component is made smaller
+first, by the same moves in rounds over the whole cluster: half of the nodes,
+another half each round, go to the community of their neighbours with the best
+gain, until hardly any goes; communities are then the nodes of the next graph,
+which keeps all weights. What has become small enough goes on in one task, and
+what does not is moved in rounds until nothing gains. So no task ever holds more
+than `part_edges` edges, and every community is connected in the end.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
-from weftline.operators.graph import induced_subgraph, inter_community_weights
+from weftline.operators.graph import both_ways, induced_subgraph, inter_community_weights
 from weftline.session import stage
 
-MAX_EDGES = 2_000_000
+#: Edges of a component that one task may hold.
+PART_EDGES = 500_000
+
+#: Rounds of moves on one graph, and graphs on the way to one that is small enough, at most.
+ROUNDS, GRAPHS = 40, 12
+
+#: Share of the nodes under which a round counts as quiet.
+QUIET = 0.001
 
 
 def connected_parts(labels: dict, neighbours: dict) -> dict:
@@ -75,51 +86,16 @@ def local_moving(labels: dict, order: list, neighbours: dict, degree: dict, m: f
     return labels
 
 
-class FlatNeighbours:
-    """The neighbours of each node in two arrays: node -> {neighbour: weight}, made when asked for."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
-        ends = np.concatenate([src, dst])
-        order = np.argsort(ends, kind="stable")
-        self.others = np.concatenate([dst, src])[order]
-        self.weights = np.concatenate([weight, weight])[order]
-        nodes, begins = np.unique(ends[order], return_index=True)
-        self.nodes = nodes.tolist()
-        self.spans = dict(zip(self.nodes, zip(begins.tolist(), [*begins[1:].tolist(), len(ends)])))
-
-    def __getitem__(self, node: int) -> dict:
-        a, b = self.spans[node]
-        return dict(zip(self.others[a:b].tolist(), self.weights[a:b].tolist()))
-
-
-class FlatEdges:
-    """(a, b, weight) of each edge, from arrays."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, part: int = 100_000):
-        self.columns, self.part = (src, dst, weight), part
+def leiden_kernel(nodes: list, edges: list, m: float | None = None, max_iterations: int = 100, tolerance: float = 1e-6, degree: dict | None = None) -> dict:
+    """Community of each node, named by its least node. edges: (a, b, weight), folded, without loops.
 
-    def __iter__(self):
-        for at in range(0, len(self.columns[0]), self.part):
-            yield from zip(*(c[at : at + self.part].tolist() for c in self.columns))
-
-
-def leiden_kernel(nodes: list, edges: list, m: float | None = None, max_iterations: int = 100, tolerance: float = 1e-6) -> dict:
-    """Community of each node, named by its least node. edges: (a, b, weight), folded, without loops."""
+    degree holds the weight of each node's edges if it is more than that of the edges given.
+    """
     neighbours: dict = {n: {} for n in nodes}
     for a, b, w in edges:
         neighbours[a][b] = neighbours[a].get(b, 0.0) + w
         neighbours[b][a] = neighbours[b].get(a, 0.0) + w
-    return _communities(nodes, edges, neighbours, m, max_iterations, tolerance)
-
-
-def leiden_flat_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, m: float | None = None, max_iterations: int = 100, tolerance: float = 1e-6) -> dict:
-    """leiden_kernel of the nodes with edges, in less memory; each pair of nodes once."""
-    neighbours = FlatNeighbours(src, dst, weight)
-    return _communities(neighbours.nodes, FlatEdges(src, dst, weight), neighbours, m, max_iterations, tolerance)
-
-
-def _communities(nodes, edges, neighbours, m: float | None, max_iterations: int, tolerance: float) -> dict:
-    degree = {n: sum(neighbours[n].values()) for n in nodes}
+    degree = degree or {n: sum(neighbours[n].values()) for n in nodes}
     m = sum(w for _, _, w in edges) if m is None else m
     labels = {n: n for n in nodes}
     if not m:
@@ -134,7 +110,86 @@ def _communities(nodes, edges, neighbours, m: float | None, max_iterations: int,
     return labels
 
 
-def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolerance: float = 1e-6, max_edges: int = MAX_EDGES) -> DataFrame:
+def _in_tasks(graph: DataFrame, max_iterations: int, tolerance: float) -> DataFrame:
+    """(store, node, community) of edges (store, component, src, dst, weight, m, src_degree, dst_degree): one task a component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        edges = list(rows[["src", "dst", "weight"]].itertuples(index=False, name=None))
+        degree = {**dict(zip(rows["src"], rows["src_degree"])), **dict(zip(rows["dst"], rows["dst_degree"]))}
+        labels = leiden_kernel(sorted(degree), edges, float(rows["m"].iloc[0]), max_iterations, tolerance, degree)
+        return pd.DataFrame({"store": rows["store"].iloc[0], "node": list(labels), "community": list(labels.values())})
+
+    return graph.groupBy("store", "component").applyInPandas(run, "store string, node bigint, community bigint")
+
+
+def _round(graph: DataFrame, labels: DataFrame, total: DataFrame, seed: int) -> DataFrame:
+    """(store, node, to) of the nodes that move: graph (store, node, other, weight), labels (store, node, community, degree)."""
+    sums = labels.groupBy("store", "community").agg(F.sum("degree").alias("sum"))
+    mine = labels.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2)) == 0).join(sums, ["store", "community"]).join(total, "store")
+    mine = mine.select("store", "node", F.col("community").alias("own"), "degree", F.col("sum").alias("own_sum"), "m")
+    theirs = labels.select("store", F.col("node").alias("other"), "community")
+    links = graph.join(theirs, ["store", "other"]).groupBy("store", "node", "community").agg(F.sum("weight").alias("w"))
+    seen = links.join(mine, ["store", "node"]).join(sums, ["store", "community"])
+    rest = F.when(F.col("community") == F.col("own"), F.col("sum") - F.col("degree")).otherwise(F.col("sum"))
+    gain = F.col("w") - rest * F.col("degree") / (2 * F.col("m"))
+    alone = -(F.col("own_sum") - F.col("degree")) * F.col("degree") / (2 * F.col("m"))
+    seen = seen.withColumn("gain", gain).withColumn("alone", alone)
+    best = seen.groupBy("store", "node").agg(
+        F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"), F.first("alone").alias("alone"), F.first("own").alias("own")
+    )
+    return best.where((-F.col("best.c") != F.col("own")) & (F.col("best.gain") > F.coalesce("stay", "alone") + 1e-10)).select("store", "node", (-F.col("best.c")).alias("to"))
+
+
+def _move(graph: DataFrame, nodes: DataFrame, total: DataFrame, seed: int) -> DataFrame:
+    """(store, node, community, degree) after rounds of moves from every node by itself; nodes: (store, node, degree)."""
+    labels = stage(nodes.select("store", "node", F.col("node").alias("community"), "degree"))
+    n, quiet = labels.count(), 0
+    for r in range(ROUNDS):
+        moves = stage(_round(graph, labels, total, seed * ROUNDS + r))
+        moved = moves.count()
+        if moved:
+            labels = stage(labels.join(moves, ["store", "node"], "left").withColumn("community", F.coalesce("to", "community")).drop("to"))
+        quiet = quiet + 1 if moved <= QUIET * n else 0
+        # both halves of the nodes, about, have had their turn
+        if quiet >= 3:
+            break
+    return labels
+
+
+def _in_rounds(edges: DataFrame, degrees: DataFrame, total: DataFrame, part_edges: int, max_iterations: int, tolerance: float) -> DataFrame:
+    """(store, node, community) of large components: edges (store, component, src, dst, weight), degrees (store, node, degree)."""
+    graph, nodes = edges, degrees
+    whole = stage(nodes.select("store", "node", F.col("node").alias("community")))
+    for k in range(GRAPHS):
+        sizes = stage(graph.groupBy("store", "component").agg(F.count("*").alias("n")))
+        if sizes.where(F.col("n") > part_edges).isEmpty():
+            break
+        large = graph.join(sizes.where(F.col("n") > part_edges), ["store", "component"], "left_semi")
+        ends = stage(both_ways(large))
+        inside = nodes.join(ends.select("store", "node").distinct(), ["store", "node"], "left_semi")
+        moved = _move(ends, inside, total, k)
+        named = moved.select("store", "node", F.col("community").alias("to"))
+        to = lambda c: named.select("store", F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        ends_to = graph.join(to("src"), ["store", "src"], "left").join(to("dst"), ["store", "dst"], "left")
+        a, b = F.coalesce("src_to", "src"), F.coalesce("dst_to", "dst")
+        before = nodes.count()
+        graph = stage(ends_to.select("store", "component", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "weight").where("src <> dst").groupBy("store", "component", "src", "dst").agg(F.sum("weight").alias("weight")))
+        nodes = stage(nodes.join(named, ["store", "node"], "left").groupBy("store", F.coalesce("to", "node").alias("node")).agg(F.sum("degree").alias("degree")))
+        whole = stage(whole.join(named.withColumnRenamed("node", "community"), ["store", "community"], "left").select("store", "node", F.coalesce("to", "community").alias("community")))
+        if nodes.count() == before:
+            break
+    sizes = graph.groupBy("store", "component").agg(F.count("*").alias("n")).where(F.col("n") <= part_edges)
+    degree = lambda c: nodes.select("store", F.col("node").alias(c), F.col("degree").alias(f"{c}_degree"))
+    fitting = graph.join(sizes, ["store", "component"], "left_semi").join(total, "store").join(degree("src"), ["store", "src"]).join(degree("dst"), ["store", "dst"])
+    last = _in_tasks(fitting, max_iterations, tolerance).select("store", F.col("node").alias("community"), F.col("community").alias("to"))
+    found = stage(whole.join(last, ["store", "community"], "left").select("store", "node", F.coalesce("to", "community").alias("community")))
+    # a community of several parts is as many communities
+    inner = induced_subgraph(edges.select("store", "src", "dst", "weight"), found.select("node", "community"))
+    parts = connected_components(inner)
+    return found.join(parts, "node", "left").select("store", "node", F.coalesce("component", "node").alias("community"))
+
+
+def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolerance: float = 1e-6, part_edges: int = PART_EDGES) -> DataFrame:
     """(store, node, community) of every node (store, node); a community is named by its least node.
 
     Edges count whose ends are both nodes of the edge's store.
@@ -145,18 +200,17 @@ def detect(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100, tolera
     total = edges.groupBy("store").agg(F.sum("weight").alias("m"))
     parts = stage(connected_components(edges))
     placed = edges.join(parts.withColumnRenamed("node", "src"), "src").join(total, "store")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        m = float(rows["m"].iloc[0])
-        if len(rows) > max_edges:
-            labels = leiden_flat_kernel(*(rows[c].to_numpy() for c in ("src", "dst", "weight")), m, max_iterations, tolerance)
-        else:
-            found = list(rows[["src", "dst", "weight"]].itertuples(index=False, name=None))
-            labels = leiden_kernel(sorted({*rows["src"], *rows["dst"]}), found, m, max_iterations, tolerance)
-        return pd.DataFrame({"store": rows["store"].iloc[0], "node": list(labels), "community": list(labels.values())})
-
-    found = placed.groupBy("store", "component").applyInPandas(run, "store string, node bigint, community bigint")
-    return nodes.select("store", "node").distinct().join(found, ["store", "node"], "left").select("store", "node", F.coalesce("community", "node").alias("community"))
+    sizes = stage(placed.groupBy("store", "component").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > part_edges)
+    degrees = both_ways(edges).groupBy("store", "node").agg(F.sum("weight").alias("degree"))
+    degree = lambda c: degrees.select("store", F.col("node").alias(c), F.col("degree").alias(f"{c}_degree"))
+    fitting = placed.join(large, ["store", "component"], "left_anti").join(degree("src"), ["store", "src"]).join(degree("dst"), ["store", "dst"])
+    found = _in_tasks(fitting, max_iterations, tolerance)
+    if not large.isEmpty():
+        big = stage(placed.join(large, ["store", "component"], "left_semi").select("store", "component", "src", "dst", "weight"))
+        theirs = stage(degrees.join(both_ways(big).select("store", "node").distinct(), ["store", "node"], "left_semi"))
+        found = found.unionByName(_in_rounds(big, theirs, stage(total), part_edges, max_iterations, tolerance))
+    return own.join(found, ["store", "node"], "left").select("store", "node", F.coalesce("community", "node").alias("community"))
 
 
 def detect_hierarchy(edges: DataFrame, nodes: DataFrame, min_size: int = 10, max_levels: int = 10, **options) -> DataFrame:

@@ -191,6 +191,10 @@ def test_encode_and_decode(spark):
     assert got[1] == [15496, 995] and got[2] == [] and got[3] == []
     assert {r.doc_id: r.text for r in te.decode_corpus(out).collect()}[4] == "日本語 text\n" * 50
     assert te.encode_corpus(docs.limit(0)).count() == 0
+    # a vocabulary that lies on the driver only is sent along
+    assert te.shipped(docs, te.vocabulary_path()) == te.vocabulary_path()
+    names = spark.range(1).mapInPandas(lambda bs: (b.assign(id=len(te.load(te.found_path("/nowhere/byte_bpe_50k.tiktoken")).tokens)) for b in bs), "id long")
+    assert names.first().id > 50_000
 
 
 def test_mix(spark):

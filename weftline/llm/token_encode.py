@@ -26,6 +26,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files lie unless a caller says otherwise.
@@ -187,17 +188,29 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def shipped(docs: DataFrame, path: str) -> str:
+    """The path under which tasks find a vocabulary; its file goes to every executor that has none there."""
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def found_path(path: str) -> str:
+    """In a task: the file at the path, or the one that was sent along."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k", directory: str | None = None) -> str:
     return os.path.join(directory or os.environ.get("WEFTLINE_TOKENIZERS", TOKENIZER_DIR), f"{name}.tiktoken")
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each row's text. No shuffle."""
-    path = path or vocabulary_path()
+    path = shipped(docs, path or vocabulary_path())
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(found_path(path))
         for batch in batches:
             flat: list[np.ndarray] = []
             ends = [0]
@@ -214,11 +227,11 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path
 
 def count_tokens(docs: DataFrame, columns: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The given columns with n_tokens, the number of token ids of the text. No shuffle."""
-    path = path or vocabulary_path()
+    path = shipped(docs, path or vocabulary_path())
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(found_path(path))
         for batch in batches:
             counts = pa.array([len(bpe.encode(v.as_py())) for v in batch.column(len(columns))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], counts], names=[*columns, "n_tokens"])
@@ -228,11 +241,11 @@ def count_tokens(docs: DataFrame, columns: list[str], text: str = "text", path:
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, text): the text of each row's ids; null ids give null."""
-    path = path or vocabulary_path()
+    path = shipped(encoded, path or vocabulary_path())
     key_type = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(found_path(path))
         for batch in batches:
             texts = pa.array([None if (v := x.as_py()) is None else bpe.decode(v) for x in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[key, "text"])

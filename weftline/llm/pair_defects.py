@@ -30,9 +30,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -94,10 +95,11 @@ _SCRIPTS = (
     ("el", regex.compile(r"\p{Greek}")),
     ("he", regex.compile(r"\p{Hebrew}")),
 )
+_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？।؟]|\n")
 _ACCENTS = re.compile("[\u0300-\u036f]")
 _LATIN = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*")
 _FENCE = re.compile(r"^\s*```\w*\s*$", re.M)
-_NOTHING = regex.compile(r"[\s\p{Z}\p{C}\"'`“”„«»]+")
+_SOMETHING = regex.compile(r"[^\s\p{Z}\p{C}\"'`“”„«»]")
 _TRIPLE = re.compile(r"^\s*(?P<head>.+?)\s*(?:\([^()]*\))?\s*-\[(?P<relation>[^\]]*)\]->\s*(?P<tail>.+?)\s*(?:\([^()]*\))?\s*$")
 _WHOLE_TRIPLE = re.compile(r"^\s*\S.*\([^()]+\)\s*-\[[^\]]+\]->\s*\S.*\([^()]+\)\s*$")
 _REMARK = re.compile(r"^\s*(?:#|//|>)")
@@ -116,7 +118,11 @@ def plain(text: str) -> str:
 
 
 def is_empty(response: str | None) -> bool:
-    return response is None or not _NOTHING.sub("", _FENCE.sub("", response))
+    return response is None or _SOMETHING.search(without_fences(response)) is None
+
+
+def without_fences(text: str) -> str:
+    return _FENCE.sub("", text) if "```" in text else text
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +137,7 @@ def _refusal_automaton() -> ahocorasick.Automaton:
 def is_refusal(response: str, sentences: int = 2) -> bool:
     """Whether one of the opening sentences declines, outside quotes."""
     head = _QUOTED.sub(" ", response.lstrip())
-    ends = [m.end() for m in re.finditer(r"[.!?](?=\s)|[。！？।؟]|\n", head)]
+    ends = [m.end() for m in islice(_SENTENCE_END.finditer(head), sentences)]
     opening = head[: ends[sentences - 1]] if len(ends) >= sentences else head
     if "]->" in opening or opening.lstrip().startswith(("{", "[")):
         return False
@@ -234,8 +240,8 @@ def _script_of(c: str) -> str | None:
     return next((language for language, script in _SCRIPTS if script.match(c)), None)
 
 
-def votes(text: str, words: dict[str, str]) -> Counter:
-    """Votes of a text for languages: letters of scripts, stopwords in Latin letters."""
+def votes(text: str, words: dict[str, str], latin: list[str] | None = None) -> Counter:
+    """Votes of a text for languages: letters of scripts, stopwords in Latin letters (latin, if they are known)."""
     found: Counter = Counter()
     if not text.isascii():
         for c, n in Counter(text).items():
@@ -243,8 +249,9 @@ def votes(text: str, words: dict[str, str]) -> Counter:
                 found[language] += n
         if han := found.pop("zh", 0):
             found["ja" if found["ja"] * 20 > han else "zh"] += han
-    for word in _LATIN.findall(text):
-        if language := words.get(word.casefold()):
+    get = words.get
+    for word in _LATIN.findall(text) if latin is None else latin:
+        if language := get(word if word.islower() and word.isascii() else word.casefold()):
             found[language] += 4 if len(word) > 1 else 1
     return found
 
@@ -263,7 +270,7 @@ def main_language(found: Counter) -> str | None:
 def statements(response: str) -> str:
     """The text of a response that states something: values of JSON, ends of triples, prose."""
     out: list[str] = []
-    body = _FENCE.sub("", response)
+    body = without_fences(response)
     if '"head"' in body or '"entities"' in body:
         out += re.findall(r'"(?:head|tail)"\s*:\s*"((?:[^"\\]|\\.)*)"?', body)
         try:
@@ -329,7 +336,7 @@ def is_truncated(response: str) -> bool | str:
     text = response.rstrip()
     if text.count("```") % 2:
         return True
-    body = _FENCE.sub("", text).strip()
+    body = without_fences(text).strip()
     if body.startswith(("{", "[")) or '"entities"' in body:
         return _open_at_end(body)
     lines = [x for x in body.split("\n") if x.strip() and not _REMARK.match(x)]
@@ -362,14 +369,17 @@ def prompt_facts(prompts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             count: Counter = Counter()
+            by_language: dict[str, Counter] = defaultdict(Counter)
             for prompt in batch["user_prompt"]:
                 text = prompt_words(prompt)
-                language = main_language(votes(text, seeds))
+                latin = _LATIN.findall(text)
+                language = main_language(votes(text, seeds, latin))
                 if language in SEEDS:
                     # words within a sentence only: capitals may be names
-                    count.update((language, w) for w in _LATIN.findall(text) if w == w.casefold())
+                    by_language[language].update(latin)
                 if not prompt.isascii():
                     count.update(("ending", e) for x in prompt.split() if (e := thai_ending(x)))
+            count.update({(a, w): n for a, words in by_language.items() for w, n in words.items() if w == w.casefold()})
             yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["language", "word", "n"])
 
     return prompts.select("user_prompt").where("user_prompt is not null").mapInPandas(run, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))

@@ -28,6 +28,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -115,7 +116,7 @@ def blocks(text: str, markdown: bool = True) -> Iterator[tuple[int, int, bool]]:
         yield begin, len(text), False
 
 
-def evidence(text: str, markdown: bool = True) -> dict[str, list[int]]:
+def evidence(text: str, markdown: bool = True, spans: list[tuple[int, int, bool]] | None = None) -> dict[str, list[int]]:
     """What the clear places of a document say of each word that stands before a period.
 
     word -> [before a lower-case word, digit or comma; before another, outside
@@ -127,7 +128,7 @@ def evidence(text: str, markdown: bool = True) -> dict[str, list[int]]:
     if "." not in text:
         return {}
     ordinals = set(_ORDINAL.findall(text))
-    spans = list(blocks(text, markdown))
+    spans = list(blocks(text, markdown)) if spans is None else spans
     for a, b, whole in spans:
         part = text[a:b].rstrip()
         if "." not in part:
@@ -207,8 +208,15 @@ class Judge:
 
     def __init__(self, own: dict[str, list[int]], corpus: dict[str, str]):
         self.own, self.corpus = own, corpus
+        self.known: dict[str, str] = {}
 
     def kind(self, word: str) -> str:
+        found = self.known.get(word)
+        if found is None:
+            found = self.known[word] = self._kind(word)
+        return found
+
+    def _kind(self, word: str) -> str:
         counts = self.own.get(word, [0, 0, 0, 0])
         low, other, end, bare = counts
         given = self.corpus.get(word)
@@ -397,9 +405,10 @@ def sentences(text: str | None, corpus: dict[str, str] | None = None, markdown:
     """(start, end) of each unit of a document."""
     if not text or not text.strip():
         return []
-    judge = Judge(evidence(text, markdown), corpus or {})
+    spans = list(blocks(text, markdown))
+    judge = Judge(evidence(text, markdown, spans), corpus or {})
     out: list[tuple[int, int]] = []
-    for a, b, whole in blocks(text, markdown):
+    for a, b, whole in spans:
         part = text[a:b]
         at = 0
         for end in [*([] if whole else _ends(part, judge)), len(part)]:
@@ -488,11 +497,10 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", sen
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for i, value, shape, words in zip(batch["id"], batch["text"], batch["shape"], batch["words"]):
-                corpus = sent.value if words is None else dict(words)
-                for a, b in sentences(value, corpus, shape != "prose"):
-                    found.append((i, a, b))
-            yield pd.DataFrame(found, columns=[key, "start_char", "end_char"])
+            units = []
+            for value, shape, words in zip(batch["text"], batch["shape"], batch["words"]):
+                units.append(sentences(value, sent.value if words is None else dict(words), shape != "prose"))
+            places = np.array([p for found in units for p in found], dtype=np.int32).reshape(-1, 2)
+            yield pd.DataFrame({key: batch["id"].repeat([len(found) for found in units]), "start_char": places[:, 0], "end_char": places[:, 1]})
 
     return rows.mapInPandas(run, f"`{key}` {rows.schema['id'].dataType.simpleString()}, start_char int, end_char int").distinct()

@@ -350,13 +350,10 @@ def _is_end(text: str, judge: Judge, begin: int, first: int, marks: str, stop: i
     lower = not upper and head < len(text) and text[head].islower()
     if text[after] in "—–-,;:،؛、，；：":
         return False
-    if closed is not None:
-        # the speech or bracket is over: a new sentence must follow
-        if lower or _CONTINUES.match(text, stop):
-            return False
-        if any(m in _HARD for m in marks):
-            return True
-    if any(m in _HARD for m in marks):
+    # once the speech or bracket is over, a new sentence must follow
+    if closed is not None and (lower or _CONTINUES.match(text, stop)):
+        return False
+    if not _HARD.isdisjoint(marks):
         return True
     if marks != ".":
         if lower and (closed is not None or not gap):

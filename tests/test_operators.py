@@ -82,7 +82,9 @@ def test_components(spark, small):
         if a and b and a != b:
             x, y = top(a), top(b)
             least[max(x, y)] = min(x, y)
-    found = connected_components(spark.createDataFrame(pairs, "src long, dst long"), small_edges=small)
+    pairs += [(1000, 1001 + i) for i in range(30)]
+    least |= {1000 + i: 1000 for i in range(31)}
+    found = connected_components(spark.createDataFrame(pairs, "src long, dst long"), small_edges=small, hot_rows=8)
     assert {r.node: r.component for r in found.collect()} == {n: top(n) for n in least}
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.hot import HOT_ROWS, hot_keys, lookup
 from weftline.session import frame, stage
 
 
@@ -38,14 +39,14 @@ def _solve_small(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small_edges: int = SMALL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small_edges: int = SMALL_EDGES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node.
 
     Alternating stars: each node links its greater neighbours to the least node
     it knows, then its lesser neighbours, until nothing changes. Rounds grow with
     the logarithm of the longest chain, not with the chain, and no round
-    multiplies the edges. A node with very many neighbours costs a sorted
-    shuffle, not a collected list.
+    multiplies the edges. A node with very many neighbours is counted by partial
+    aggregation, and its neighbours learn its least one by broadcast.
 
     A graph of at most small_edges edges goes to one task instead. Null ends and
     loops are left out. Raises if max_rounds do not suffice.
@@ -58,21 +59,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     def both(p: DataFrame) -> DataFrame:
         return p.union(p.select("b", "a")).toDF("u", "v")
 
-    def least_known(p: DataFrame) -> DataFrame:
+    def with_least(p: DataFrame, n: int) -> DataFrame:
+        """(u, v, m): each link with the least neighbour of u."""
         # partial aggregation first, so a hub is one row per task before the shuffle
-        return p.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(p.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        return lookup(p, least.select("u", "m"), "u", hot_keys(least, "u", "n", n, hot_rows))
 
+    size = pairs.count()
     for _ in range(max_rounds):
-        sym = both(pairs)
-        large = sym.join(least_known(sym), "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
-        large = stage(large)
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        large = with_least(both(pairs), 2 * size).select("v", F.least("u", "m").alias("a"), "u").where("v > u")
+        large = stage(large.select(F.col("v").alias("b"), "a").where("a <> b").distinct())
+        joined = with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), size)
         small = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(joined.select(F.col("m").alias("a"), F.col("u").alias("b")))
         new = stage(small.where("a <> b").select("a", "b").distinct())
-        same = new.count() == pairs.count() and new.exceptAll(pairs).isEmpty()
-        pairs = new
+        count = new.count()
+        same = count == size and new.exceptAll(pairs).isEmpty()
+        pairs, size = new, count
         if same:
             break
     else:

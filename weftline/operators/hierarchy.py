@@ -39,13 +39,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.hot import HOT_ROWS, hot_keys, lookup
 from weftline.session import frame, parallelism, stage
 
 #: Quotient forests up to this size are solved by one task.
 BASE_NODES = 2_000
 
-#: A parent with more children than this, or than a thousandth of all nodes, draws none of them to its partition.
-HOT_CHILDREN = 10_000
+#: A parent with more children than this, and than a thousandth of all nodes, draws none of them to its partition.
+HOT_CHILDREN = HOT_ROWS
 
 #: Rows of paths that are handed on at a time.
 PATH_ROWS = 2_048
@@ -130,18 +131,8 @@ def _solve_small(nodes: DataFrame, paths: bool) -> DataFrame:
     return _sent(nodes).coalesce(1).mapInPandas(run, _ANSWER)
 
 
-def _lookup(rows: DataFrame, answers: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """rows joined with the answers (key, ...) of their key; keys in hot (key), a thousand at most, by broadcast."""
-    hot = hot.withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    few = answers.join(F.broadcast(hot.select(key)), key, "left_semi")
-    usual = marked.where("_hot is null").drop("_hot").join(answers, key)
-    return usual.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), key))
-
-
 def _hot_parents(nodes: DataFrame, n: int, hot_children: int) -> DataFrame:
-    counts = nodes.where("parent is not null").groupBy("parent").count()
-    return counts.where(F.col("count") > max(hot_children, n // 1000)).select("parent")
+    return hot_keys(nodes.where("parent is not null").groupBy("parent").count(), "parent", "count", n, hot_children)
 
 
 def _solve(nodes: DataFrame, round_: int, base_nodes: int, hot_children: int, paths: bool) -> DataFrame:
@@ -186,7 +177,7 @@ def _solve(nodes: DataFrame, round_: int, base_nodes: int, hot_children: int, pa
     is_open, is_root = F.col("to_state") == OPEN, F.col("to_state") == ROOT
     # to_path runs from where the fragment ends to the parent; what follows its first node lies on the link
     links = stage(
-        _lookup(exits, landing, "parent", hot).select(
+        lookup(exits, landing, "parent", hot).select(
             "id",
             F.col("parent").alias("enters"),
             F.when(is_open, F.col("to_exit")).alias("parent"),
@@ -215,7 +206,7 @@ def _solve(nodes: DataFrame, round_: int, base_nodes: int, hot_children: int, pa
     # exits nothing hangs on take the answer of the exit they hang on
     rest = links.join(known.select("id"), "id", "left_anti")
     up = known.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-    leaves = _lookup(rest.where("parent is not null").select("id", "parent", "weight", "via"), up, "parent", _hot_parents(rest, n, hot_children)).select(
+    leaves = lookup(rest.where("parent is not null").select("id", "parent", "weight", "via"), up, "parent", _hot_parents(rest, n, hot_children)).select(
         "id",
         F.when(F.col("up_state") == ROOT, F.lit(ROOT)).otherwise(F.lit(BELOW)).alias("state"),
         F.col("up_root").alias("root"),
@@ -265,17 +256,17 @@ def resolve_hierarchy(rows: DataFrame, id_: str = "id", parent: str = "parent_id
     # one row a parent, so that very many children of one cost nothing in the join
     named = stage(links.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children")).join(links.select(F.col("id").alias("parent"), F.lit(True).alias("there")), "parent", "left"))
     n = links.count()
-    hot = stage(named.where(F.col("children") > max(hot_children, n // 1000)).select("parent"))
+    hot = stage(hot_keys(named, "parent", "children", n, hot_children))
     inner_ids = named.where("there").select(F.col("parent").alias("id"))
     # nodes without children need no contraction: they take the answer of their parent
-    inner = _lookup(links.join(inner_ids, "id", "left_semi").where("parent is not null"), named.select("parent", "there"), "parent", hot)
+    inner = lookup(links.join(inner_ids, "id", "left_semi").where("parent is not null"), named.select("parent", "there"), "parent", hot)
     inner = stage(inner.select("id", "parent", F.col("there").isNull().alias("missing")).unionByName(links.join(inner_ids, "id", "left_semi").where("parent is null").withColumn("missing", F.lit(False))))
     via = (F.array() if paths else F.lit(None)).cast(_LONGS)
     solved = _solve(inner.select("id", F.when(~F.col("missing"), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("weight"), via.alias("via")), 0, base_nodes, hot_children, paths)
     inner_rows = inner.join(solved, "id")
     outer = links.join(inner_ids, "id", "left_anti")
     up = named.select("parent", "there").join(solved.select(F.col("id").alias("parent"), F.col("state").alias("up_state"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path")), "parent", "left")
-    hung = _lookup(outer.where("parent is not null"), up, "parent", hot).select(
+    hung = lookup(outer.where("parent is not null"), up, "parent", hot).select(
         "id",
         "parent",
         F.col("there").isNull().alias("missing"),

@@ -82,7 +82,8 @@ def queries():
 
     @add
     def line_span_rows(v):
-        return spans.line_span_documents(v.t("documents"), max_bytes=500)
+        found = spans.line_span_documents(v.t("documents"), max_bytes=500)
+        return found.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("index", "start", "end", "line_start", "line_end")])
 
     @add
     def text_spans(v):
@@ -164,6 +165,15 @@ def oracle_sql() -> dict[str, str]:
         "previews": "SELECT id, replace(substr(content, 1, 48), chr(10), '\\n') AS preview FROM v_chunks",
         "sha256_fingerprint": "SELECT id, 'sha256:' || sha256(content) AS fingerprint FROM v_chunks",
         "line_spans": "SELECT doc_id, sha256(text) AS text, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS lines FROM documents WHERE text IS NOT NULL AND text <> ''",
+        "line_span_rows": """
+            WITH RECURSIVE parts AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''),
+            lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, len(x) AS n_lines, unnest(x) AS line FROM parts),
+            l AS (SELECT doc_id, i, strlen(line) + CASE WHEN i < n_lines THEN 1 ELSE 0 END AS n FROM lines WHERE i < n_lines OR line <> ''),
+            r AS (SELECT doc_id, i, 0::BIGINT AS span, n AS size, n FROM l WHERE i = 1 UNION ALL
+                SELECT l.doc_id, l.i, CASE WHEN r.size + l.n > 500 THEN r.span + 1 ELSE r.span END, CASE WHEN r.size + l.n > 500 THEN l.n ELSE r.size + l.n END, l.n
+                FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+            g AS (SELECT doc_id, span, sum(n)::BIGINT AS bytes, min(i) AS line_start, max(i) AS line_end FROM r GROUP BY 1, 2)
+            SELECT doc_id, span AS index, (sum(bytes) OVER w - bytes)::BIGINT AS start, (sum(bytes) OVER w)::BIGINT AS end, line_start, line_end FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY span)""",
         "text_span_cover": f"SELECT doc_id, sha256(regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g')) AS text FROM documents WHERE regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g') <> ''",
         "code_span_cover": "SELECT doc_id, sha256(text) AS text FROM documents WHERE shape = 'code' AND text <> ''",
         "window_spans": f"SELECT doc_id, true AS good FROM documents WHERE regexp_replace(text, '{_WHITE.replace(chr(92) + 'p{Z}', chr(92) + 'pZ')}', '', 'g') <> ''",

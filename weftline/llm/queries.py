@@ -30,6 +30,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size_split.pieces_of(split)
 
 
+def p3_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(span_id, text, fits, overlaps): the pieces without their overlaps are the text, none is too long, each repeats the end of the one before."""
+    configs = table(spark, sf_dir, "chunker_configs")
+    split = size_split.split_spans(table(spark, sf_dir, "chunk_spans"), configs).dropDuplicates(["span_id"])
+    sized = split.join(table(spark, sf_dir, "chunk_spans").select("span_id", "config_id").distinct(), "span_id").join(configs.select("config_id", F.least(F.coalesce("overlap", F.lit(0)), F.col("chunk_size")).alias("overlap")), "config_id")
+    text = F.expr("array_join(transform(pieces, p -> substring(p.text, p.core_start - p.start + 1)), '')")
+    fits = F.expr("forall(pieces, p -> length(p.text) <= chunk_size)")
+    overlaps = F.expr("forall(pieces, p -> p.piece = 0 or (p.core_start - p.start = least(overlap, p.core_start) and pieces[p.piece - 1].end = p.core_start))")
+    return sized.select("span_id", F.sha2(text, 256).alias("text"), fits.alias("fits"), overlaps.alias("overlaps"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ivfpq.usable_vectors(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "stores"))
     return ivfpq.similar_pairs(ivfpq.neighbours(vectors, ivfpq.IvfPqConfig(k=5, min_cosine=0.9, recall=0.995)), 0.9)
@@ -65,7 +76,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p3_found, p3_pieces, p5_found, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)
+    found = (p1_found, p2_found, p3_found, p3_pieces, p3_rejoin, p5_found, p6_found, p7_found, p8_ids, p9_mix, p9_shares, p10_found)
     return {f.__name__: f for f in found}
 
 
@@ -100,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
                 regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda r: length(r))), 0) > chunk_size THEN 1 ELSE 0 END)::INT AS forced
             FROM chunk_spans JOIN chunker_configs USING (config_id)
             WHERE length(text) > chunk_size GROUP BY span_id""",
+        "p3_rejoin": "SELECT DISTINCT span_id, sha256(text) AS text, true AS fits, true AS overlaps FROM chunk_spans JOIN chunker_configs USING (config_id) WHERE text IS NOT NULL",
         "p5_found": """
             WITH v AS (
                 SELECT DISTINCT e.store, e.chunk_id AS id, e.embedding::DOUBLE[] AS x FROM chunk_embeddings e

@@ -97,6 +97,16 @@ def test_store_surface(spark, tmp_path):
     assert store.catalog.info()["tables"]["chunks"] == 1
 
 
+def test_add_code(spark, tmp_path):
+    store = Store(Catalog(spark, str(tmp_path)), "s")
+    source = "def f():\n    return 1\n\n\ndef g():\n    return 2\n"
+    rows = spark.createDataFrame([(1, source, "a/b.py"), (2, "no code (", "c.py")], "doc_id long, text string, source string")
+    assert {(r.source, r.id) for r in store.add_code(rows, max_bytes=25).collect()} == {("a/b.py#chunk1", 1), ("a/b.py#chunk2", 2), ("c.py", 3)}
+    with pytest.raises(spans.ChunkError, match="notes.txt"):
+        store.add_code(rows.withColumn("source", F.lit("notes.txt")))
+    assert store.add_code(rows.where("doc_id = 1").withColumn("source", F.lit("script")), "Python", 25).count() == 2
+
+
 def test_formatting(spark):
     hits = spark.createDataFrame([(7, "b text", None, 0.25), (3, "a text", "src", 0.5), (9, "grown", "g", None)], "chunk_id long, content string, source string, rrf double")
     assert [r.text.split("\n")[0] for r in formatting.format_hits(hits).orderBy("place").collect()] == ["### [src] (score: 0.500)", "### [unknown] (score: 0.250)", "### [g]"]

@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import embed_text, fold_key
+from weftline.functions.spans import ChunkError, code_span_documents
+from weftline.functions.text import EXTENSIONS, LANGUAGE_NAMES, fold_key, language_of_name, language_of_path, source_label
 from weftline.functions.vocabulary import standard_synonyms, standard_types
 from weftline.operators import aggregates, formatting, graph, joins, leiden, listing, pipeline, resolve, retrieval, similarity
 from weftline.operators.numbering import with_ids
@@ -56,6 +57,23 @@ class Store:
         """Split documents (doc_id, text, source) and add their chunks in order."""
         return self.add_chunks(document_chunks(docs, size, slack).withColumn("seq", F.struct("doc_id", "index")))
 
+    def add_code(self, docs: DataFrame, language: str | None = None, max_bytes: int = 2000) -> DataFrame:
+        """Split sources (doc_id, text, source, a path) by their items and add the chunks.
+
+        The language is the one named, else that of the path's ending; a source
+        with neither fails. One that cannot be parsed is split between lines.
+        """
+        known = F.coalesce(language_of_name(F.lit(language).cast("string")), language_of_path(F.col("source")))
+        odd = docs.where(known.isNull()).limit(1).collect()
+        if odd:
+            raise ChunkError(f"no language is known for {odd[0]['source']}")
+        ending = {name: end for end, name in reversed(EXTENSIONS.items())}
+        path = F.col("source") if language is None else F.lit(f"x.{ending[LANGUAGE_NAMES[language.lower()]]}")
+        found = code_span_documents(docs.select("doc_id", "text", path.alias("origin_path")), max_bytes=max_bytes)
+        totals = found.groupBy("doc_id").agg(F.count("*").alias("total"))
+        rows = found.join(totals, "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+        return self.add_chunks(rows.select(F.struct("doc_id", "index").alias("seq"), F.col("text").alias("content"), source_label(F.col("source"), F.col("index"), F.col("total")).alias("source")))
+
     def backfill_embeddings(self) -> None:
         """Embed all chunks of the store anew."""
         made = embed_column(self._own("chunks").select(F.col("id").alias("chunk_id"), "content"), "chunk_id", "content", self.embedder)
@@ -272,6 +290,3 @@ class Store:
         same = joined.where("known_id is not null").select(F.col("known_id").alias("id"), "store", F.col("known_name").alias("name"), F.coalesce("entity_type", "_t").alias("entity_type"), F.coalesce("properties", "_p").alias("properties"))
         fresh = with_ids(joined.where("known_id is null").select("store", "name", "entity_type", "properties", F.col("id").alias("seq")), self.catalog.read("entities"), "seq")
         self.catalog.write("entities", upsert(self.catalog.read("entities"), same.unionByName(fresh.select("id", "store", "name", "entity_type", "properties")), ["id"]))
-
-    def embed_texts(self) -> DataFrame:
-        return self._own("entities").select("id", embed_text(F.col("name"), F.col("entity_type")).alias("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import fingerprint_text
-from weftline.functions.text import EXTENSIONS
+from weftline.functions.text import EXTENSIONS, LANGUAGE_NAMES
 from weftline.session import frame
 
 SPAN = "struct<index:int,start:int,end:int,line_start:int,line_end:int,text:string,fingerprint:string>"
@@ -306,8 +306,8 @@ def cut_source(text: str, path: str = "", size: int = 2000, slack: int = 200, ma
     if lines:
         found = line_spans(text, size)
     elif language is not None:
-        name = EXTENSIONS.get(language.lower(), language.lower())
-        if name not in EXTENSIONS.values():
+        name = LANGUAGE_NAMES.get(language.lower()) or EXTENSIONS.get(language.lower())
+        if name is None:
             raise ChunkError(f"unknown language {language}; known endings: {', '.join(sorted(EXTENSIONS))}")
         found = code_spans(text, name, size)
         if found is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +36,6 @@ def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return mean.select(key, normalise(F.transform("v", lambda e: e["x"])).alias(vector))
 
 
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in values])
-
-
 @F.pandas_udf(T.BinaryType())
 def to_blob(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
@@ -68,7 +63,3 @@ def register(spark: SparkSession) -> None:
     )
     spark.udf.register("fingerprint", hashing.fingerprint)
     spark.udf.register("fingerprint_wide", hashing.fingerprint_wide)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

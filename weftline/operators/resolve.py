@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import fold_key, trim_unicode
+from weftline.functions.text import fold_key, normalize_type, trim_unicode
 from weftline.operators.components import connected_components
 from weftline.operators.retrieval import vector_top_k
 
@@ -67,7 +67,7 @@ def synonyms_of(synonyms: DataFrame, canonical: str) -> DataFrame:
 def normalize_types(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
     """entities with normalized_type: the canonical type, else the type in lower case."""
     table = synonyms.select(F.col("raw").alias("_t"), F.col("canonical").alias("_c"))
-    return entities.withColumn("_t", F.lower("entity_type")).join(table, "_t", "left").withColumn("normalized_type", F.coalesce("_c", "_t")).drop("_t", "_c")
+    return entities.withColumn("_t", F.lower("entity_type")).join(table, "_t", "left").withColumn("normalized_type", normalize_type(F.col("entity_type"), F.col("_c"))).drop("_t", "_c")
 
 
 def checkpoint(old: DataFrame, results: DataFrame) -> DataFrame:

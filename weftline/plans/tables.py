@@ -59,6 +59,10 @@ def queries():
     def log_view(v):
         return listing.log_view(v.chunks, STORE, 10)
 
+    @add
+    def nth_chunk(v):
+        return listing.nth_chunk(v.t("chunk_spans").select("span_id", "source", "span_index").distinct(), 1, F.col("span_index")).select("span_id", "source")
+
     @add
     def list_entities(v):
         return listing.list_entities(v.entities, STORE).select("id", "name", "entity_type")
@@ -271,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_chunks": f"SELECT id, source FROM v_chunks WHERE {_S} ORDER BY id DESC LIMIT 25",
         "chunks_by_ids": "SELECT id, store FROM v_chunks WHERE id IN (SELECT chunk_id FROM hits)",
         "log_view": f"SELECT id, concat_ws(' ', strftime(created_at::TIMESTAMP, '%Y-%m-%d %H:%M:%S'), '[' || coalesce(source, '-') || ']', content) AS line FROM v_chunks WHERE {_S} ORDER BY id DESC LIMIT 10",
+        "nth_chunk": "SELECT DISTINCT span_id, source FROM chunk_spans WHERE span_index = 1",
         "list_entities": f"SELECT id, name, entity_type FROM v_entities WHERE {_S}",
         "entity_page": f"SELECT id, name, (SELECT count(*) FROM v_entities WHERE {_S}) AS total FROM v_entities WHERE {_S} ORDER BY name NULLS FIRST, id LIMIT 50",
         "entity_by_name": "SELECT id, store, name FROM v_entities WHERE (store, name) IN (SELECT store, head FROM triples)",

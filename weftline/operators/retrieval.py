@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import stage
+
 K1, B, RRF_K = 1.2, 0.75, 60
 
 #: Parts by hash of the term into which a kept index is cut.
@@ -63,7 +65,8 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, dim: int | None
 
 def tokens(text: Column) -> Column:
     """Words between white space in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
+    bare = F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
 
 
 class Bm25Index:
@@ -84,7 +87,7 @@ class Bm25Index:
         """(id, term, tf, length) of all terms."""
         if self.saved is not None:
             return self.saved
-        rows = self.words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+        rows = self.words.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term")).where("term is not null")
         return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
     @property
@@ -115,11 +118,10 @@ class Bm25Index:
         if self.saved is not None:
             parts = self.saved.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")).collect()
             return self.saved.where(F.col("part").isin(sorted({p[0] for p in parts})) & F.col("term").isin(terms)).select("id", "term", "tf", "length")
-        wanted = F.array(*[F.lit(t) for t in terms])
-        hits = self.words.select("id", F.size("words").alias("length"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("hits")).where(F.size("hits") > 0)
-        # a document's terms are counted where it is read: nothing is sent for it
-        each = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda w: w == t)).cast("bigint").alias("tf")))
-        return hits.select("id", "length", F.explode(each).alias("t")).select("id", "t.term", "t.tf", "length")
+        # other words are dropped where they are read (an outer explode, as no filter on the words is to be made of it)
+        hits = self.words.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term")).where(F.col("term").isin(terms))
+        # frequencies and scores share one pass over the texts
+        return stage(hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
 
     def scores(self, terms: list[str]) -> DataFrame:
         """(id, term, score) of the query's terms."""

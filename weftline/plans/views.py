@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_key
-from weftline.operators.numbering import numbered
 from weftline.session import table
 
 
@@ -78,11 +77,11 @@ class Views:
 
     @property
     def entity_communities(self) -> DataFrame:
-        """Entities with a type go round the communities in the order of their ids; those without belong to none."""
-        places = numbered(self.communities.select(F.col("id").alias("community_id")).distinct(), "community_id", "place")
-        size = places.agg(F.count("*").alias("size"))
-        made = self.entities.where("entity_type is not null").crossJoin(F.broadcast(size)).select(F.col("id").alias("entity_id"), (F.col("id") % F.col("size") + 1).alias("place"))
-        return made.join(places, "place").select("entity_id", "community_id")
+        """Entities with a type go round all communities by their ids; those without belong to none."""
+        known = self.communities.select(F.col("id").alias("community_id")).distinct()
+        last = known.agg(F.max("community_id").alias("last"))
+        made = self.entities.where("entity_type is not null").crossJoin(F.broadcast(last)).select(F.col("id").alias("entity_id"), (F.col("id") % F.col("last") + 1).alias("community_id"))
+        return made.join(known, "community_id", "left_semi").select("entity_id", "community_id")
 
     @property
     def entity_embeddings(self) -> DataFrame:
@@ -103,8 +102,7 @@ SQL = {
     "v_extractions": "SELECT DISTINCT chunk_id FROM v_replies WHERE kind = 'extract' AND chunk_id IS NOT NULL",
     "v_keys": r"SELECT store, k, min(id) AS entity_id FROM (SELECT store, id, translate(regexp_replace(name, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM v_entities) WHERE k <> '' GROUP BY 1, 2",
     "v_chunk_entities": r"SELECT DISTINCT chunk_id, entity_id FROM (SELECT store, chunk_id, translate(regexp_replace(n, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT store, chunk_id, head AS n FROM v_triples UNION ALL SELECT store, chunk_id, tail FROM v_triples)) JOIN v_keys USING (store, k) WHERE chunk_id IS NOT NULL",
-    "v_places": "SELECT id AS community_id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS size FROM (SELECT DISTINCT id FROM v_communities)",
-    "v_entity_communities": "SELECT id AS entity_id, community_id FROM v_entities JOIN v_places ON place = id % size + 1 WHERE entity_type IS NOT NULL",
+    "v_entity_communities": "SELECT id AS entity_id, id % (SELECT max(id) FROM v_communities) + 1 AS community_id FROM v_entities WHERE entity_type IS NOT NULL AND id % (SELECT max(id) FROM v_communities) + 1 IN (SELECT id FROM v_communities)",
     "v_entity_embeddings": "SELECT vec_id AS entity_id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id IN (SELECT id FROM v_entities)",
     "v_edges": "SELECT store, least(head_id, tail_id) AS src, greatest(head_id, tail_id) AS dst, count(*)::DOUBLE AS weight FROM v_relations WHERE head_id <> tail_id GROUP BY ALL",
 }

@@ -119,6 +119,12 @@ def test_words_one_letter_apart_share_an_end(word, at, kind):
     assert len(other) < 5 or nv.alike(word, other, 0.0) and set(nv.ends(word)) & set(nv.ends(other))
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.text("abc", max_size=6), st.text("abc", max_size=6))
+def test_alike_is_one_edit(a, b):
+    assert nv.alike(a, b, 0.0) == (brute_edits(a, b) <= 1)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd", max_size=7), st.text("abcd", max_size=7))
 def test_weighted_distance_and_one_edit(a, b):

@@ -121,7 +121,8 @@ def alike(a: str, b: str, least: float = LEAST_RATIO) -> bool:
     end = 0
     while end < short - same and a[-1 - end] == b[-1 - end]:
         end += 1
-    return longer - same - end <= 2
+    odd = longer - same - end
+    return odd <= 1 or (odd == 2 and a[same : same + 2] == b[same : same + 2][::-1])
 
 
 @lru_cache(100_000)

@@ -213,7 +213,7 @@ PROMPT = "List the facts stated in this passage:\n\nThe indexer logs the communi
         ("The indexer (software) -[logs]-> the community tree (concept)", None), ("El indexador registra el árbol de grupos y la lista de los pasajes.", "wrong_language"),
         ("Anna Berg (person) -[knows]-> список синонимов без предупреждения (concept)", "wrong_language"),
         ("The indexer (software) -[logs]-> the comm", "truncated"), ('{"entities": [{"head": "The indexer", "rel', "truncated"), ('```json\n{"entities": []}\n```', None), ("# facts\nThe indexer (software) -[logs]-> it (concept)", None),
-        ("The indexer keeps a list. Our team only half under", "truncated"), ("Yes", None),
+        ("The indexer keeps a list. Our team only half under", "truncated"), ("Yes", None), ("The indexer keeps a list. Our team only half under...", "truncated"), ("The indexer keeps a list of na…", "truncated"), ('The note said "wait..." and the indexer waits.', None),
     ],
 )
 def test_defects(response, defect):

@@ -16,7 +16,8 @@ Types, of which the first that fits holds: `empty`, `refusal`, `copy`,
   language in all prompts, found by a first vote of short seed lists; at most
   `STOPWORDS` of each language.
 * truncated: a stack of delimiters and quotes is not empty at the end, the
-  last triple line is not whole, or prose stops without an end mark. For Thai,
+  last triple line is not whole, or prose stops without an end mark or with
+  dots in place of its rest. For Thai,
   which has none, the last letters must end a sentence of some prompt.
 
 Defined results: a null response is empty. A reply without a unit has no
@@ -106,6 +107,7 @@ _REMARK = re.compile(r"^\s*(?:#|//|>)")
 _TYPED = re.compile(r"\s*\([\w\s-]*\)\s*$")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|「[^」\n]*」")
 _ENDED = regex.compile(r"[.!?…。！？｡।؟۔]['\"”’»“›)\]」』）】`*_]*$")
+_TRAILING_OFF = regex.compile(r"[\p{L}\p{M}\p{N}](?:\.{3,}|…+)$")
 _OPEN, _CLOSE = "([{（【「『“«„", ")]}）】」』”»“"
 
 
@@ -347,6 +349,8 @@ def is_truncated(response: str) -> bool | str:
     if any("]->" in x for x in lines) or ("-[" in lines[-1]):
         return not _WHOLE_TRIPLE.match(lines[-1])
     last = lines[-1].rstrip()
+    if _TRAILING_OFF.search(last):
+        return True
     if _ENDED.search(last):
         return False
     if (ending := thai_ending(last)) is not None:

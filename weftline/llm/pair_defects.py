@@ -243,19 +243,20 @@ def _script_of(c: str) -> str | None:
 
 
 def votes(text: str, words: dict[str, str], latin: list[str] | None = None) -> Counter:
-    """Votes of a text for languages: letters of scripts, stopwords in Latin letters (latin, if they are known)."""
-    found: Counter = Counter()
+    """Votes of a text for languages: letters of scripts, stopwords in Latin letters (latin, folded, if they are known)."""
+    found: dict[str, int] = {}
     if not text.isascii():
         for c, n in Counter(text).items():
             if c > "\x7f" and (language := _script_of(c)):
-                found[language] += n
+                found[language] = found.get(language, 0) + n
         if han := found.pop("zh", 0):
-            found["ja" if found["ja"] * 20 > han else "zh"] += han
+            language = "ja" if found.get("ja", 0) * 20 > han else "zh"
+            found[language] = found.get(language, 0) + han
     get = words.get
-    for word in _LATIN.findall(text) if latin is None else latin:
-        if language := get(word if word.islower() and word.isascii() else word.casefold()):
-            found[language] += 4 if len(word) > 1 else 1
-    return found
+    for word in _LATIN.findall(text.casefold()) if latin is None else latin:
+        if language := get(word):
+            found[language] = found.get(language, 0) + (4 if len(word) > 1 else 1)
+    return Counter(found)
 
 
 @lru_cache(maxsize=1)
@@ -377,7 +378,7 @@ def prompt_facts(prompts: DataFrame) -> DataFrame:
             for prompt in batch["user_prompt"]:
                 text = prompt_words(prompt)
                 latin = _LATIN.findall(text)
-                language = main_language(votes(text, seeds, latin))
+                language = main_language(votes(text, seeds, [w.casefold() for w in latin]))
                 if language in SEEDS:
                     # words within a sentence only: capitals may be names
                     by_language[language].update(latin)

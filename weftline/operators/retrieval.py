@@ -72,8 +72,8 @@ def tokens(text: Column) -> Column:
 class Bm25Index:
     """Term frequencies and lengths of a table of texts.
 
-    Made from texts it reads them for each query, keeps only the query's terms and
-    sends only what holds one of them. Saved, it is a table of postings in parts
+    Made from texts it reads them once for each query and keeps their lengths and
+    the counts of its terms. Saved, it is a table of postings in parts
     by hash of the term, of which a query reads its own terms' parts.
     """
 
@@ -113,21 +113,22 @@ class Bm25Index:
         index.key, index.words = spark.read.parquet(f"{path}/corpus").first()["key"], None
         return index._opened(spark, path)
 
-    def matching(self, terms: list[str]) -> DataFrame:
-        """(id, term, tf, length) of the query's terms."""
+    def matching(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(id, term, tf, length) of the query's terms, and (n, mean_length) of all texts."""
         if self.saved is not None:
             parts = self.saved.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")).collect()
-            return self.saved.where(F.col("part").isin(sorted({p[0] for p in parts})) & F.col("term").isin(terms)).select("id", "term", "tf", "length")
-        # other words are dropped where they are read (an outer explode, as no filter on the words is to be made of it)
-        hits = self.words.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term")).where(F.col("term").isin(terms))
-        # frequencies and scores share one pass over the texts
-        return stage(hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+            return self.saved.where(F.col("part").isin(sorted({p[0] for p in parts})) & F.col("term").isin(terms)).select("id", "term", "tf", "length"), self.corpus
+        # one pass over the texts leaves their lengths and the counts of these terms
+        tf = lambda t: F.size("words") - F.size(F.array_remove("words", t))
+        counted = stage(self.words.select("id", F.size("words").alias("length"), F.array(*[F.struct(F.lit(t).alias("term"), tf(t).alias("tf")) for t in terms]).alias("terms")))
+        mine = counted.select("id", "length", F.explode("terms").alias("t")).select("id", "t.term", F.col("t.tf").cast("bigint").alias("tf"), "length").where("tf > 0")
+        return mine, counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
 
     def scores(self, terms: list[str]) -> DataFrame:
         """(id, term, score) of the query's terms."""
-        mine = self.matching(terms)
+        mine, corpus = self.matching(terms)
         df = mine.groupBy("term").agg(F.count("*").alias("df"))
-        joined = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.corpus))
+        joined = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
         return joined.select("id", "term", (idf * tf).alias("score"))
@@ -136,7 +137,7 @@ class Bm25Index:
         """(key, score): the best texts for a query of words, or of AND, OR, NOT and brackets."""
         tree = parse_query(query)
         if tree is None:
-            return self.matching([""]).select(F.col("id").alias(self.key), F.lit(0.0).alias("score")).limit(0)
+            return self.postings.select(F.col("id").alias(self.key), F.lit(0.0).alias("score")).limit(0)
         wanted = sorted(terms_of(tree))
         found = self.scores(wanted).groupBy("id").agg(F.collect_set("term").alias("has"), F.sum("score").alias("all_score"), F.map_from_entries(F.collect_list(F.struct("term", "score"))).alias("by"))
         keep = found.where(matches(tree, F.col("has")))

@@ -190,6 +190,21 @@ def test_merge_candidates_hold_all_pairs_of_copies(spark):
     assert len(got) == len(set(got)) and set(got) == want and len([g for g in got if g[0] == "t"]) == 13 * 12 // 2
 
 
+def test_merge_candidates_are_not_sent_once_copies_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART", 8)
+    groups = {"s": (range(0, 40), [1.0, 0.0]), "t": (range(100, 103), [1.0, 0.0]), "u": (range(200, 205), [0.0, 0.0])}
+    rows = [("s", i, [1.0, 0.1]) for i in range(50, 53)] + [(s, i, v) for s, (ids, v) in groups.items() for i in ids]
+    names = spark.createDataFrame([(i, f"n{i}") for s, i, v in rows if i != 7], "id long, name string")
+    found = similarity.merge_candidates(spark.createDataFrame(rows, "store string, id long, embedding array<float>"), 0.85, names)
+    got = [tuple(r) for r in found.select("store", "a", "b", "name_a", "name_b").collect()]
+    name = lambda i: None if i == 7 else f"n{i}"
+    want = {(s, a, b, name(a), name(b)) for s, a, v in rows for t, b, w in rows if s == t != "u" and a < b}
+    assert len(got) == len(set(got)) and set(got) == want
+    # what comes after the rows of single pairs neither joins nor shuffles them
+    made = found._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Join" not in made and "Exchange" not in made and "Sort" not in made
+
+
 def test_bm25(spark, tmp_path):
     docs = spark.createDataFrame([(1, "rust rust rust"), (2, "rust and safe-push"), (3, "other words here")], "chunk_id long, content string")
     index = retrieval.Bm25Index(docs)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import stage, unchunked
+from weftline.session import parallelism, stage, unchunked
 
 #: Pivots, at least and at most (about a root of the vectors between), and members of a class of copies in one task's part.
 LEAST_PIVOTS, MOST_PIVOTS, PART = 16, 1024, 2048
@@ -161,6 +161,13 @@ def _pairs(base: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("store", "a", "b").agg(F.max("score").alias("score"))
 
 
+def _lists(members: DataFrame) -> DataFrame:
+    """(store, rep, part, of): the members of each class as lists, in parts of about PART."""
+    large = members.groupBy("store", "rep").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts")).where("parts > 1")
+    filed = members.join(F.broadcast(stage(large)), ["store", "rep"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return stage(filed.groupBy("store", "rep", "part").agg(F.collect_list(F.struct("id", "name")).alias("of")))
+
+
 def merge_candidates(vectors: DataFrame, threshold: float = 0.85, names: DataFrame | None = None) -> DataFrame:
     """(store, a, b, score) of all pairs of entity vectors (store, id, embedding) at least threshold similar, a < b.
 
@@ -168,21 +175,27 @@ def merge_candidates(vectors: DataFrame, threshold: float = 0.85, names: DataFra
 
     Vectors are compared once for all their copies; every pair of copies and
     every pair of a copy with what its vector is similar to is a row of its own.
+    These rows, many more than the vectors if there are many copies, are made
+    last, from pairs of lists of copies with their names: none of them is sent.
     """
     members, base = _classes(vectors)
     pairs, members = stage(_pairs(base, threshold)), members.distinct()
-    of_a = members.select("store", F.col("rep").alias("a"), F.col("id").alias("x"))
-    of_b = members.select("store", F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = pairs.join(of_a, ["store", "a"]).join(of_b, ["store", "b"]).select("store", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
-    # a class meets itself in parts of about PART members, so that a large one is many tasks
-    classes = members.groupBy("store", "rep").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    named = members.withColumn("name", F.lit(None).cast("string")) if names is None else members.join(names.select("id", "name"), "id", "left")
+    lists = _lists(named)
+    of_a = lists.select("store", F.col("rep").alias("i"), F.col("part").alias("p"), F.col("of").alias("x"))
+    of_b = lists.select("store", F.col("rep").alias("j"), F.col("part").alias("q"), F.col("of").alias("y"))
+    across = pairs.select("store", F.col("a").alias("i"), F.col("b").alias("j"), "score").join(of_a, ["store", "i"]).join(of_b, ["store", "j"])
     # copies of a zero vector have cosine 0, those of one with NaN none
-    own = base.where(F.col("own") >= threshold).select("store", F.col("id").alias("rep"), F.col("own").alias("score")).join(classes, ["store", "rep"])
-    own = members.join(own.select("store", "rep", "score", "parts").distinct(), ["store", "rep"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    left = own.select("store", "rep", "part", F.col("id").alias("a"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    right = own.select("store", "rep", F.col("part").alias("other"), F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    inside = left.join(right, ["store", "rep", "part", "other"]).where("a < b").select("store", "a", "b", "score")
-    found = across.unionByName(inside)
-    if names is None:
-        return found
-    return found.join(names.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a", "left").join(names.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b", "left").select("store", "a", "name_a", "b", "name_b", "score")
+    own = base.where(F.col("own") >= threshold).select("store", F.col("id").alias("i"), F.col("own").alias("score")).distinct()
+    inside = of_a.join(own, ["store", "i"])
+    itself = inside.where(F.size("x") > 1).withColumns({"j": F.col("i"), "q": F.col("p"), "y": F.col("x")})
+    # a large class also meets itself part by part, so that it is many tasks
+    apart = inside.join(of_b.withColumnRenamed("j", "i"), ["store", "i"]).where("p < q").withColumn("j", F.col("i"))
+    met = across.unionByName(itself).unionByName(apart).repartition(parallelism(vectors.sparkSession), "store", "i", "j", "p", "q")
+    same = (F.col("i") == F.col("j")) & (F.col("p") == F.col("q"))
+    each = met.select("store", "score", same.alias("same"), "y", F.explode("x").alias("x")).select("store", "score", "same", "x", F.explode("y").alias("y"))
+    each = each.where((F.col("x.id") < F.col("y.id")) | ~F.col("same") & (F.col("x.id") > F.col("y.id")))
+    first = F.col("x.id") < F.col("y.id")
+    a, b = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
+    found = each.select("store", a["id"].alias("a"), a["name"].alias("name_a"), b["id"].alias("b"), b["name"].alias("name_b"), "score")
+    return found.drop("name_a", "name_b") if names is None else found
